@@ -1,12 +1,15 @@
 """One small local session for all tests."""
 
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH", "")]))
 
 
 @pytest.fixture(scope="session")
