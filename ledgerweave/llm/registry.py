@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, planes, repeats
+from . import minhash, mpeg, packing, planes, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": repeats.op2_suffix_array_dedup,
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op5_bit_planes": planes.op5_bit_planes,
+    "op6_mpeg_audio": mpeg.op6_mpeg_audio,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
