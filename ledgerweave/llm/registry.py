@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mpeg, packing, planes, repeats
+from . import minhash, mpeg, packing, planes, quality, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": repeats.op2_suffix_array_dedup,
+    "op3_toxicity_mil": toxicity.op3_toxicity_mil,
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op5_bit_planes": planes.op5_bit_planes,
     "op6_mpeg_audio": mpeg.op6_mpeg_audio,
+    "op8_quality_neighbours": quality.op8_quality_neighbours,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
