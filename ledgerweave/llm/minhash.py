@@ -5,13 +5,14 @@
 2. Documents with the same set are one node (their smallest doc_id): they need no candidates.
 3. Each band bucket's smallest node is its hub. A node's best hub, by signature, is confirmed on the full sets, and
    the confirmed links make first components: a bucket of n near copies costs n comparisons.
-4. Buckets that still hold several components get the rest: members outside the hub's component against the bucket's
-   members of other components, if sizes and signature bits allow it. These are confirmed too, so every pair that
-   shares a bucket is either in one component or compared.
+4. Where buckets still hold several components, each node tries a few partners of other components for some rounds.
+   Then what is open gets the rest: members outside the hub's component against the bucket's members of other
+   components, if sizes and signature bits allow it. These are confirmed too, so every pair that shares a bucket is
+   either in one component or compared.
 5. Components by alternating large-star and small-star.
 
 At a similarity of 0.8 a pair shares none of the bands with probability (1 - 0.8^ROWS)^BANDS = 3e-7 and fails the
-signature test with about 1e-8.
+signature test with about 2e-7.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing. A null doc_id gets a row
 with a null component and is kept. Repeated rows of one document give equal rows. Other columns are not read.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,8 +36,10 @@ from .words import shingles, words
 #: Bands, minima in a band; their product is the number of hash functions, 60 bits of signature in each of 4 longs.
 BANDS, ROWS = 48, 5
 HASHES = BANDS * ROWS
-#: Of HASHES signature bits a pair at the threshold agrees in 90 %; six standard deviations below that.
-LEAST_BITS = 188
+#: Of HASHES signature bits a pair at the threshold agrees in 90 %; five standard deviations below that.
+LEAST_BITS = 192
+#: Rounds in which nodes of open buckets try a few partners, before all pairs that are still open are compared.
+ROUNDS, TRIES = 3, 3
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(1 << 31, size=HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(1 << 32, size=HASHES, dtype=np.uint32)
@@ -110,6 +113,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return found.select("a", "b", "ta", "tb").mapInArrow(lambda b: _confirm(b, size, percent), "a long, b long")
 
 
+def _open(members: DataFrame, part: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that hold several; hub_part is the component of the bucket's hub."""
+    known = part.withColumnsRenamed({"id": "node", "component": "part"})
+    placed = members.join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "node").alias("hub_part")).filter("low < high")
+    return placed.join(several.select("key", "hub_part"), "key")
+
+
+def _tries(left: DataFrame, sign: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Up to TRIES pairs for each node: the likeliest of its open buckets' partners, one partner for a bucket and turn."""
+    partner = left.groupBy("key").agg(F.min_by(F.struct("node", "n", "part"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
+    pairs = left.join(partner, "key").filter((F.col("part") != F.col("p.part")) & _sizes_allow("n", "p.n", percent)).select("node", F.col("p.node").alias("hub")).distinct()
+    pairs = pairs.join(sign, "node").join(sign.withColumnsRenamed({"node": "hub", **{f"s{k}": f"h{k}" for k in range(4)}}), "hub")
+    pairs = pairs.withColumn("agree", _agree("s", "h")).filter(F.col("agree") >= LEAST_BITS)
+    order = Window.partitionBy("node").orderBy(F.desc("agree"), "hub")  # at most BANDS rows
+    pairs = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TRIES)
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -134,18 +156,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = written(confirmed(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), docs, size, percent), "links")
     first = written(connected_components(links), "first")
 
-    # buckets with more than one component: what no confirmed link joins yet
-    known = first.withColumnsRenamed({"id": "node", "component": "part"})
-    placed = members.filter("members > 1").join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    hubs = known.withColumnsRenamed({"node": "hub", "part": "hub_part"})
-    placed = placed.join(hubs, "hub", "left").withColumn("hub_part", F.coalesce("hub_part", "hub")).join(sign, "node")
-    outside = placed.filter("part <> hub_part").select("key", "node", "n", "part", "s0", "s1", "s2", "s3")
-    open_keys = outside.select("key").distinct()
-    inside = placed.join(open_keys, "key", "left_semi").select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bpart"), (F.col("part") == F.col("hub_part")).alias("with_hub"), *(F.col(f"s{k}").alias(f"h{k}") for k in range(4)))
+    part = first
+    for turn in range(ROUNDS):
+        some = written(confirmed(_tries(_open(members, part), sign, turn, percent), docs, size, percent), "tried")
+        if some.isEmpty():
+            break
+        links = links.unionAll(some)
+        part = written(connected_components(links), "parts")
+
+    # exactly what is left: every pair of a bucket that no confirmed link joins yet
+    left = _open(members, part).join(sign, "node")
+    outside = left.filter("part <> hub_part").select("key", "node", "n", "part", "s0", "s1", "s2", "s3")
+    inside = left.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bpart"), (F.col("part") == F.col("hub_part")).alias("with_hub"), *(F.col(f"s{k}").alias(f"h{k}") for k in range(4)))
     rest = outside.join(inside, "key").filter((F.col("part") != F.col("bpart")) & (F.col("with_hub") | (F.col("node") < F.col("b"))) & _sizes_allow("n", "bn", percent) & (_agree("s", "h") >= LEAST_BITS))
     rest = written(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "rest")
-    more = confirmed(rest, docs, size, percent)
-    component = connected_components(links.unionAll(more))
+    more = written(confirmed(rest, docs, size, percent), "more")
+    component = part if more.isEmpty() else connected_components(links.unionAll(more))
 
     whole = groups.join(component.withColumnsRenamed({"id": "node"}), "node", "left").select("k0", "k1", "n", F.coalesce("component", "node").alias("component_id"))
     done = filled.select("doc_id", "n", "k0", "k1").join(whole, ["k0", "k1", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
