@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mpeg, packing, planes, quality, repeats, toxicity
+from . import chat, decontaminate, minhash, mpeg, packing, planes, quality, repeats, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_suffix_array_dedup": repeats.op2_suffix_array_dedup,
     "op3_toxicity_mil": toxicity.op3_toxicity_mil,
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op5_bit_planes": planes.op5_bit_planes,
     "op6_mpeg_audio": mpeg.op6_mpeg_audio,
+    "op7_url_filter": urls.op7_url_filter,
     "op8_quality_neighbours": quality.op8_quality_neighbours,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_chat_snapshots": chat.op10_chat_snapshots,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat_snapshots": chat.OP10_SQL}

@@ -5,7 +5,7 @@ P = 1 - prod(1 - p_sentence). Weights are learned from document labels alone thr
 sample of labelled rows; every document is then scored on its whole text, and the sentences that caused the score
 are located.
 
-Words are runs of letters and digits, lower-cased for A-Z, so marks stuck to a word do not hide it. Sentences end at
+Words are runs of letters and digits, lower-cased for A-Z and Latin-1, so marks stuck to a word do not hide it. Sentences end at
 ``.``, ``!``, ``?`` and line ends. Null and empty texts have no sentence and score 0. Rows with a null doc_id are scored
 (held_out is null) and never trained on. With no labelled rows of both kinds, every score is the share of label 1
 (0.0 without labels). Ids, labels, lang and source are no inputs of a score.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import chunked, mix64
 from .labelled import sample
-from .words import span_hashes, spans
+from .words import small_latin, span_hashes, spans
 
 #: Labelled documents of each label that the model is fitted on, at most.
 MOST_LABELLED = {0: 2500, 1: 2000}
@@ -40,6 +40,7 @@ _END[[10, 33, 46, 63]] = True
 
 def sentence_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(feature, sentence) of each distinct word or beginning in a sentence, then document and byte range of each sentence."""
+    data = small_latin(data)
     starts, ends = spans(data, at, _NO_WORD)
     mark = _END[data] if len(data) else np.zeros(0, bool)
     border = np.zeros(len(data) + 1, np.int32)

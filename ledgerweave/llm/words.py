@@ -18,6 +18,17 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+
+def small_latin(data: np.ndarray) -> np.ndarray:
+    """The bytes with the capitals of UTF-8's Latin-1 letters made small (A-Z are left to LOWER)."""
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    if len(at):
+        data = data.copy()
+        data[at] += 32
+    return data
+
+
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
