@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .bwt import repeated_windows
@@ -341,7 +342,7 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             spans.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
             kept.append(raw[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())], ["row", "n_bytes", "removed", "kept", "kept_text"])
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
@@ -363,13 +364,22 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, **options: int) -> DataFrame:
-    """(doc_id, n_bytes, removed spans [start, end), kept bytes) for every row of docs."""
+    """(row, n_bytes, removed spans [start, end), kept bytes, the same as text) for every row of docs; row: a struct of its columns but text."""
     marks = repeated_spans(docs, width, **options).withColumnRenamed("doc", "doc_id")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(marks, "doc_id", "left")
-    return rows.mapInArrow(lambda b: _remove(b, width), "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest).join(marks, "doc_id", "left")
+    kind = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_bytes long, removed array<struct<start: long, end: long>>, kept binary, kept_text string")])
+    return rows.mapInArrow(lambda b: _remove(b, width), kind)
+
+
+def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with the same columns and rows, repeated strings cut out of text. Pieces of a character cut in two go too."""
+    rows = without_repeats(docs, width)
+    columns = {c: F.col("kept_text") if c == "text" else F.col("row")[c] for c in docs.columns}
+    return rows.select(*(v.alias(c) for c, v in columns.items()))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document when repeated 100-byte strings are removed."""
-    rows = without_repeats(common.table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    rows = without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

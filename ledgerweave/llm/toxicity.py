@@ -153,6 +153,20 @@ def scored(docs: DataFrame, model: NoisyOr) -> DataFrame:
     return rows.mapInArrow(score, "doc_id long, score double, sentences array<struct<start: long, end: long, score: double>>")
 
 
+def without_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch, data, at in chunked(batches):
+            feature, sentence, doc, _ = sentence_words(data, at)
+            total = model.documents(model.sentences(feature, sentence, len(doc)), doc, batch.num_rows)
+            yield batch.filter(pa.array(total < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned outside fold 0 of 5."""
     docs = common.table(spark, sf_dir, "documents")
