@@ -39,7 +39,9 @@ HASHES = BANDS * ROWS
 #: Of HASHES signature bits a pair at the threshold agrees in 90 %; five standard deviations below that.
 LEAST_BITS = 192
 #: Rounds in which nodes of open buckets try a few partners, before all pairs that are still open are compared.
-ROUNDS, TRIES = 3, 3
+ROUNDS, TRIES = 2, 4
+#: Ids that are broadcast to select texts, at most (8 bytes each).
+MOST_SENT = 1 << 20
 _rng = np.random.default_rng(20240601)
 _A = _rng.integers(1 << 31, size=HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(1 << 32, size=HASHES, dtype=np.uint32)
@@ -104,11 +106,15 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
             yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole texts' shingle sets have the similarity, exactly."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+def _only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids (one column, distinct): broadcast up to MOST_SENT ids, else a shuffled semi-join."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, key, "left_semi")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts' shingle sets have the similarity, exactly. texts (id, t), one row for an id."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    texts = _only(texts, wanted, "id")
     found = pairs.join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b").join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a")
     return found.select("a", "b", "ta", "tb").mapInArrow(lambda b: _confirm(b, size, percent), "a long, b long")
 
@@ -153,24 +159,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     star = members.filter((F.col("node") != F.col("hub")) & _sizes_allow("n", "hub_n", percent)).select("node", "hub").distinct()
     star = star.join(sign, "node").join(other, "hub").withColumn("agree", _agree("s", "h")).filter(F.col("agree") >= LEAST_BITS)
     best = star.groupBy("node").agg(F.max_by("hub", F.struct("agree", -F.col("hub"))).alias("hub"))
-    links = written(confirmed(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), docs, size, percent), "links")
-    first = written(connected_components(links), "first")
+    shown = written(members.select(F.col("node").alias("id")).distinct(), "shown")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    texts = written(_only(texts, shown, "id").dropDuplicates(["id"]), "texts", compression="zstd")
+    links = written(confirmed(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, size, percent), "links")
+    part = written(connected_components(links), "parts")
 
-    part = first
+    left = written(_open(members, part), "open")
     for turn in range(ROUNDS):
-        some = written(confirmed(_tries(_open(members, part), sign, turn, percent), docs, size, percent), "tried")
+        some = written(confirmed(written(_tries(left, sign, turn, percent), "tries"), texts, size, percent), "tried")
         if some.isEmpty():
             break
         links = links.unionAll(some)
         part = written(connected_components(links), "parts")
+        left = written(_open(left.drop("part", "hub_part"), part), "open")
 
     # exactly what is left: every pair of a bucket that no confirmed link joins yet
-    left = _open(members, part).join(sign, "node")
+    left = left.join(sign, "node")
     outside = left.filter("part <> hub_part").select("key", "node", "n", "part", "s0", "s1", "s2", "s3")
     inside = left.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bpart"), (F.col("part") == F.col("hub_part")).alias("with_hub"), *(F.col(f"s{k}").alias(f"h{k}") for k in range(4)))
     rest = outside.join(inside, "key").filter((F.col("part") != F.col("bpart")) & (F.col("with_hub") | (F.col("node") < F.col("b"))) & _sizes_allow("n", "bn", percent) & (_agree("s", "h") >= LEAST_BITS))
     rest = written(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "rest")
-    more = written(confirmed(rest, docs, size, percent), "more")
+    more = written(confirmed(rest, texts, size, percent), "more")
     component = part if more.isEmpty() else connected_components(links.unionAll(more))
 
     whole = groups.join(component.withColumnsRenamed({"id": "node"}), "node", "left").select("k0", "k1", "n", F.coalesce("component", "node").alias("component_id"))
