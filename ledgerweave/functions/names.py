@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Company suffixes, taken off the end in this order, each once.
 COMPANY_SUFFIXES = (
@@ -45,7 +46,7 @@ def company_key(name: Column) -> Column:
     return strip(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_accents(text: pd.Series) -> pd.Series:
     """Letters without combining marks; no built-in function decomposes."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))

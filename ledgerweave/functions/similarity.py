@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .names import company_key
 
@@ -14,7 +15,7 @@ from .names import company_key
 THRESHOLD = 0.7
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """No built-in function computes it; Arrow carries the two columns in batches."""
     out, matcher, last = [], SequenceMatcher(None), None
