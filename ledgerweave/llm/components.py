@@ -19,19 +19,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    met = edges.select(ends.alias("e")).groupBy("e.id").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+    return met.filter("up > 1 or (up = 1 and down > 0)").count() == 0
+
+
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
     """links (a, b) -> (id, component): the smallest id reachable, for every id that has a link to another.
 
-    Each round writes its edges to the shared folder; rounds go on until neither step changes the edge set, which a
-    count and an order-free checksum over all edges tell.
+    Each round writes its edges to the shared folder; rounds go on until the edges are stars: every id has one smaller
+    neighbour, which has none itself.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = written(edges.distinct(), name)
-    mark = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
-        mark, last = now, edges
-        edges = written(_star(_star(edges, True).distinct(), False).distinct(), name)
+    while not _are_stars(edges):
+        last, edges = edges, written(_star(_star(edges, True), False).distinct(), name)
         drop(last)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -8,8 +8,11 @@
 4. Where buckets still hold several components, each node tries a few partners of other components for some rounds.
    Then what is open gets the rest: members outside the hub's component against the bucket's members of other
    components, if sizes and signature bits allow it. These are confirmed too, so every pair that shares a bucket is
-   either in one component or compared.
-5. Components by alternating large-star and small-star.
+   either in one component, compared, or cannot have the similarity.
+5. In large open buckets most pairs cannot: of their nodes' shingles, those in up to COMMON nodes are rare. Nodes that
+   share a rare shingle meet by it, at most COMMON at a time. Any other pair has only common shingles in both sets, so
+   the fewer common shingles of the two bound the intersection, exactly; pairs beyond the bound are not compared.
+6. Components by alternating large-star and small-star.
 
 At a similarity of 0.8 a pair shares none of the bands with probability (1 - 0.8^ROWS)^BANDS = 3e-7 and fails the
 signature test with about 2e-7.
@@ -39,7 +42,9 @@ HASHES = BANDS * ROWS
 #: Of HASHES signature bits a pair at the threshold agrees in 90 %; five standard deviations below that.
 LEAST_BITS = 192
 #: Rounds in which nodes of open buckets try a few partners, before all pairs that are still open are compared.
-ROUNDS, TRIES = 2, 4
+ROUNDS, TRIES = 1, 8
+#: Members beyond which an open bucket is large; nodes of large open buckets beyond which a shingle is common.
+LARGE, COMMON = 64, 64
 #: Ids that are broadcast to select texts, at most (8 bytes each).
 MOST_SENT = 1 << 20
 _rng = np.random.default_rng(20240601)
@@ -89,6 +94,12 @@ def _sizes_allow(a: str, b: str, percent: int):
     return (100 * F.least(a, b)) >= percent * F.greatest(a, b)
 
 
+def _common_allow(percent: int):
+    """Whether two sets that share only common shingles, c and bc of them, may have the similarity."""
+    most = F.least("c", "bc")
+    return 100 * most >= percent * (F.col("n") + F.col("bn") - most)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Keeps pairs whose full sets are similar enough."""
     for batch in batches:
@@ -138,6 +149,21 @@ def _tries(left: DataFrame, sign: DataFrame, turn: int, percent: int) -> DataFra
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch, data, at in chunked(batches, "t"):
+        _, _, hashes, first = words(data, at)
+        sets = shingles(hashes, first, size)
+        node = batch.column("id").take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), node], ["shingle", "node"])
+
+
+def rare_shingles(crowd: DataFrame, texts: DataFrame, size: int, common_from: int) -> DataFrame:
+    """(shingle, node, met) of the shingles that at most common_from nodes of crowd (node) have; met: how many have it."""
+    rows = _only(texts, crowd.select(F.col("node").alias("id")), "id").mapInArrow(lambda b: _shingle_rows(b, size), "shingle long, node long")
+    few = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") <= common_from)
+    return rows.join(few, "shingle")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -176,10 +202,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # exactly what is left: every pair of a bucket that no confirmed link joins yet
     left = left.join(sign, "node")
-    outside = left.filter("part <> hub_part").select("key", "node", "n", "part", "s0", "s1", "s2", "s3")
-    inside = left.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bpart"), (F.col("part") == F.col("hub_part")).alias("with_hub"), *(F.col(f"s{k}").alias(f"h{k}") for k in range(4)))
-    rest = outside.join(inside, "key").filter((F.col("part") != F.col("bpart")) & (F.col("with_hub") | (F.col("node") < F.col("b"))) & _sizes_allow("n", "bn", percent) & (_agree("s", "h") >= LEAST_BITS))
-    rest = written(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "rest")
+    crowd = written(left.filter(F.col("members") > LARGE).select("node", "n", "part", "s0", "s1", "s2", "s3").distinct(), "crowd")
+    rare = written(rare_shingles(crowd, texts, size, COMMON), "rare")
+    left = left.join(rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare")), "node", "left")
+    left = left.withColumn("c", F.when(F.col("members") > LARGE, F.col("n") - F.coalesce("rare", F.lit(0))).otherwise(F.col("n")))
+    outside = left.filter("part <> hub_part").select("key", "node", "n", "c", "part", "s0", "s1", "s2", "s3")
+    inside = left.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("part").alias("bpart"), (F.col("part") == F.col("hub_part")).alias("with_hub"), *(F.col(f"s{k}").alias(f"h{k}") for k in range(4)))
+    rest = outside.join(inside, "key").filter((F.col("part") != F.col("bpart")) & (F.col("with_hub") | (F.col("node") < F.col("b"))) & _sizes_allow("n", "bn", percent) & _common_allow(percent) & (_agree("s", "h") >= LEAST_BITS))
+    rest = rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    several = rare.filter("met > 1").select("shingle", "node")
+    pairs = several.join(several.withColumnRenamed("node", "b"), "shingle").filter("node < b").select("node", "b").distinct()
+    pairs = pairs.join(crowd, "node").join(crowd.withColumnsRenamed({"node": "b", "n": "bn", "part": "bpart", **{f"s{k}": f"h{k}" for k in range(4)}}), "b")
+    pairs = pairs.filter((F.col("part") != F.col("bpart")) & _sizes_allow("n", "bn", percent) & (_agree("s", "h") >= LEAST_BITS)).select(F.col("node").alias("a"), "b")
+    rest = written(rest.unionAll(pairs).distinct(), "rest")
     more = written(confirmed(rest, texts, size, percent), "more")
     component = part if more.isEmpty() else connected_components(links.unionAll(more))
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from ledgerweave.llm import minhash
 from ledgerweave.llm.components import connected_components
 
@@ -55,6 +57,23 @@ def test_like_brute_force(spark):
     check(spark, texts, ids, 2)
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_large_open_buckets_like_brute_force(spark, monkeypatch, rounds):
+    """Groups of near copies of which many are just too unlike, with every open bucket counted as large."""
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "LARGE", 2)
+    monkeypatch.setattr(minhash, "COMMON", 3)
+    rng = random.Random(9)
+    texts = list(ODD)
+    for _ in range(2):
+        base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+        first = [edited(rng, base, rng.randint(0, 14)) for _ in range(40)]
+        texts += first + [edited(rng, rng.choice(first).split(" "), rng.randint(0, 6)) for _ in range(20)]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    check(spark, texts, ids, 2)
+
+
 def test_five_word_shingles(spark):
     rng = random.Random(6)
     base = [f"w{rng.randrange(900)}" for _ in range(300)]
