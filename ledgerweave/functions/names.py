@@ -132,6 +132,7 @@ def amount(raw: Column) -> Column:
 
 
 def score_class(score: Column) -> Column:
+    score = score.cast("double")
     return F.when(score >= 70, "high").when(score >= 40, "mid").when(score.isNotNull(), "low")
 
 
