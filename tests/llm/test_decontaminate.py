@@ -48,3 +48,23 @@ def test_null_ids_repeats_and_empty(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, table(spark)).collect()] == [(4, 7)]
     assert decontaminate.contaminated(documents(spark, []), table(spark)).count() == 0
     assert decontaminate.contaminated(docs, table(spark).limit(0)).count() == 0
+
+
+def test_short_and_number_dense_items(spark):
+    """Items with fewer than LEAST windows: all that they have is needed, and each is found as it is."""
+    items = ["What is the capital of France?", "Who founded Rome in 753?", "Paris", "12 km 30 kg 45 mm 60 g 75 ml 90 l", "it holds 12 30 45 of 60 75 90 units", "!?", "one two three four five six seven"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f'They asked "{item}" and went on.' for item in items]
+    texts += ["Then who founded Athens in 508?", "Berlin", "12 km 30 kg 45 mm 60 g 75 ml 91 l", "one two three four five six", "What is the capital of", "it holds 13 31 46 of 61 76 91 units", *ODD]
+    want = {(k, k, False) for k in range(len(items)) if items[k] != "!?"} | {(len(items), 1, True), (len(items) + 5, 4, True)}
+    for most_sent in (decontaminate.MOST_SENT, 0):
+        got = decontaminate.contaminated(documents(spark, texts), benchmark, most_sent=most_sent).collect()
+        assert {(r["doc_id"], r["item_id"], r["reworded"]) for r in got} == want
+        assert len(got) == len(want) and all(r["coverage"] == 1 for r in got)
+
+
+def test_whole_items_do_not_cross_texts(spark):
+    benchmark = spark.createDataFrame([(1, "red green"), (2, "7 8 9 10 11 12 13 14")], "item_id long, text string")
+    docs = documents(spark, ["red", "green", "red red green red green", "7 8 9 10 11", "12 13 14", "6 7 8 9 10 11 12 13 14 15"])
+    got = decontaminate.contaminated(docs, benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_windows"]) for r in got) == [(2, 1, 1), (5, 2, 1)]
