@@ -33,7 +33,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"), by_window=True)
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -8,6 +8,9 @@ alignment cover enough of the item and its slots are consistent: each value in t
 in the document. So a question asked again with other numbers or names is found, and texts that share only a frame of
 function words with placeholders at random are not.
 
+By window (the query and the pipeline), only windows that replace such an inconsistent value are left out and the rest of
+the alignment counts; windows whose slots are equal always do. Otherwise the whole alignment is left out.
+
 A match needs LEAST windows, or all of them where an item has fewer. An item with fewer than LEAST windows is also
 found by its whole token sequence, values in place of placeholders, so capitals and stops before it do not matter. An
 item without any window (shorter than WINDOW, or dense in values) has one over its whole token sequence if that has
@@ -236,8 +239,11 @@ def _sought(whole: DataFrame, most_sent: int) -> Wholes:
     ]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, reworded): documents that hold benchmark items; reworded: slots were replaced."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, most_sent: int = MOST_SENT, by_window: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_windows, coverage, reworded): documents that hold benchmark items; reworded: slots were replaced.
+
+    by_window: inconsistent slots cost the windows that replace them, not their whole alignment.
+    """
     whole = common.written(whole_items(benchmark, least), "whole-items")
     items = template_windows(benchmark, "item_id").withColumn("exact", F.lit(0))
     items = common.written(items.unionByName(whole.select(items.columns)), "items")
@@ -249,11 +255,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, le
     met = template_windows(docs, "doc_id", only, _sought(whole, most_sent)).withColumnRenamed("slots", "doc_slots").join(items.withColumnsRenamed({"place": "item_place", "slots": "item_slots"}), "window")
     met = met.select("doc_id", "item_id", "exact", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda s: s["item_slots"] != 0).alias("slots"))
     # one alignment of a document and an item at a time; at most an item's windows in each group
-    lines = met.groupBy("doc_id", "item_id", "exact", "shift").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    lines = lines.withColumn("steady", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item_slots"]))))
-    lines = lines.withColumn("reworded", F.exists("slots", lambda s: s["item_slots"] != s["doc_slots"]))
+    lines = met.groupBy("doc_id", "item_id", "exact", "shift").agg(F.collect_set(F.struct("item_place", "slots")).alias("windows"))
+    slots = F.array_distinct(F.flatten("windows.slots"))
+    lines = lines.withColumn("values", F.array_sort(F.transform(slots, lambda s: s["item_slots"])))
+    # item values that stand for more than one value
+    lines = lines.withColumn("torn", F.array_distinct(F.filter("values", lambda v, i: (i > 0) & (v == F.get("values", i - 1)))))
+    if by_window:
+        clashes = lambda w: F.exists(w["slots"], lambda s: (s["item_slots"] != s["doc_slots"]) & F.array_contains("torn", s["item_slots"]))
+        lines = lines.withColumn("windows", F.filter("windows", lambda w: ~clashes(w)))
+    else:
+        lines = lines.filter(F.size("torn") == 0)
+    lines = lines.withColumn("reworded", F.exists(F.flatten("windows.slots"), lambda s: s["item_slots"] != s["doc_slots"])).withColumn("places", F.col("windows.item_place"))
     places = F.collect_set(F.when(F.col("exact") == 0, F.col("places")))
-    best = lines.filter("steady").groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(places))).cast("long").alias("n_windows"), F.max("exact").alias("exact"), F.max("reworded").alias("reworded"))
+    best = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(places))).cast("long").alias("n_windows"), F.max("exact").alias("exact"), F.max("reworded").alias("reworded"))
     found = best.join(totals, "item_id").withColumn("n_windows", F.when(F.col("exact") == 1, F.col("total")).otherwise(F.col("n_windows")))
     found = found.withColumn("coverage", F.col("n_windows") / F.col("total"))
     return found.filter((F.col("coverage") >= share) & (F.col("n_windows") >= F.least(F.lit(least), F.col("total")))).select("doc_id", "item_id", "n_windows", "coverage", "reworded")
@@ -261,4 +275,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, le
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of benchmark, as it is or with other numbers, names or units."""
-    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), by_window=True)

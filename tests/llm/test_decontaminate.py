@@ -68,3 +68,20 @@ def test_whole_items_do_not_cross_texts(spark):
     docs = documents(spark, ["red", "green", "red red green red green", "7 8 9 10 11", "12 13 14", "6 7 8 9 10 11 12 13 14 15"])
     got = decontaminate.contaminated(docs, benchmark).collect()
     assert sorted((r["doc_id"], r["item_id"], r["n_windows"]) for r in got) == [(2, 1, 1), (5, 2, 1)]
+
+
+def test_clashing_windows_alone_are_left_out(spark, tmp_path):
+    """A value that stands for two costs the windows that replace it, in the query and in the pipeline's stage."""
+    import corpus_pipeline
+
+    roles = "A shop at the corner packs 2 boxes of 2 pens for the school. The teacher gives every pupil one pen and asks how many pupils go home without any of them."
+    noise = ITEM.replace("12", "15", 1).replace("12", "16").replace("30", "45", 1).replace("30", "46").replace("Mary", "Alice").replace("farmer", "baker").replace("apples", "loaves")
+    texts = ["So: " + UNSTEADY, roles.replace("2", "3", 1).replace("2", "5"), noise, OTHER, ITEM, CLEAN]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, ITEM), (8, roles)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in decontaminate.op1_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    assert {d: (r["item_id"], r["reworded"]) for d, r in got.items()} == {0: (7, False), 1: (8, False), 3: (7, True), 4: (7, False)}
+    # 25 windows; the first nine hold a value that stands for two and is another there
+    assert got[0]["n_windows"] == 16 and got[3]["n_windows"] == got[4]["n_windows"]
+    kept = corpus_pipeline.drop_benchmark_leaks(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 5]
