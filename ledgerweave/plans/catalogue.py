@@ -472,6 +472,14 @@ def carry_forward_state(d: Domain) -> DataFrame:
     return scorecards.carried_state(lines, "c_custkey", "marker").select("c_custkey", "state")
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 >= 5 THEN 'CA' WHEN c_custkey % 10 >= 2 THEN 'NY' END AS state FROM customer""", domain=False)
+def carry_forward_state_all(d: Domain) -> DataFrame:
+    """The same over every customer."""
+    i = F.col("c_custkey") % 10
+    lines = d.table("customer").withColumn("marker", F.when(i == 0, "House").when(i == 2, "New York").when(i == 5, "California"))
+    return scorecards.carried_state(lines, "c_custkey", "marker").select("c_custkey", "state")
+
+
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey % 4 <> 0", domain=False)
 def pipe_parse(d: Domain) -> DataFrame:
     """Short lines are left out, further fields cut off."""

@@ -32,15 +32,26 @@ def _cell(cells: Column, i: int) -> Column:
     return strip(F.coalesce(F.get(cells, F.lit(i)), F.lit("")))
 
 
-def carried_state(rows: DataFrame, position: str, marker: str) -> DataFrame:
-    """rows with the state that the nearest marker line above gives; 'Senate' and 'House' clear it."""
+#: Positions of a range that one task carries the state through.
+STRETCH = 1 << 16
+
+
+def carried_state(rows: DataFrame, position: str, marker: str, stretch: int = STRETCH) -> DataFrame:
+    """rows with the state that the nearest marker line above gives; 'Senate' and 'House' clear it.
+
+    Each range of ``stretch`` positions by itself; what is carried into it comes from one row for each range before.
+    """
     mark = F.when(F.col(marker).isin("Senate", "House"), F.lit("")).otherwise(state_code(F.col(marker)))
-    last = F.last(mark, ignorenulls=True).over(Window.orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("state", F.nullif(last, F.lit("")))
+    marked = rows.withColumns({"_mark": mark, "_range": F.floor(F.col(position) / stretch)})
+    ranges = marked.groupBy(F.col("_range").alias("_next")).agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct(F.col(position)))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.orderBy("_next").rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last("_mark", ignorenulls=True).over(Window.partitionBy("_range").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = marked.withColumn("_mark", last).join(ranges.select("_next", before.alias("_before")), F.col("_range").eqNullSafe(F.col("_next")), "left")
+    return found.withColumn("state", F.nullif(F.coalesce("_mark", "_before"), F.lit(""))).drop("_mark", "_range", "_next", "_before")
 
 
 def sectioned(lines: DataFrame, org: str, year: int, issue: str) -> DataFrame:
-    """lines (position, value) of a file with sections for chambers and states. One file of one chamber's size, so one window."""
+    """lines (position, value) of a file with sections for chambers and states."""
     cells = F.from_csv(F.regexp_replace("value", "^\\ufeff", ""), ", ".join(f"c{i} string" for i in range(12)))
     parsed = lines.select("position", F.array(*(cells[f"c{i}"] for i in range(12))).alias("cells"), F.size(F.split("value", ",")).alias("width"))
     single = F.when(_cell(F.col("cells"), 0).isNotNull() & (F.array_join(F.slice("cells", 2, 11), "") == ""), _cell(F.col("cells"), 0))

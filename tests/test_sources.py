@@ -78,3 +78,25 @@ def test_stream_merges_amendments(spark, tmp_path):
     assert run() == [("1", 1.0)]
     add([("c", "p", "1", "24K", 5.0, 3), ("c", "p", "3", "24Z", 3.0, 4)])
     assert run() == run() == [("1", 5.0), ("3", 3.0)]
+
+
+def test_carried_state_over_ranges(spark):
+    """Every range width gives what one walk over the lines gives; no window runs over all rows."""
+    marks = {-7: "Texas", 2: "House", 5: "Ohio", 9: "no state", 31: "Senate", 47: "New York", 90: "Iowa"}
+    places = [p for p in range(-9, 100) if p % 4 != 3 or p in marks]
+    want, state = {}, None
+    for p in places:
+        if p in marks and marks[p] != "no state":
+            state = {"Texas": "TX", "Ohio": "OH", "New York": "NY", "Iowa": "IA"}.get(marks[p])
+        want[p] = state
+    lines = spark.createDataFrame([(p, marks.get(p)) for p in reversed(places)] + [(None, None)], "position long, marker string")
+    for stretch in (1, 10, 64, scorecards.STRETCH):
+        got = scorecards.carried_state(lines, "position", "marker", stretch)
+        assert got.columns == ["position", "marker", "state"]
+        assert {r["position"]: r["state"] for r in got.collect()} == {None: None, **want}
+
+
+def test_carry_forward_state_reads_every_customer(spark, sf_dir):
+    from ledgerweave.plans import catalogue
+
+    assert catalogue.QUERIES["carry_forward_state_all"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
