@@ -69,6 +69,21 @@ def brand_scores_zero_dollar(d: Domain) -> DataFrame:
     return scoring.factored_scores(counts, d.pacs, nothing, d.rates, d.covers)
 
 
+@query("SELECT * FROM brand_scores")
+def brand_scores_naive_all(d: Domain) -> DataFrame:
+    """The definition, path by path, for every brand."""
+    return scoring.naive_scores(traverse.trails(d.owned_by, d.subsidiaries), d.pacs, d.cycle_contributions, d.rates, d.covers)
+
+
+@query("""SELECT brand_name, issue_name, scorecard_org, score, dollars, candidates, 'low' AS confidence FROM (
+  SELECT brand AS brand_name, issue AS issue_name, org AS scorecard_org, round(avg(score), 1) AS score, 0.0::DOUBLE AS dollars, count(DISTINCT candidate) AS candidates
+  FROM trails JOIN cycle_contributions ON committee = corp JOIN rates USING (candidate) JOIN covers USING (org) GROUP BY ALL HAVING count(score) > 0)""")
+def brand_scores_zero_dollar_all(d: Domain) -> DataFrame:
+    """Every brand, with every amount nothing: the plain mean over paths."""
+    nothing = d.cycle_contributions.withColumn("amount", F.lit(0).cast("decimal(18,2)"))
+    return scoring.factored_scores(traverse.trail_counts(d.owned_by, d.subsidiaries), d.pacs, nothing, d.rates, d.covers)
+
+
 @query("""SELECT committee, month, CAST(dollars AS DOUBLE) AS dollars, candidates,
   CASE WHEN dollars > 100000 AND candidates >= 5 THEN 'high' WHEN dollars > 10000 OR candidates >= 2 THEN 'medium' ELSE 'low' END AS confidence
   FROM (SELECT committee, strftime(l_shipdate, '%Y-%m') AS month, sum(amount) AS dollars, count(DISTINCT candidate) AS candidates FROM contributions GROUP BY ALL)""")

@@ -94,3 +94,11 @@ def test_export(spark, tmp_path):
     out = json.loads((tmp_path / "out" / "scores.json").read_text())
     assert out["meta"]["brand_count"] == 2 and out["meta"]["version"] == "0.2"
     assert out["brands"]["b"]["i"]["o"] == {"score": 1.5, "dollars": 2.0, "candidates": 3, "confidence": "low"} and set(out["brands"]) == {"b", 'q"'}
+
+
+def test_whole_ownership_table_is_scored(spark, sf_dir):
+    from ledgerweave.plans import catalogue
+
+    brands = catalogue.Domain(spark, sf_dir).owned_by.count()
+    for name in ("brand_scores_naive_all", "brand_scores_zero_dollar_all"):
+        assert catalogue.QUERIES[name](spark, sf_dir).select("brand_name").distinct().count() == brands
