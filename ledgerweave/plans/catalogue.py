@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import names
 from ledgerweave.operators import dedupe, filters, resolve, scoring, serve, traverse, upserts
-from ledgerweave.plans.projection import CYCLES, KEY, Domain, sql
+from ledgerweave.plans.projection import ALL_SQL, CYCLES, KEY, Domain, sql
 from ledgerweave.sources import bulk, scorecards, seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,15 @@ def exec_trail_top100(d: Domain) -> DataFrame:
     return rows.withColumn("amount", F.col("amount").cast("double"))
 
 
+@query(f"""{ALL_SQL} SELECT brand, corp, person, candidate, CAST(amount AS DOUBLE) AS amount, tran, score, org, issue
+  FROM trails JOIN all_executives USING (corp) JOIN all_donations USING (person) JOIN rates USING (candidate) JOIN covers USING (org) WHERE brand = 'Brand#13'
+  ORDER BY all_donations.amount DESC NULLS FIRST, brand, corp, person, candidate, org, issue, tran LIMIT 100""")
+def exec_trail_top100_all(d: Domain) -> DataFrame:
+    """The same with every customer as an executive and every order as a donation."""
+    rows = serve.money_trail(traverse.trails(_one_brand(d), d.subsidiaries), d.all_executives.join(d.all_donations, "person"), d.rates, d.covers, "person")
+    return rows.withColumn("amount", F.col("amount").cast("double"))
+
+
 _VIEW = """v AS (SELECT DISTINCT o.brand, o.corp, t.corp AS anc, p.id AS committee, c.candidate FROM owned_by o JOIN (SELECT DISTINCT brand, corp FROM trails WHERE depth <= 5) t USING (brand)
   LEFT JOIN corporation p ON p.id = t.corp LEFT JOIN (SELECT DISTINCT committee, candidate FROM contributions) c ON c.committee = p.id
   WHERE o.brand = 'Brand#13' ORDER BY 1, 2, 3, 4 NULLS FIRST, 5 NULLS FIRST LIMIT 200)"""
@@ -240,6 +249,13 @@ def append_donations(d: Domain) -> DataFrame:
     return rows.groupBy("person", "candidate", "tran").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query(f"{ALL_SQL} SELECT person, candidate, tran, count(*) AS copies FROM (SELECT * FROM all_donations UNION ALL SELECT * FROM all_donations) JOIN candidate USING (candidate) GROUP BY ALL")
+def append_donations_all(d: Domain) -> DataFrame:
+    """Every donation appended twice."""
+    rows = d.all_donations.unionAll(d.all_donations).join(d.candidates.select("candidate"), "candidate", "left_semi")
+    return rows.groupBy("person", "candidate", "tran").agg(F.count(F.lit(1)).alias("copies"))
+
+
 @query("""SELECT c_custkey AS candidate, CASE WHEN c_custkey % 4 = 0 THEN 'New ' || c_name ELSE c_name END AS name,
   CASE WHEN c_custkey % 4 = 0 THEN c_name || '|' ELSE '' END || 'Old ' || c_name AS aliases FROM customer""", domain=False)
 def alias_accumulate(d: Domain) -> DataFrame:
@@ -282,6 +298,16 @@ def unknown_candidate_anti(d: Domain) -> DataFrame:
     return upserts.unknown(d.donations, d.candidates.filter("candidate % 3 <> 0"), "candidate").select("person", "candidate", "tran")
 
 
+@query(f"{ALL_SQL} SELECT person, candidate, tran FROM all_donations WHERE candidate IN (SELECT candidate FROM candidate) AND person IN (SELECT person FROM all_executives WHERE corp % 2 = 0)")
+def endpoint_semi_all(d: Domain) -> DataFrame:
+    return upserts.with_endpoints(d.all_donations, d.all_executives.filter("corp % 2 = 0"), "person", d.candidates, "candidate").select("person", "candidate", "tran")
+
+
+@query(f"{ALL_SQL} SELECT person, candidate, tran FROM all_donations WHERE candidate NOT IN (SELECT candidate FROM candidate WHERE candidate % 3 <> 0)")
+def unknown_candidate_anti_all(d: Domain) -> DataFrame:
+    return upserts.unknown(d.all_donations, d.candidates.filter("candidate % 3 <> 0"), "candidate").select("person", "candidate", "tran")
+
+
 @query("SELECT DISTINCT p_brand AS brand FROM part WHERE CAST(substr(p_brand, 7) AS INT) % 3 <> 0", domain=False)
 def negative_cache_anti(d: Domain) -> DataFrame:
     """Brands without a cached answer; a cached null is an answer."""
@@ -437,6 +463,15 @@ def resolve_ratings(d: Domain) -> DataFrame:
     return resolve.resolved_ratings(ratings, resolve.candidate_index(_filed(d), names.plain), names.plain)
 
 
+@query(ORACLES["resolve_ratings"].replace("WHERE c_custkey % 4 = 0\n", "WHERE c_custkey % 2 = 0\n").replace("customer WHERE c_custkey % 4 = 1)", "customer WHERE c_custkey % 2 = 1)"), domain=False)
+def resolve_ratings_all(d: Domain) -> DataFrame:
+    """A rating for every customer."""
+    key = F.col("c_custkey")
+    name = F.when(key % 2 == 0, F.concat(F.lit("Tim L"), F.floor(key / 4))).otherwise(F.concat(F.lit("Eva L"), F.floor(key / 4) + key % 3))
+    ratings = d.table("customer").select(key.alias("rating_id"), name.alias("candidate_name"), F.lit("ca").alias("state"))
+    return resolve.resolved_ratings(ratings, resolve.candidate_index(_filed(d), names.plain), names.plain)
+
+
 # --- similarity -----------------------------------------------------------------------------------------------------
 
 
@@ -447,6 +482,14 @@ def similarity_join(d: Domain) -> DataFrame:
     return resolve.similar_companies(asked, d.table("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("position")))
 
 
+@query()
+def similarity_join_all(d: Domain) -> DataFrame:
+    """Every supplier as a query."""
+    key = F.col("s_suppkey")
+    asked = d.table("supplier").select(F.concat("s_name", F.when(key % 4 == 0, " Inc.").when(key % 4 == 2, " x").when(key % 4 == 1, " Corp").otherwise(" y")).alias("query"))
+    return resolve.similar_companies(asked, d.table("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("position")))
+
+
 def _hits(d: Domain) -> DataFrame:
     i = F.col("s_suppkey")
     return d.table("supplier").select(

@@ -83,6 +83,17 @@ class Domain:
         rated = self.table("customer").select(key.alias("candidate"), score.alias("score"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda r: r != key % 5)).alias("r_regionkey"))
         return rated.join(F.broadcast(self.table("region").select("r_regionkey", F.col("r_name").alias("org"))), "r_regionkey").select("org", "candidate", "score")
 
+    @cached_property
+    def all_executives(self) -> DataFrame:
+        """(corp, person): every customer is an executive of one corporation."""
+        n = self.corporations.count()
+        return self.table("customer").select((F.col("c_custkey") % n).alias("corp"), F.col("c_custkey").alias("person"))
+
+    @cached_property
+    def all_donations(self) -> DataFrame:
+        """(person, candidate, amount, tran): every order, given to the candidate with the next number."""
+        return self.table("orders").select(F.col("o_custkey").alias("person"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 7).alias("candidate"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderkey").cast("string").alias("tran"))
+
     @cached_property
     def executives(self) -> DataFrame:
         """(corp, person): every fiftieth customer is an executive of one corporation."""
@@ -143,5 +154,12 @@ brand_scores AS (
 """
 
 
+#: Every customer as an executive and every order as a donation, to stand behind SQL.
+ALL_SQL = """, all_executives AS (SELECT c_custkey % (SELECT count(*) FROM corporation) AS corp, c_custkey AS person FROM customer),
+all_donations AS (
+  SELECT o_custkey AS person, o_custkey + 1 + o_orderkey % 7 AS candidate, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(o_orderkey AS VARCHAR) AS tran FROM orders)
+"""
+
+
 def sql(select: str) -> str:
     return f"WITH RECURSIVE {SQL} {select}"

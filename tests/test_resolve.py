@@ -90,3 +90,12 @@ def test_filters(spark):
     assert filters.by_executives(rows, ["clerk"]).count() == 1
     assert (filters.in_list(rows, "occupation", None).count(), filters.in_list(rows, "occupation", []).count(), filters.in_list(rows, "occupation", ["CEO"]).count()) == (4, 0, 1)
     assert (filters.name_contains(rows, "occupation", "").count(), filters.name_contains(rows, "occupation", "C_").count(), filters.name_contains(rows, "occupation", "DIR").count()) == (3, 0, 1)
+
+
+def test_queries_over_whole_tables(spark, sf_dir):
+    from ledgerweave.plans import catalogue
+
+    d, rows = catalogue.Domain(spark, sf_dir), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
+    assert (d.all_executives.count(), d.all_donations.count()) == (rows("customer"), rows("orders"))
+    assert catalogue.QUERIES["similarity_join_all"](spark, sf_dir).select("query").distinct().count() == rows("supplier")
+    assert {r["rating_id"] % 4 for r in catalogue.QUERIES["resolve_ratings_all"](spark, sf_dir).collect()} == {0, 1, 2, 3}
