@@ -1,11 +1,16 @@
 """MPEG audio columns: frames found by resynchronisation, tags, variable-bitrate tables, checksums, exact durations, seek offsets.
 
-``parse`` reads any stream of MPEG-1/2/2.5 layer I-III frames. A frame header counts only if the next one follows
-where it says (or the stream ends there); otherwise the reader moves on a byte and counts a resynchronisation.
+``parse`` reads any stream of MPEG-1/2/2.5 layer I-III frames. A frame counts if it follows a frame of the same version,
+layer and sampling rate (so the last one before junk does), or if one of these follows it, or if the stream ends with it;
+otherwise the reader moves on a byte and counts a resynchronisation. Checksums of all layers are verified: over the
+side information in layer III, over the bit allocation in layer I, and over bit allocation and scale factor selection
+in layer II. Durations are summed exactly for each sampling rate.
 ``encode`` writes a payload losslessly as the main data of layer III frames with CRCs, behind an ID3v2 tag and a Xing
 table, which is how the query stores a text's bytes.
 
-Nulls count as empty. Bytes that are no MPEG audio give a track without frames. Repeated rows give equal rows.
+Nulls count as empty. Bytes that are no MPEG audio give a track without frames. Texts of any length are stored whole.
+Repeated rows, and rows with equal texts, give equal values; a null doc_id stays null. Other columns are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,6 +40,8 @@ KBITS = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 HZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Layer II: bits of the allocation of each subband, by table; the last is for MPEG-2 and 2.5.
+ALLOCATION = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19}
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 
 #: Payloads are padded with zeros to a positive multiple of this.
@@ -49,9 +58,24 @@ class Header:
     kbits: int
     hz: int
     mono: bool
+    bound: int  # first subband that both channels share; 32: none
     size: int
     samples: int
 
+    def like(self, other: Header | None) -> bool:
+        """Whether the two may be neighbours in one stream."""
+        return other is not None and (self.version, self.layer, self.hz) == (other.version, other.layer, other.hz)
+
+    @property
+    def allocation(self) -> list[int]:
+        """Layer II's allocation bits of each subband."""
+        each = self.kbits if self.mono else self.kbits // 2
+        if self.version != 3:
+            return ALLOCATION["low"]
+        if each <= 48:
+            return ALLOCATION["d" if self.hz == 32000 else "c"]
+        return ALLOCATION["a" if each <= 80 or self.hz == 48000 else "b"]
+
     @property
     def side(self) -> int:
         """Bytes of layer III side information."""
@@ -73,20 +97,39 @@ def header(raw: bytes) -> Header | None:
     kbits, hz, pad = KBITS[first, layer][rate], HZ[version][hz], raw[2] >> 1 & 1
     samples = SAMPLES[first, layer]
     size = (12 * kbits * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbits * 1000 // hz + pad
-    return Header(version, layer, not raw[1] & 1, kbits, hz, raw[3] >> 6 == 3, size, samples)
+    mode, bound = raw[3] >> 6, 4 * (raw[3] >> 4 & 3) + 4
+    return Header(version, layer, not raw[1] & 1, kbits, hz, mode == 3, bound if mode == 1 else 32, size, samples)
 
 
 @lru_cache(maxsize=65536)
-def crc16(data: bytes) -> int:
-    """The frame checksum: polynomial 0x8005, start 0xFFFF, highest bit first."""
-    crc = 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The frame checksum over the first bits (or all): polynomial 0x8005, start 0xFFFF, highest bit first."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        for k in range(7, 7 - min(8, left), -1):
+            top = crc >> 15 ^ byte >> k & 1
+            crc = (crc << 1 ^ 0x8005 * top) & 0xFFFF
+        left -= min(8, left)
     return crc
 
 
+def protected(head: Header, body: bytes) -> int:
+    """Bits behind the checksum that it covers; body: the frame from there on."""
+    channels = 1 if head.mono else 2
+    if head.layer == 3:
+        return 8 * head.side
+    if head.layer == 1:
+        return sum(4 * (channels if band < head.bound else 1) for band in range(32))
+    stream, at, chosen = int.from_bytes(body, "big"), 0, 0
+    for band, width in enumerate(head.allocation):
+        shared = band >= head.bound
+        for _ in range(1 if shared else channels):
+            used = stream >> (8 * len(body) - at - width) & (1 << width) - 1 if at + width <= 8 * len(body) else 0
+            chosen += (used != 0) * (channels if shared else 1)
+            at += width
+    return at + 2 * chosen
+
+
 @dataclass
 class Track:
     tags: dict[str, str] = field(default_factory=dict)
@@ -106,8 +149,11 @@ class Track:
         return self.headers[0].hz if self.headers else 0
 
     def micros(self) -> int:
-        """Exact duration over all frames, to the microsecond below."""
-        return self.samples * 1_000_000 // self.hz if self.hz else 0
+        """Exact duration over all frames, each at its own sampling rate, to the microsecond below."""
+        played = Counter()
+        for h in self.headers:
+            played[h.hz] += h.samples
+        return int(sum(Fraction(n * 1_000_000, hz) for hz, n in played.items()))
 
     def seek(self, every: int = SEEK_EVERY) -> list[int]:
         return self.offsets[::every]
@@ -160,23 +206,25 @@ def parse(data: bytes) -> Track:
     end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
     if end < len(data):
         track.tags.setdefault("TIT2", data[-125:-95].decode("latin-1").rstrip("\0 "))
-    lost = False
+    lost, last = False, None
     while at + 4 <= end:
         head = header(data[at : at + 4])
         after = at + head.size if head else 0
-        if head is None or after > end or (end - after >= 4 and header(data[after : after + 4]) is None):
-            at = data.find(b"\xff", at + 1, end)
+        fits = head is not None and after <= end
+        if not fits or not (head.like(last) or end - after < 4 or head.like(header(data[after : after + 4]))):
+            at, last = data.find(b"\xff", at + 1, end), None
             if at < 0:
                 break
             track.resyncs += not lost
             lost = True
             continue
-        lost = False
+        lost, last = False, head
         if head.crc:
-            over = head.side if head.layer == 3 else 0  # layers I and II: the bit allocation is not decoded, so not checked
-            if over:
+            body = data[at + 6 : min(after, at + 6 + 96)]  # no layer covers more than 94 bytes
+            bits = protected(head, body)
+            if bits <= 8 * len(body):
                 track.checked += 1
-                track.broken += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + over]) != int.from_bytes(data[at + 4 : at + 6], "big")
+                track.broken += crc16(data[at + 2 : at + 4] + body[: -(-bits // 8)], 16 + bits) != int.from_bytes(data[at + 4 : at + 6], "big")
         if not track.headers and track.table is None and (found := _table(data, at, head)):
             track.table = found
         else:
@@ -232,7 +280,7 @@ def feature(track: Track) -> str:
     h, table = track.headers[0], track.table or {}
     version = {3: "1", 2: "2", 0: "2.5"}[h.version]
     rates = sorted({x.kbits for x in track.headers})
-    return f"mpeg{version}-layer{h.layer};hz={h.hz};frames={len(track.headers)};samples={track.samples};us={track.micros()};kbits={rates[0]}-{rates[-1]};table={table.get('kind', 'none')}:{table.get('frames', 0)};crc={track.checked - track.broken}/{track.checked};resyncs={track.resyncs};seek={','.join(map(str, track.seek()[:8]))}"
+    return f"mpeg{version}-layer{h.layer};hz={h.hz};frames={len(track.headers)};samples={track.samples};us={track.micros()};kbits={rates[0]}-{rates[-1]};table={table.get('kind', 'none')}:{table.get('frames', 0)};crc={track.checked - track.broken}/{track.checked};resyncs={track.resyncs};seek={len(track.seek())}:{zlib.crc32(struct.pack(f'<{len(track.seek())}Q', *track.seek())):08x}"
 
 
 def media_column(docs: DataFrame) -> DataFrame:

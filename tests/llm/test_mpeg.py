@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import struct
 import zlib
 
@@ -32,13 +34,69 @@ def test_resynchronisation_and_broken_checksums():
     b[8] ^= 1
     data = b"\x00\xff\xfb junk" + a + bytes(b) + b"\xff\x00lost" + c + a
     track = mpeg.parse(data)
-    # a frame counts if the next header follows it, so the one before the lost bytes is passed over
-    assert [h.kbits for h in track.headers] == [128, 128, 128] and track.resyncs == 2
+    # all four frames: the one before the lost bytes follows a frame like it
+    assert [h.kbits for h in track.headers] == [128, 64, 128, 128] and track.resyncs == 2
+    assert (track.checked, track.broken, track.samples) == (3, 1, 4 * 1152)
     whole = mpeg.parse(a + bytes(b) + c)
     assert (whole.checked, whole.broken, whole.samples, whole.micros()) == (2, 1, 3 * 1152, 3 * 1152 * 1_000_000 // 44100)
     assert whole.offsets == [0, len(a), len(a) + len(b)] and whole.seek(2) == [0, len(a) + len(b)]
 
 
+def test_mixed_rates():
+    """44.1 kHz, then 48 kHz: each frame lasts as long as its own rate says, and no byte is skipped."""
+    high = bytes([0xFF, 0xFB, 0x94, 0xC0])
+    high += bytes(mpeg.header(high).size - 4)
+    track = mpeg.parse(frame(9) * 3 + high * 2 + b"\xff\xfb junk")
+    assert [h.hz for h in track.headers] == [44100] * 3 + [48000] * 2
+    assert track.micros() == math.floor(1152 * 1_000_000 * (3 / 44100 + 2 / 48000)) and track.resyncs == 0
+
+
+def bits_crc(bits):
+    """The checksum by long division, bit by bit."""
+    crc = 0xFFFF
+    for bit in bits:
+        crc = (crc << 1) ^ (0x8005 if (crc >> 15 & 1) != int(bit) else 0)
+        crc &= 0xFFFF
+    return crc.to_bytes(2, "big")
+
+
+def as_bits(raw):
+    return "".join(f"{b:08b}" for b in raw)
+
+
+def test_layer_two_checksum():
+    """Stereo at 192 kbit/s and 44.1 kHz: 30 subbands; joint ones share their allocation but choose scale factors twice."""
+    for third, shared_from in ((0x00, 32), (0x60, 12)):
+        raw = bytes([0xFF, 0xFC, 0xA0, third])
+        head = mpeg.header(raw)
+        assert (head.layer, head.kbits, head.bound) == (2, 192, shared_from)
+        rng, bits, chosen = random.Random(third), "", 0
+        for band in range(30):
+            width = 4 if band < 11 else 3 if band < 23 else 2
+            for _ in range(1 if band >= shared_from else 2):
+                value = rng.randrange(1 << width) * rng.randrange(2)
+                bits += f"{value:0{width}b}"
+                chosen += (value > 0) * (2 if band >= shared_from else 1)
+        bits += "".join(rng.choice("01") for _ in range(2 * chosen))
+        body = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+        whole = raw + bits_crc(as_bits(raw[2:]) + bits) + body
+        whole += b"\x55" * (head.size - len(whole))
+        worse = bytearray(whole)
+        worse[7] ^= 0x10
+        track = mpeg.parse(whole + bytes(worse) + whole)
+        assert (track.checked, track.broken, len(track.headers)) == (3, 1, 3)
+
+
+def test_layer_one_checksum():
+    for third, covered in ((0x00, 256), (0x50, 128 + 32), (0xC0, 128)):  # stereo, joint from subband 8, mono
+        raw = bytes([0xFF, 0xFE, 0x40, third])
+        head = mpeg.header(raw)
+        body = random.Random(third).randbytes(head.size - 6)
+        whole = raw + bits_crc(as_bits(raw[2:]) + as_bits(body)[:covered]) + body
+        track = mpeg.parse(whole * 2)
+        assert (head.layer, track.checked, track.broken) == (1, 2, 0)
+
+
 def test_tables_and_tags():
     first = bytearray(frame(9, crc=False))
     first[36:62] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 1234, 5, 2, 1, 2, 3)
