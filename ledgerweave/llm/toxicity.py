@@ -8,7 +8,9 @@ are located.
 Words are runs of letters and digits, lower-cased for A-Z and Latin-1, so marks stuck to a word do not hide it. Sentences end at
 ``.``, ``!``, ``?`` and line ends. Null and empty texts have no sentence and score 0. Rows with a null doc_id are scored
 (held_out is null) and never trained on. With no labelled rows of both kinds, every score is the share of label 1
-(0.0 without labels). Ids, labels, lang and source are no inputs of a score.
+(0.0 without labels). Ids, labels, lang and source are no inputs of a score. Texts of any length are scored whole;
+repeated rows, and rows with equal texts, get equal scores; a score of exactly 0.5 counts as toxic. Other columns are
+not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from .words import small_latin, span_hashes, spans
 
 #: Labelled documents of each label that the model is fitted on, at most.
 MOST_LABELLED = {0: 2500, 1: 2000}
-#: Hashed features; bytes of the word beginnings that are features too; epochs; documents that a feature must be in.
-FEATURES, BEGINNINGS, EPOCHS, LEAST_DOCS = 1 << 18, (4, 5), 250, 8
+#: Hashed features; bytes of the word beginnings that are features too; epochs; documents that a feature must be in, at least and,
+#: where toxic documents are many, one for each so many of these, at most.
+FEATURES, BEGINNINGS, EPOCHS, LEAST_DOCS, DOCS_EACH, MOST_DOCS = 1 << 18, (4, 5), 250, 4, 50, 8
 
 _NO_WORD = np.ones(256, bool)
 for _low, _high in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -79,15 +82,26 @@ class NoisyOr:
         return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(scores, 1 - 1e-12)), n))
 
 
+def loss_slope(p: np.ndarray, doc: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Slope of the weighted mean log loss of the noisy-or by each sentence's logit; p: sentence scores."""
+    toxic = -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
+    pull = np.where(labels > 0, -(1 - toxic) / np.maximum(toxic, 1e-9), 1.0)  # of the loss by -log(1 - p)
+    return p * (pull * weights)[doc] / len(labels)
+
+
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.1, decay: float = 3e-4) -> NoisyOr:
-    """bags: (label, features, sentence of each feature). Full-batch Adam on the log loss of the noisy-or."""
+    """bags: (label, features, sentence of each feature). Full-batch Adam on the log loss of the noisy-or.
+
+    The rarer label weighs more, by the root of its odds, and the number of documents that a feature must be in follows
+    the number of toxic ones, so that few labels still leave features.
+    """
     labels = np.array([b[0] for b in bags], float)
     if not len(bags) or labels.min() == labels.max():
         return NoisyOr(np.zeros(FEATURES), -30.0, float(labels.mean()) if len(bags) else 0.0)
     counts = np.zeros(FEATURES, np.int64)
     for _, feature, _ in bags:
         counts[np.unique(feature)] += 1
-    used = counts >= LEAST_DOCS
+    used = counts >= min(MOST_DOCS, max(LEAST_DOCS, int(labels.sum()) // DOCS_EACH))
     known = np.flatnonzero(used)
     dense = np.cumsum(used) - 1
     sizes = np.array([int(b[2].max()) + 1 if len(b[2]) else 0 for b in bags])
@@ -96,22 +110,21 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, ra
     sentence = np.concatenate([(b[2] + s)[used[b[1]]].astype(np.int32) for b, s in zip(bags, base, strict=True)])
     doc, n = np.repeat(np.arange(len(bags)), sizes), int(sizes.sum())
     share = labels.mean()
+    weights = np.where(labels > 0, np.sqrt((1 - share) / share), 1.0)
+    weights /= weights.mean()
     w, bias = np.zeros(len(known)), float(np.log(share / max(1.0, sizes.mean())))
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for step in range(1, epochs + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[feature], n) + bias, -30, 30)))
-        log_clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags))
-        toxic = -np.expm1(log_clean)
-        pull = np.where(labels > 0, -(1 - toxic) / np.maximum(toxic, 1e-9), 1.0)  # of the loss by -log(1 - p)
-        slope = p * pull[doc] / len(bags)
+        slope = loss_slope(p, doc, labels, weights)
         grad = np.append(np.bincount(feature, slope[sentence], len(w)) + decay * w, slope.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - float(move[-1])
-    weights = np.zeros(FEATURES)
-    weights[known] = w
-    return NoisyOr(weights, bias)
+    learned = np.zeros(FEATURES)
+    learned[known] = w
+    return NoisyOr(learned, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, most: dict[int, int] = MOST_LABELLED) -> NoisyOr:
@@ -171,4 +184,4 @@ def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned outside fold 0 of 5."""
     docs = common.table(spark, sf_dir, "documents")
     model = train(docs, common.table(spark, sf_dir, "labels"))
-    return scored(docs, model).select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").alias("n_sentences"))
+    return scored(docs, model).select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").alias("n_sentences"), "sentences")
