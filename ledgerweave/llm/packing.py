@@ -9,11 +9,12 @@ finds no gap opens new sequences. Runs are counted, ranked and placed by Spark o
 know of them is one count for each length, so its state has a fixed bound (``size`` counts and a few thousand runs of
 gaps, whatever the number of rows). The rounds give every piece the place that best-fit decreasing gives it.
 
-Rank within a run is the running count over hashed slices of the run, so a length shared by a third of all rows is
-no hot group.
+Rank within a run is the running count over hashed slices of the run, one for SLICE_ROWS of its rows, so a length
+shared by a third of all rows is as many slices as its rows need. A slice meets only the stretches of its own ranks.
 
 Nulls count as empty texts and hold the end id alone; a null doc_id and repeated doc_ids are packed as rows of their
-own; other columns are not read; an empty table gives no rows.
+own; pieces of equal length are placed in the order of their hashed slice, doc_id and piece; texts of any length are
+cut as a whole; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from . import common
 from .tokens import encoded
 
 SIZE = 1024
-#: Slices over which the ranks of a run are counted.
-SLICES = 64
+#: Rows of a run for each slice over which its ranks are counted.
+SLICE_ROWS = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -92,22 +93,19 @@ def pack(rows: DataFrame, size: int = SIZE, key: tuple[str, ...] = ("doc_id", "p
     rows is read twice, so it should be a written table.
     """
     spark = rows.sparkSession
-    sliced = rows.withColumn("slice", F.pmod(F.xxhash64(*key), F.lit(SLICES)).cast("int"))
-    sizes = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
+    slices = spark.createDataFrame([(k, -(-n // SLICE_ROWS)) for k, n in counts.items()], "length long, slices long")
+    sliced = rows.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(F.xxhash64(*key), F.col("slices")))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).cache()  # at most size x SLICES rows
-    counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
-    base = base.select("length", "slice", "base")
+    base = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("rows")).withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     plan = spark.createDataFrame(best_fit_rounds(counts, size), "length long, low long, n long, first long, offset long")
+    # of each slice the stretches that its ranks fall in: at most one for each slice and stretch, so a slice for SLICE_ROWS rows
+    met = base.join(F.broadcast(plan), "length").filter((F.col("low") < F.col("base") + F.col("rows")) & (F.col("low") + F.col("n") > F.col("base")))
+    met = met.groupBy("length", "slice", "base").agg(F.sort_array(F.collect_list(F.struct("low", "n", "first", "offset"))).alias("plan"))
     within = Window.partitionBy("length", "slice").orderBy(*key)
-    ranked = sliced.join(F.broadcast(base), ["length", "slice"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
-    plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "n", "first", "offset"))).alias("plan"))
+    placed = sliced.withColumn("place", F.row_number().over(within)).join(met, ["length", "slice"]).withColumn("rank", F.col("base") + F.col("place") - 1)
     stretch = F.filter("plan", lambda p: (p["low"] <= F.col("rank")) & (F.col("rank") < p["low"] + p["n"]))[0]
-    return (
-        ranked.join(F.broadcast(plan), "length")
-        .withColumn("stretch", stretch)
-        .select(*rows.columns, (F.col("stretch.first") + F.col("rank") - F.col("stretch.low")).alias("sequence_id"), F.col("stretch.offset").alias("offset"))
-    )
+    return placed.withColumn("stretch", stretch).select(*rows.columns, (F.col("stretch.first") + F.col("rank") - F.col("stretch.low")).alias("sequence_id"), F.col("stretch.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, size: int = SIZE) -> DataFrame:
