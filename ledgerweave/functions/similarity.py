@@ -39,3 +39,18 @@ def lengths_allow(key_a: Column, key_b: Column, threshold: float = THRESHOLD) ->
     """The ratio is at most 2 * shorter / (both lengths), so other pairs cannot reach the threshold."""
     a, b = F.length(key_a), F.length(key_b)
     return 2 * F.least(a, b) >= threshold * (a + b)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(key: Column) -> Column:
+    """How often each letter, digit and the space is in a key, then all other characters together."""
+    counts = [F.length(key) - F.length(F.replace(key, F.lit(c))) for c in _LETTERS]
+    return F.array(*counts, F.length(F.regexp_replace(key, "[a-z0-9 ]", "")))
+
+
+def letters_allow(counts_a: str, counts_b: str, size_a: Column, size_b: Column, threshold: float = THRESHOLD) -> Column:
+    """Matched characters are common ones, so twice the common letters over all is a bound of the ratio that no pair exceeds."""
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n)
+    return 2 * common >= threshold * (size_a + size_b)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.names import company_key, filed_name, fold_accents, other_filed_names, printed_name, provisional_id, qid
-from ledgerweave.functions.similarity import THRESHOLD, block_ratio, lengths_allow
+from ledgerweave.functions.similarity import THRESHOLD, block_ratio, lengths_allow, letter_counts, letters_allow
 from ledgerweave.operators.filters import has_sponsor
 
 
@@ -15,7 +15,8 @@ def similar_companies(queries: DataFrame, names: DataFrame, threshold: float = T
 
     Both sides are reduced to distinct keys. Equal keys meet in a hash join and need no more. For the rest, the ratio's
     upper bound by length makes the join one on length buckets: for each query length, the lengths that can still reach
-    the threshold are listed, and only pairs of such lengths are compared.
+    the threshold are listed. Of pairs of such lengths only those with enough common letters are compared, a bound that
+    holds for every pair, so none is lost.
     """
     asked = queries.select("query", company_key(F.col("query")).alias("q")).distinct()
     known = names.select("name", "position", company_key(F.col("name")).alias("k"))
@@ -25,10 +26,11 @@ def similar_companies(queries: DataFrame, names: DataFrame, threshold: float = T
     open_keys = keys.join(same, "q", "left_anti")
     n = F.length("q")
     low, high = F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int")
-    reach = open_keys.withColumn("length", F.explode(F.sequence(low, F.greatest(low, high))))
-    pairs = reach.join(first.withColumn("length", F.length("k")), "length").filter(lengths_allow(F.col("q"), F.col("k"), threshold))
+    reach = open_keys.withColumn("q_letters", letter_counts(F.col("q"))).withColumn("length", F.explode(F.sequence(low, F.greatest(low, high))))
+    pairs = reach.join(first.withColumns({"length": F.length("k"), "k_letters": letter_counts(F.col("k"))}), "length")
+    pairs = pairs.filter(lengths_allow(F.col("q"), F.col("k"), threshold) & letters_allow("q_letters", "k_letters", n, F.length("k"), threshold))
     scored = pairs.select("q", "name", "position", block_ratio("q", "k").alias("score")).filter(F.col("score") >= threshold)
-    best = scored.groupBy("q").agg(F.max_by("name", F.struct("score", F.struct(-F.col("position")))).alias("name"), F.max("score").alias("score"))
+    best = scored.groupBy("q").agg(F.min_by("name", F.struct(-F.col("score"), "position")).alias("name"), F.max("score").alias("score"))
     return asked.join(same.unionByName(best), "q").select("query", "name", "score")
 
 
@@ -83,25 +85,33 @@ def candidate_index(candidates: DataFrame, fold=fold_accents) -> DataFrame:
     return main.unionAll(more).distinct()
 
 
-def resolved_ratings(ratings: DataFrame, index: DataFrame, fold=fold_accents) -> DataFrame:
+def resolved_ratings(ratings: DataFrame, index: DataFrame, fold=fold_accents, parties: DataFrame | None = None) -> DataFrame:
     """ratings (rating_id, candidate_name, state) -> (rating_id, fec_id, provisional, outcome).
 
     One id with the exact name and state is taken; several leave the rating out. With none, last name and state decide:
     no such name makes a provisional candidate; one name is taken with all its ids; of several names, those whose given
     name begins the other (or the other way round) are left: none is provisional, one is taken, several leave it out.
+
+    parties (fec_id, party), off by default: of several such names those with a candidate of the rating's party (its
+    first letter) are preferred; if there is none, nothing changes.
     """
-    asked = ratings.select("rating_id", "candidate_name", F.upper(F.coalesce("state", F.lit(""))).alias("state"), printed_name(F.col("candidate_name"), fold).alias("key"))
+    party = F.substr("party", F.lit(1), F.lit(1)) if parties is not None else F.lit(None).cast("string")
+    index = index.join(parties.select("fec_id", party.alias("party")), "fec_id", "left") if parties is not None else index.withColumn("party", party)
+    asked = ratings.select(party.alias("party"), "rating_id", "candidate_name", F.upper(F.coalesce("state", F.lit(""))).alias("state"), printed_name(F.col("candidate_name"), fold).alias("key"))
     exact = index.groupBy(F.col("name_key").alias("key"), "state").agg(F.collect_set("fec_id").alias("ids"))
     asked = asked.join(exact, ["key", "state"], "left")
     hit = asked.filter("size(ids) = 1").select("rating_id", F.col("ids")[0].alias("fec_id"), F.lit(False).alias("provisional"), F.lit("exact").alias("outcome"))
     parts = F.split("name_key", " ")
-    by_last = index.filter(F.size(parts) == 2).select(parts[1].alias("last"), parts[0].alias("given"), "state", "fec_id")
-    names = by_last.groupBy("last", "state", "given").agg(F.collect_set("fec_id").alias("name_ids"))
-    names = names.groupBy("last", "state").agg(F.collect_list(F.struct("given", "name_ids")).alias("names"))
+    by_last = index.filter(F.size(parts) == 2).select(parts[1].alias("last"), parts[0].alias("given"), "state", "fec_id", "party")
+    names = by_last.groupBy("last", "state", "given").agg(F.collect_set("fec_id").alias("name_ids"), F.collect_set("party").alias("parties"))
+    names = names.groupBy("last", "state").agg(F.collect_list(F.struct("given", "name_ids", "parties")).alias("names"))
     words = F.split("key", " ")
     rest = asked.filter("ids is null").drop("ids").withColumns({"last": F.element_at(words, -1), "given": F.regexp_replace("key", " [^ ]+$", "")}).join(names, ["last", "state"], "left")
     near = F.filter("names", lambda x: F.startswith(x["given"], F.col("given")) | F.startswith(F.col("given"), x["given"]))
     rest = rest.withColumns({"n": F.coalesce(F.size("names"), F.lit(0)), "near": near})
+    if parties is not None:
+        same = F.filter("near", lambda x: F.array_contains(x["parties"], F.col("party")))
+        rest = rest.withColumn("near", F.when((F.size("near") > 1) & (F.size(same) > 0), same).otherwise(F.col("near")))
     taken = F.when(F.col("n") == 1, F.col("names")[0]["name_ids"]).when((F.col("n") > 1) & (F.size("near") == 1), F.get(F.col("near"), F.lit(0))["name_ids"])
     rest = rest.withColumns({"taken": taken, "new": (F.col("names").isNull()) | ((F.col("n") > 1) & (F.size("near") == 0))})
     by_name = rest.filter("taken is not null").select("rating_id", F.explode(F.array_sort("taken")).alias("fec_id"), F.lit(False).alias("provisional"), F.lit("last_name").alias("outcome"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hops of a trail for scores and money trails, and for the graph view.
 SCORE_HOPS, VIEW_HOPS = 10, 5
+_ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 def trails(roots: DataFrame, edges: DataFrame, hops: int = SCORE_HOPS) -> DataFrame:
@@ -16,39 +20,80 @@ def trails(roots: DataFrame, edges: DataFrame, hops: int = SCORE_HOPS) -> DataFr
     repeated edges are taken once. Each level is one join with the edges, which AQE broadcasts when they are small.
     """
     edges = edges.select("child", "parent").distinct()
-    at = roots.select("brand", "corp").distinct().withColumns({"depth": F.lit(0), "walked": F.array().cast("array<struct<a: bigint, b: bigint>>")})
-    spark = roots.sparkSession
-    at.createOrReplaceTempView("_lw_roots")
-    edges.createOrReplaceTempView("_lw_edges")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # trails may be many; the hops bound them
-    found = spark.sql(f"""
-        WITH RECURSIVE walk (brand, corp, depth, walked) AS (
-          SELECT brand, cast(corp AS bigint), depth, walked FROM _lw_roots
-          UNION ALL
-          SELECT w.brand, cast(e.parent AS bigint), w.depth + 1, array_append(w.walked, named_struct('a', cast(e.child AS bigint), 'b', cast(e.parent AS bigint)))
-          FROM walk w JOIN _lw_edges e ON w.corp = e.child
-          WHERE w.depth < {int(hops)} AND NOT array_contains(w.walked, named_struct('a', cast(e.child AS bigint), 'b', cast(e.parent AS bigint))))
-        SELECT brand, corp, depth FROM walk""")
+    kind = edges.schema["child"].dataType.simpleString()  # corporations may be numbers or names
+    at = roots.select("brand", "corp").distinct().withColumns({"depth": F.lit(0), "walked": F.array().cast(f"array<struct<a: {kind}, b: {kind}>>")})
+    spark, tag = roots.sparkSession, uuid4().hex
+    names = start, steps = f"_lw_roots_{tag}", f"_lw_edges_{tag}"
+    at.createOrReplaceTempView(start)
+    edges.createOrReplaceTempView(steps)
+    # trails may be many; the hops bound them. The limit is read when the plan is optimised, so it stays with the session.
+    if spark.conf.get(_ROW_LIMIT, None) != "-1":
+        spark.conf.set(_ROW_LIMIT, "-1")
+    try:
+        return spark.sql(f"""
+            WITH RECURSIVE walk (brand, corp, depth, walked) AS (
+              SELECT brand, cast(corp AS {kind}), depth, walked FROM {start}
+              UNION ALL
+              SELECT w.brand, cast(e.parent AS {kind}), w.depth + 1, array_append(w.walked, named_struct('a', cast(e.child AS {kind}), 'b', cast(e.parent AS {kind})))
+              FROM walk w JOIN {steps} e ON w.corp = e.child
+              WHERE w.depth < {int(hops)} AND NOT array_contains(w.walked, named_struct('a', cast(e.child AS {kind}), 'b', cast(e.parent AS {kind}))))
+            SELECT brand, corp, depth FROM walk""")
+    finally:  # the views are resolved into the plan by now
+        for name in names:
+            spark.catalog.dropTempView(name)
+
+
+def _joined(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(child, parent, n): how many walks go through first, then through then."""
+    then = then.select(F.col("child").alias("mid"), F.col("parent").alias("top"), F.col("n").alias("m"))
+    return first.join(then, F.col("parent") == F.col("mid")).groupBy("child", F.col("top").alias("parent")).agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+
+def _powers(edges: DataFrame, hops: int) -> list[DataFrame]:
+    """(child, parent, n) of the walks of exactly 1, 2, 4, ... edges, as far as hops needs them."""
+    found = [edges.select("child", "parent").distinct().withColumn("n", F.lit(1).cast("long"))]
+    while 2 ** len(found) <= hops:
+        found.append(_joined(found[-1], found[-1]))
     return found
 
 
+def never_returns(edges: DataFrame, hops: int = SCORE_HOPS) -> bool:
+    """True if no walk has 2^k edges, the first such number beyond hops: then there is no cycle. Deep graphs count as cyclic."""
+    last = _powers(edges, hops)[-1].select("child", "parent")
+    return last.join(last.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").isEmpty()
+
+
+def composed_counts(roots: DataFrame, edges: DataFrame, hops: int = SCORE_HOPS) -> DataFrame:
+    """(brand, corp, trails) on a graph without cycles, without listing trails.
+
+    Walks are counted, and the counts of 1, 2, 4, ... edges are composed, so that ten hops take six joins of the
+    counts and three of the edges, all in one plan. A corporation is one row for a brand, however many trails lead to it.
+    """
+    powers = _powers(edges, hops)
+
+    def moved(counts: DataFrame, by: DataFrame) -> DataFrame:
+        return counts.join(by, F.col("corp") == F.col("child")).groupBy("brand", F.col("parent").alias("corp")).agg(F.sum(F.col("trails") * F.col("n")).alias("trails"))
+
+    start, parts, left = roots.select("brand", "corp").distinct().withColumn("trails", F.lit(1).cast("long")), [], hops + 1
+    for k in reversed(range(len(powers) + 1)):
+        size = 2**k  # walks of 0 to size - 1 edges behind what start holds
+        if size > left:
+            continue
+        block = start
+        for power in powers[:k]:
+            block = block.unionByName(moved(block, power)).groupBy("brand", "corp").agg(F.sum("trails").alias("trails"))
+        parts.append(block)
+        left -= size
+        if left:
+            start = moved(start, powers[k])
+    return reduce(DataFrame.unionByName, parts).groupBy("brand", "corp").agg(F.sum("trails").alias("trails"))
+
+
 def trail_counts(roots: DataFrame, edges: DataFrame, hops: int = SCORE_HOPS) -> DataFrame:
-    """(brand, corp, trails): how many trails lead from a brand to a corporation."""
+    """(brand, corp, trails): how many trails lead from a brand to a corporation, by listing them: right with cycles too."""
     return trails(roots, edges, hops).groupBy("brand", "corp").agg(F.count(F.lit(1)).alias("trails"))
 
 
 def acyclic_trail_counts(roots: DataFrame, edges: DataFrame, hops: int = SCORE_HOPS) -> DataFrame:
-    """The same on a graph without cycles, without listing trails: counts are added up hop by hop.
-
-    With n corporations a hop makes at most n rows for a brand, however many trails there are.
-    """
-    edges = edges.select("child", "parent").distinct().persist()
-    level = roots.select("brand", "corp").distinct().withColumn("trails", F.lit(1).cast("long"))
-    total = level
-    for _ in range(hops):
-        # persisted, so that a level is computed once and not again in each later one; lost parts are computed anew
-        level = level.join(edges, F.col("corp") == F.col("child")).groupBy("brand", F.col("parent").alias("corp")).agg(F.sum("trails").alias("trails")).persist()
-        if level.isEmpty():
-            break
-        total = total.unionByName(level)
-    return total.groupBy("brand", "corp").agg(F.sum("trails").alias("trails"))
+    """The same for graphs with many diamonds, where trails are too many to list: composed counts if no walk returns, else listed."""
+    return composed_counts(roots, edges, hops) if never_returns(edges, hops) else trail_counts(roots, edges, hops)

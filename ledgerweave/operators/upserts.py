@@ -72,6 +72,24 @@ def alias_edges(pairs: DataFrame, corporations: DataFrame) -> DataFrame:
     return pairs.join(names_of(corporations).withColumnRenamed("name", "corp_name"), "corp_name").select("source", "corp").distinct()
 
 
+def by_corporation(pairs: DataFrame, corporations: DataFrame, *columns: str) -> DataFrame:
+    """pairs with each of the columns, names or aliases of corporations, replaced by ids; pairs that name none go."""
+    names = names_of(corporations)
+    for c in columns:
+        pairs = pairs.join(names.select(F.col("name").alias(c), F.col("corp").alias("_id")), c).drop(c).withColumnRenamed("_id", c)
+    return pairs.distinct()
+
+
+def with_edges(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Edges without properties: their ends are their identity, so a repeated load adds nothing."""
+    return current.unionByName(incoming.select(current.columns)).distinct()
+
+
+def with_keyed_edges(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Edges with properties: what comes in replaces the edge of its key."""
+    return current.join(incoming.select(*key).distinct(), list(key), "left_anti").unionByName(incoming.select(current.columns))
+
+
 def scores_written(current: DataFrame, computed: DataFrame, brands: DataFrame) -> DataFrame:
     """brand_score with the computed rows of brands that exist; rows that were not computed again stay."""
     key = ["brand_name", "issue_name", "scorecard_org"]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import names
 from ledgerweave.operators import dedupe, filters, resolve, scoring, serve, traverse, upserts
-from ledgerweave.plans.projection import ALL_SQL, CYCLES, KEY, Domain, sql
+from ledgerweave.plans.projection import CYCLES, KEY, Domain, sql
+from ledgerweave.plans.store import RESOLUTION, Store, work_dir
 from ledgerweave.sources import bulk, scorecards, seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,28 +50,8 @@ def brand_scores_factored(d: Domain) -> DataFrame:
     return scoring.factored_scores(traverse.acyclic_trail_counts(d.owned_by, d.subsidiaries), d.pacs, d.cycle_contributions, d.rates, d.covers)
 
 
-@query("""SELECT brand AS brand_name, issue AS issue_name, org AS scorecard_org,
-  round(CASE WHEN sum(amount) FILTER (score IS NOT NULL) = 0 THEN avg(score) ELSE sum(CAST(amount AS DOUBLE) * score) / CAST(sum(amount) FILTER (score IS NOT NULL) AS DOUBLE) END, 1) AS score,
-  CAST(sum(amount) AS DOUBLE) AS dollars, count(DISTINCT candidate) AS candidates, CASE WHEN sum(amount) > 100000 AND count(DISTINCT candidate) >= 5 THEN 'high' ELSE 'medium' END AS confidence
-  FROM paths WHERE brand = 'Brand#13' GROUP BY ALL HAVING count(score) > 0""")
-def brand_scores_naive(d: Domain) -> DataFrame:
-    """The definition, path by path, for one brand: what a lookup without precomputed scores does."""
-    trails = traverse.trails(d.owned_by.filter(F.col("brand") == BRAND), d.subsidiaries)
-    return scoring.naive_scores(trails, d.pacs, d.cycle_contributions, d.rates, d.covers)
-
-
-@query("""SELECT brand_name, issue_name, scorecard_org, score, dollars, candidates, 'low' AS confidence FROM (
-  SELECT brand AS brand_name, issue AS issue_name, org AS scorecard_org, round(avg(score), 1) AS score, 0.0::DOUBLE AS dollars, count(DISTINCT candidate) AS candidates
-  FROM trails JOIN cycle_contributions ON committee = corp JOIN rates USING (candidate) JOIN covers USING (org) WHERE brand = 'Brand#13' GROUP BY ALL HAVING count(score) > 0)""")
-def brand_scores_zero_dollar(d: Domain) -> DataFrame:
-    """One brand, with every amount nothing: the plain mean over paths."""
-    nothing = d.cycle_contributions.withColumn("amount", F.lit(0).cast("decimal(18,2)"))
-    counts = traverse.trail_counts(d.owned_by.filter(F.col("brand") == BRAND), d.subsidiaries)
-    return scoring.factored_scores(counts, d.pacs, nothing, d.rates, d.covers)
-
-
 @query("SELECT * FROM brand_scores")
-def brand_scores_naive_all(d: Domain) -> DataFrame:
+def brand_scores_naive(d: Domain) -> DataFrame:
     """The definition, path by path, for every brand."""
     return scoring.naive_scores(traverse.trails(d.owned_by, d.subsidiaries), d.pacs, d.cycle_contributions, d.rates, d.covers)
 
@@ -78,7 +59,7 @@ def brand_scores_naive_all(d: Domain) -> DataFrame:
 @query("""SELECT brand_name, issue_name, scorecard_org, score, dollars, candidates, 'low' AS confidence FROM (
   SELECT brand AS brand_name, issue AS issue_name, org AS scorecard_org, round(avg(score), 1) AS score, 0.0::DOUBLE AS dollars, count(DISTINCT candidate) AS candidates
   FROM trails JOIN cycle_contributions ON committee = corp JOIN rates USING (candidate) JOIN covers USING (org) GROUP BY ALL HAVING count(score) > 0)""")
-def brand_scores_zero_dollar_all(d: Domain) -> DataFrame:
+def brand_scores_zero_dollar(d: Domain) -> DataFrame:
     """Every brand, with every amount nothing: the plain mean over paths."""
     nothing = d.cycle_contributions.withColumn("amount", F.lit(0).cast("decimal(18,2)"))
     return scoring.factored_scores(traverse.trail_counts(d.owned_by, d.subsidiaries), d.pacs, nothing, d.rates, d.covers)
@@ -107,6 +88,27 @@ def trail_multiplicity(d: Domain) -> DataFrame:
     return traverse.acyclic_trail_counts(d.owned_by, d.subsidiaries)
 
 
+_SERVED: dict[tuple[str, str], str] = {}
+
+
+def _run_scores(d: Domain) -> DataFrame:
+    """Computes and stores the scores of every brand; later lookups of this application read what is stored."""
+    store = Store(d.spark, _SERVED.setdefault((d.spark.sparkContext.applicationId, d.sf_dir), work_dir(d.spark)))
+    return store.write_scores(_scores(d), d.owned_by.select(F.col("brand").alias("name")), CYCLES)
+
+
+def _stored_scores(d: Domain) -> DataFrame:
+    root = _SERVED.get((d.spark.sparkContext.applicationId, d.sf_dir))
+    rows = Store(d.spark, root).scores() if root else _run_scores(d)
+    return rows.drop("cycles", "computed_at")
+
+
+@query(f"SELECT *, '{','.join(map(str, CYCLES))}' AS cycles, true AS dated FROM brand_scores")
+def write_brand_scores(d: Domain) -> DataFrame:
+    """The scoring step: compute, upsert, and what is stored then."""
+    return _run_scores(d).withColumn("cycles", F.array_join("cycles", ",")).withColumn("dated", F.col("computed_at").isNotNull()).drop("computed_at")
+
+
 # --- serving --------------------------------------------------------------------------------------------------------
 
 
@@ -131,15 +133,6 @@ def exec_trail_top100(d: Domain) -> DataFrame:
     return rows.withColumn("amount", F.col("amount").cast("double"))
 
 
-@query(f"""{ALL_SQL} SELECT brand, corp, person, candidate, CAST(amount AS DOUBLE) AS amount, tran, score, org, issue
-  FROM trails JOIN all_executives USING (corp) JOIN all_donations USING (person) JOIN rates USING (candidate) JOIN covers USING (org) WHERE brand = 'Brand#13'
-  ORDER BY all_donations.amount DESC NULLS FIRST, brand, corp, person, candidate, org, issue, tran LIMIT 100""")
-def exec_trail_top100_all(d: Domain) -> DataFrame:
-    """The same with every customer as an executive and every order as a donation."""
-    rows = serve.money_trail(traverse.trails(_one_brand(d), d.subsidiaries), d.all_executives.join(d.all_donations, "person"), d.rates, d.covers, "person")
-    return rows.withColumn("amount", F.col("amount").cast("double"))
-
-
 _VIEW = """v AS (SELECT DISTINCT o.brand, o.corp, t.corp AS anc, p.id AS committee, c.candidate FROM owned_by o JOIN (SELECT DISTINCT brand, corp FROM trails WHERE depth <= 5) t USING (brand)
   LEFT JOIN corporation p ON p.id = t.corp LEFT JOIN (SELECT DISTINCT committee, candidate FROM contributions) c ON c.committee = p.id
   WHERE o.brand = 'Brand#13' ORDER BY 1, 2, 3, 4 NULLS FIRST, 5 NULLS FIRST LIMIT 200)"""
@@ -167,18 +160,18 @@ def viz_links(d: Domain) -> DataFrame:
 
 @query("SELECT * FROM brand_scores WHERE brand_name = 'Brand#13' AND issue_name IN ('BUILDING', 'MACHINERY')")
 def score_lookup(d: Domain) -> DataFrame:
-    return serve.brand_scores(_scores(d), BRAND, ["BUILDING", "MACHINERY"])
+    return serve.brand_scores(_stored_scores(d), BRAND, ["BUILDING", "MACHINERY"])
 
 
 @query("SELECT * FROM brand_scores WHERE contains(lower(brand_name), '#1') AND scorecard_org IN ('ASIA')")
 def score_search(d: Domain) -> DataFrame:
-    return serve.search_scores(_scores(d), "#1", orgs=["ASIA"])
+    return serve.search_scores(_stored_scores(d), "#1", orgs=["ASIA"])
 
 
 @query("""SELECT brand_name, issue_name, scorecard_org, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'mid' ELSE 'low' END AS score_class
   FROM (SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY abs(score - 50) DESC, issue_name, scorecard_org) AS n FROM brand_scores) WHERE n = 1""")
 def headline_issue(d: Domain) -> DataFrame:
-    return serve.headline(_scores(d))
+    return serve.headline(_stored_scores(d))
 
 
 @query("SELECT org, candidate, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'mid' WHEN score IS NOT NULL THEN 'low' END AS score_class FROM rates")
@@ -186,12 +179,13 @@ def score_class(d: Domain) -> DataFrame:
     return d.rates.select("org", "candidate", names.score_class(F.col("score")).alias("score_class"))
 
 
-@query("SELECT brand_name, count(DISTINCT issue_name) AS issues, count(*) AS entries FROM brand_scores GROUP BY ALL")
+@query("SELECT brand_name, issue_name, scorecard_org, score, dollars, candidates, confidence FROM brand_scores")
 def json_payload(d: Domain) -> DataFrame:
-    """The payload of every brand, counted again from its JSON."""
-    scorecard = "map<string, string>"
-    rows = scoring.payload(_scores(d)).select("brand_name", F.explode(F.from_json("payload", scorecard)).alias("issue", "orgs"))
-    return rows.groupBy("brand_name").agg(F.countDistinct("issue").alias("issues"), F.sum(F.size(F.from_json("orgs", scorecard))).alias("entries"))
+    """The payload of every brand, read again from its JSON with all metrics."""
+    text = "map<string, string>"
+    rows = scoring.payload(_stored_scores(d)).select("brand_name", F.explode(F.from_json("payload", text)).alias("issue_name", "orgs"))
+    rows = rows.select("brand_name", "issue_name", F.explode(F.from_json("orgs", "map<string, struct<score: double, dollars: double, candidates: bigint, confidence: string>>")).alias("scorecard_org", "m"))
+    return rows.select("brand_name", "issue_name", "scorecard_org", "m.*")
 
 
 # --- filters --------------------------------------------------------------------------------------------------------
@@ -249,13 +243,6 @@ def append_donations(d: Domain) -> DataFrame:
     return rows.groupBy("person", "candidate", "tran").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query(f"{ALL_SQL} SELECT person, candidate, tran, count(*) AS copies FROM (SELECT * FROM all_donations UNION ALL SELECT * FROM all_donations) JOIN candidate USING (candidate) GROUP BY ALL")
-def append_donations_all(d: Domain) -> DataFrame:
-    """Every donation appended twice."""
-    rows = d.all_donations.unionAll(d.all_donations).join(d.candidates.select("candidate"), "candidate", "left_semi")
-    return rows.groupBy("person", "candidate", "tran").agg(F.count(F.lit(1)).alias("copies"))
-
-
 @query("""SELECT c_custkey AS candidate, CASE WHEN c_custkey % 4 = 0 THEN 'New ' || c_name ELSE c_name END AS name,
   CASE WHEN c_custkey % 4 = 0 THEN c_name || '|' ELSE '' END || 'Old ' || c_name AS aliases FROM customer""", domain=False)
 def alias_accumulate(d: Domain) -> DataFrame:
@@ -298,16 +285,6 @@ def unknown_candidate_anti(d: Domain) -> DataFrame:
     return upserts.unknown(d.donations, d.candidates.filter("candidate % 3 <> 0"), "candidate").select("person", "candidate", "tran")
 
 
-@query(f"{ALL_SQL} SELECT person, candidate, tran FROM all_donations WHERE candidate IN (SELECT candidate FROM candidate) AND person IN (SELECT person FROM all_executives WHERE corp % 2 = 0)")
-def endpoint_semi_all(d: Domain) -> DataFrame:
-    return upserts.with_endpoints(d.all_donations, d.all_executives.filter("corp % 2 = 0"), "person", d.candidates, "candidate").select("person", "candidate", "tran")
-
-
-@query(f"{ALL_SQL} SELECT person, candidate, tran FROM all_donations WHERE candidate NOT IN (SELECT candidate FROM candidate WHERE candidate % 3 <> 0)")
-def unknown_candidate_anti_all(d: Domain) -> DataFrame:
-    return upserts.unknown(d.all_donations, d.candidates.filter("candidate % 3 <> 0"), "candidate").select("person", "candidate", "tran")
-
-
 @query("SELECT DISTINCT p_brand AS brand FROM part WHERE CAST(substr(p_brand, 7) AS INT) % 3 <> 0", domain=False)
 def negative_cache_anti(d: Domain) -> DataFrame:
     """Brands without a cached answer; a cached null is an answer."""
@@ -446,8 +423,8 @@ def candidate_index(d: Domain) -> DataFrame:
     return resolve.candidate_index(_filed(d), names.plain)
 
 
-@query(f"""WITH i AS ({_INDEX_SQL}), r AS (SELECT c_custkey AS rating_id, 'Tim L' || (c_custkey // 4) AS candidate_name, 'tim' AS given, 'l' || (c_custkey // 4) AS last FROM customer WHERE c_custkey % 4 = 0
-    UNION ALL SELECT c_custkey, 'Eva L' || (c_custkey // 4 + c_custkey % 3), 'eva', 'l' || (c_custkey // 4 + c_custkey % 3) FROM customer WHERE c_custkey % 4 = 1),
+@query(f"""WITH i AS ({_INDEX_SQL}), r AS (SELECT c_custkey AS rating_id, 'Tim L' || (c_custkey // 4) AS candidate_name, 'tim' AS given, 'l' || (c_custkey // 4) AS last FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey, 'Eva L' || (c_custkey // 4 + c_custkey % 3), 'eva', 'l' || (c_custkey // 4 + c_custkey % 3) FROM customer WHERE c_custkey % 2 = 1),
   e AS (SELECT name_key, list(DISTINCT fec_id) AS ids FROM i GROUP BY 1),
   two AS (SELECT split_part(name_key, ' ', 1) AS given, split_part(name_key, ' ', 2) AS last, list(DISTINCT fec_id) AS ids FROM i WHERE length(name_key) - length(replace(name_key, ' ', '')) = 1 GROUP BY ALL),
   j AS (SELECT r.*, e.ids, (SELECT count(*) FROM two WHERE two.last = r.last) AS n, (SELECT count(*) FROM two WHERE two.last = r.last AND (starts_with(two.given, r.given) OR starts_with(r.given, two.given))) AS near
@@ -456,15 +433,6 @@ def candidate_index(d: Domain) -> DataFrame:
   UNION ALL SELECT rating_id, unnest(two.ids), false, 'last_name' FROM j JOIN two USING (last) WHERE j.ids IS NULL AND (n = 1 OR (n > 1 AND near = 1 AND (starts_with(two.given, j.given) OR starts_with(j.given, two.given))))
   UNION ALL SELECT rating_id, 'PROV_CA_' || upper(given || '_' || last), true, 'provisional' FROM j WHERE ids IS NULL AND (n = 0 OR (n > 1 AND near = 0))""", domain=False)
 def resolve_ratings(d: Domain) -> DataFrame:
-    key = F.col("c_custkey")
-    rows = d.table("customer").filter(key % 4 < 2)
-    name = F.when(key % 4 == 0, F.concat(F.lit("Tim L"), F.floor(key / 4))).otherwise(F.concat(F.lit("Eva L"), F.floor(key / 4) + key % 3))
-    ratings = rows.select(key.alias("rating_id"), name.alias("candidate_name"), F.lit("ca").alias("state"))
-    return resolve.resolved_ratings(ratings, resolve.candidate_index(_filed(d), names.plain), names.plain)
-
-
-@query(ORACLES["resolve_ratings"].replace("WHERE c_custkey % 4 = 0\n", "WHERE c_custkey % 2 = 0\n").replace("customer WHERE c_custkey % 4 = 1)", "customer WHERE c_custkey % 2 = 1)"), domain=False)
-def resolve_ratings_all(d: Domain) -> DataFrame:
     """A rating for every customer."""
     key = F.col("c_custkey")
     name = F.when(key % 2 == 0, F.concat(F.lit("Tim L"), F.floor(key / 4))).otherwise(F.concat(F.lit("Eva L"), F.floor(key / 4) + key % 3))
@@ -477,13 +445,6 @@ def resolve_ratings_all(d: Domain) -> DataFrame:
 
 @query()
 def similarity_join(d: Domain) -> DataFrame:
-    """Brands as companies against supplier names: the nearest at or above the threshold."""
-    asked = d.table("supplier").filter("s_suppkey % 2 = 0").select(F.concat("s_name", F.when(F.col("s_suppkey") % 4 == 0, " Inc.").otherwise(" x")).alias("query"))
-    return resolve.similar_companies(asked, d.table("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("position")))
-
-
-@query()
-def similarity_join_all(d: Domain) -> DataFrame:
     """Every supplier as a query."""
     key = F.col("s_suppkey")
     asked = d.table("supplier").select(F.concat("s_name", F.when(key % 4 == 0, " Inc.").when(key % 4 == 2, " x").when(key % 4 == 1, " Corp").otherwise(" y")).alias("query"))
@@ -491,27 +452,53 @@ def similarity_join_all(d: Domain) -> DataFrame:
 
 
 def _hits(d: Domain) -> DataFrame:
+    """Five hits for a brand; labels and aliases are the brand with a suffix, or share no character with it."""
     i = F.col("s_suppkey")
     return d.table("supplier").select(
         F.concat(F.lit("Supplier "), F.floor(i / 5)).alias("brand"), (i % 2 + 1).cast("int").alias("source"), (i % 5).alias("position"),
-        F.when(i % 3 == 0, F.concat(F.lit("Supplier "), F.floor(i / 5), F.lit(" Ltd"))).otherwise(F.col("s_name")).alias("label"), F.when(i % 4 == 0, F.concat(F.lit("supplier "), F.floor(i / 5))).alias("alias"), F.concat(F.lit("Q"), i).alias("id"),
+        F.when(i % 3 == 0, F.concat(F.lit("Supplier "), F.floor(i / 5), F.lit(" Ltd"))).otherwise("xyz").alias("label"), F.when(i % 4 == 0, F.concat(F.lit("supplier "), F.floor(i / 5))).alias("alias"), F.concat(F.lit("Q"), i).alias("id"),
     )
 
 
-@query()
+_HITS = """hits AS (SELECT 'Supplier ' || (s_suppkey // 5) AS brand, CAST(s_suppkey % 2 + 1 AS INT) AS source, s_suppkey % 5 AS position,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'Supplier ' || (s_suppkey // 5) || ' Ltd' ELSE 'xyz' END AS label, CASE WHEN s_suppkey % 4 = 0 THEN 'supplier ' || (s_suppkey // 5) END AS alias, 'Q' || s_suppkey AS id,
+    CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM supplier)"""
+
+
+@query(f"WITH {_HITS} SELECT *, row_number() OVER (PARTITION BY brand ORDER BY score DESC, source, position) AS rank FROM hits", domain=False)
 def scored_candidates(d: Domain) -> DataFrame:
     return resolve.scored_candidates(_hits(d))
 
 
-@query()
-def brand_waterfall(d: Domain) -> DataFrame:
+_WATERFALL = """brands AS (SELECT brand, min(id) AS position FROM hits GROUP BY brand), asked AS (SELECT * FROM brands WHERE brand NOT IN (SELECT brand FROM cached)),
+  first AS (SELECT brand, arg_min(id, position) AS id, 1 AS source FROM hits WHERE source = 1 AND score >= 0.7 AND brand IN (SELECT brand FROM asked) GROUP BY brand),
+  spent AS (SELECT brand FROM asked WHERE brand NOT IN (SELECT brand FROM first) AND brand IN (SELECT brand FROM hits WHERE source = 2) ORDER BY position LIMIT 20),
+  second AS (SELECT brand, arg_min(id, position) AS id, 2 AS source FROM hits WHERE source = 2 AND score >= 0.7 AND brand IN (SELECT brand FROM spent) GROUP BY brand),
+  found AS (SELECT * FROM first UNION ALL SELECT * FROM second)
+  SELECT * FROM cached UNION ALL SELECT * FROM found UNION ALL SELECT brand, NULL, NULL FROM asked WHERE brand NOT IN (SELECT brand FROM found)"""
+
+
+def _waterfall(d: Domain, retry_nulls: bool) -> DataFrame:
     hits = _hits(d)
     brands = hits.groupBy("brand").agg(F.min("id").alias("position"))
-    cache = d.spark.createDataFrame([("Supplier 1", "Q99", 1), ("Supplier 2", None, None)], "brand string, id string, source int")
-    return resolve.brand_waterfall(brands, hits, cache)
+    store = Store(d.spark, work_dir(d.spark))
+    store.write("resolution", d.spark.createDataFrame([("Supplier 1", "Q99", 1), ("Supplier 2", None, None)], RESOLUTION))
+    return resolve.brand_waterfall(brands, hits, store.resolutions(retry_nulls))
 
 
-@query()
+@query(f"WITH {_HITS}, cached(brand, id, source) AS (VALUES ('Supplier 1', 'Q99', 1), ('Supplier 2', NULL, NULL)), {_WATERFALL}", domain=False)
+def brand_waterfall(d: Domain) -> DataFrame:
+    """Cached answers stay, those without a match too."""
+    return _waterfall(d, False)
+
+
+@query(f"WITH {_HITS}, cached(brand, id, source) AS (VALUES ('Supplier 1', 'Q99', 1)), {_WATERFALL}", domain=False)
+def retry_nulls(d: Domain) -> DataFrame:
+    """Cached answers without a match are asked again."""
+    return _waterfall(d, True)
+
+
+@query("SELECT s_name AS name, 'Q' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '01' END AS qid FROM supplier", domain=False)
 def enrich_qid(d: Domain) -> DataFrame:
     corporations = d.table("supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Q"), "s_suppkey")).alias("qid"))
     hits = d.table("supplier").select(F.col("s_name").alias("name"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("position"), "s_suppkey")
@@ -519,19 +506,17 @@ def enrich_qid(d: Domain) -> DataFrame:
     return resolve.first_similar(corporations, hits)
 
 
-# --- sources --------------------------------------------------------------------------------------------------------
+def _values(table: str, columns: str, rows) -> str:
+    """A SELECT over literal rows."""
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS {table}({columns})"
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 >= 5 THEN 'CA' WHEN c_custkey % 10 >= 2 THEN 'NY' END AS state FROM customer WHERE c_custkey < 100""", domain=False)
-def carry_forward_state(d: Domain) -> DataFrame:
-    """A listing with a chamber at every tenth line, then two states."""
-    i = F.col("c_custkey") % 10
-    lines = d.table("customer").filter("c_custkey < 100").withColumn("marker", F.when(i == 0, "House").when(i == 2, "New York").when(i == 5, "California"))
-    return scorecards.carried_state(lines, "c_custkey", "marker").select("c_custkey", "state")
+# --- sources --------------------------------------------------------------------------------------------------------
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 10 >= 5 THEN 'CA' WHEN c_custkey % 10 >= 2 THEN 'NY' END AS state FROM customer""", domain=False)
-def carry_forward_state_all(d: Domain) -> DataFrame:
+def carry_forward_state(d: Domain) -> DataFrame:
     """The same over every customer."""
     i = F.col("c_custkey") % 10
     lines = d.table("customer").withColumn("marker", F.when(i == 0, "House").when(i == 2, "New York").when(i == 5, "California"))
@@ -555,11 +540,24 @@ def json_ratings(d: Domain) -> DataFrame:
     return scorecards.json_ratings(files, "Org", 1998, "environment").withColumn("party", F.col("party"))
 
 
-@query()
+@query(_values("corporation", "name, ticker, fortune100_rank, sector", [(n, t or None, k, s) for k, (n, t, s) in enumerate(seeds.rows(seeds.CORPORATIONS), 1)]), domain=False)
 def seed_corporations(d: Domain) -> DataFrame:
     return seeds.corporations(d.spark)
 
 
-@query()
+@query(
+    f"""WITH c AS ({_values("c", "org_name, issue_name", [(o, i) for o, _, issues in seeds.rows(seeds.SCORECARDS) for i in issues.split()])}),
+  i AS ({_values("i", "issue_name, description", seeds.rows(seeds.ISSUES))}), s AS ({_values("s", "org_name, methodology_url", [r[:2] for r in seeds.rows(seeds.SCORECARDS)])})
+  SELECT org_name, issue_name, description, methodology_url FROM c JOIN i USING (issue_name) JOIN s USING (org_name)""",
+    domain=False,
+)
 def seed_coverage(d: Domain) -> DataFrame:
     return seeds.covers(d.spark).join(seeds.issues(d.spark), F.col("issue_name") == F.col("name")).join(seeds.scorecards(d.spark), "org_name").select("org_name", "issue_name", "description", "methodology_url")
+
+
+@query(_values("b", "name", [(b,) for b in seeds.BRANDS.strip().splitlines()]), domain=False)
+def seed_brands(d: Domain) -> DataFrame:
+    return seeds.brands(d.spark)
+
+
+from ledgerweave.plans import load_catalogue  # noqa: E402, F401  registers the queries of the load steps

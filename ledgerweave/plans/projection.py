@@ -34,7 +34,8 @@ class Domain:
         i = F.col("id")
         parents = F.explode(F.concat(F.array(2 * i + 1, 2 * i + 2), F.when(i % 4 == 0, F.array(2 * i + 3)).otherwise(F.array().cast("array<bigint>"))))
         edges = self.corporations.select(i.alias("child"), parents.alias("parent"))
-        return edges.join(self.corporations.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent")
+        edges = edges.join(self.corporations.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent")
+        return edges.persist()  # stands for the stored edge table; walks read it at every hop. One cache for a session and folder
 
     @cached_property
     def owned_by(self) -> DataFrame:
@@ -47,7 +48,7 @@ class Domain:
     @cached_property
     def candidates(self) -> DataFrame:
         nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("state"))
-        return self.table("customer").join(F.broadcast(nation), "c_nationkey").select(F.col("c_custkey").alias("candidate"), F.col("c_name").alias("name"), "state")
+        return self.table("customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("candidate"), F.col("c_name").alias("name"), "state")
 
     @cached_property
     def contribution_rows(self) -> DataFrame:
@@ -74,38 +75,26 @@ class Domain:
         names = self.table("customer").select(F.col("c_mktsegment").alias("issue")).distinct()
         ranked = names.agg(F.sort_array(F.collect_set("issue")).alias("all")).select(F.posexplode("all").alias("k", "issue"))
         org = self.table("region").select(F.col("r_name").alias("org"), F.explode(F.when(F.col("r_regionkey") == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.col("r_regionkey")))).alias("k"))
-        return org.join(F.broadcast(ranked), "k").select("org", "issue")
+        return org.join(ranked, "k").select("org", "issue")
 
     @cached_property
     def rates(self) -> DataFrame:
         key = F.col("c_custkey")
         score = F.when(key % 11 != 0, F.round((F.col("c_acctbal") + 1000) / 110))
         rated = self.table("customer").select(key.alias("candidate"), score.alias("score"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda r: r != key % 5)).alias("r_regionkey"))
-        return rated.join(F.broadcast(self.table("region").select("r_regionkey", F.col("r_name").alias("org"))), "r_regionkey").select("org", "candidate", "score")
+        return rated.join(self.table("region").select("r_regionkey", F.col("r_name").alias("org")), "r_regionkey").select("org", "candidate", "score")
 
     @cached_property
-    def all_executives(self) -> DataFrame:
+    def executives(self) -> DataFrame:
         """(corp, person): every customer is an executive of one corporation."""
-        n = self.corporations.count()
-        return self.table("customer").select((F.col("c_custkey") % n).alias("corp"), F.col("c_custkey").alias("person"))
+        n = self.corporations.agg(F.count(F.lit(1)).alias("n"))
+        return self.table("customer").crossJoin(F.broadcast(n)).select((F.col("c_custkey") % F.col("n")).alias("corp"), F.col("c_custkey").alias("person"))  # n is one row
 
     @cached_property
-    def all_donations(self) -> DataFrame:
+    def donations(self) -> DataFrame:
         """(person, candidate, amount, tran): every order, given to the candidate with the next number."""
         return self.table("orders").select(F.col("o_custkey").alias("person"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 7).alias("candidate"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderkey").cast("string").alias("tran"))
 
-    @cached_property
-    def executives(self) -> DataFrame:
-        """(corp, person): every fiftieth customer is an executive of one corporation."""
-        n = self.corporations.count()
-        return self.table("customer").filter("c_custkey % 50 = 0").select((F.col("c_custkey") % n).alias("corp"), F.col("c_custkey").alias("person"))
-
-    @cached_property
-    def donations(self) -> DataFrame:
-        """(person, candidate, amount, tran): executives' orders, given to the candidate with the next number."""
-        orders = self.table("orders").filter("o_custkey % 50 = 0")
-        return orders.select(F.col("o_custkey").alias("person"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 7).alias("candidate"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderkey").cast("string").alias("tran"))
-
 
 #: The same in DuckDB's SQL, to stand behind WITH RECURSIVE.
 SQL = f"""
@@ -128,10 +117,10 @@ covers AS (SELECT r_name AS org, issue FROM region JOIN issue ON k = r_regionkey
 rates AS (
   SELECT r_name AS org, c_custkey AS candidate, CASE WHEN c_custkey % 11 <> 0 THEN round((c_acctbal + 1000) / 110) END AS score
   FROM customer JOIN region ON c_custkey % 5 <> r_regionkey),
-executives AS (SELECT c_custkey % (SELECT count(*) FROM corporation) AS corp, c_custkey AS person FROM customer WHERE c_custkey % 50 = 0),
+executives AS (SELECT c_custkey % (SELECT count(*) FROM corporation) AS corp, c_custkey AS person FROM customer),
 donations AS (
   SELECT o_custkey AS person, o_custkey + 1 + o_orderkey % 7 AS candidate, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(o_orderkey AS VARCHAR) AS tran
-  FROM orders WHERE o_custkey % 50 = 0),
+  FROM orders),
 walk AS (
   SELECT brand, corp, 0 AS depth, CAST([] AS VARCHAR[]) AS walked FROM owned_by
   UNION ALL
@@ -154,12 +143,5 @@ brand_scores AS (
 """
 
 
-#: Every customer as an executive and every order as a donation, to stand behind SQL.
-ALL_SQL = """, all_executives AS (SELECT c_custkey % (SELECT count(*) FROM corporation) AS corp, c_custkey AS person FROM customer),
-all_donations AS (
-  SELECT o_custkey AS person, o_custkey + 1 + o_orderkey % 7 AS candidate, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(o_orderkey AS VARCHAR) AS tran FROM orders)
-"""
-
-
 def sql(select: str) -> str:
     return f"WITH RECURSIVE {SQL} {select}"

@@ -54,11 +54,12 @@ def discovered_brands(facts: DataFrame, businesses: DataFrame, corporations: Dat
 def owner_chain(facts: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
     """(start, id, parent): every corporation reachable upwards, once each (a set, not trails), with its parents; at most 2 * most rows each."""
     edges = facts.filter("parent is not null").select("id", "parent").distinct()
+    # a step may also stay, so one join takes all that is reached so far one level up, and the plan grows by one join a level
+    stay = edges.select("id").unionAll(edges.select("parent")).unionAll(start.select("id")).distinct().select("id", F.col("id").alias("parent"))
+    steps = edges.unionByName(stay).distinct()
     reached = start.select(F.col("id").alias("start"), "id").distinct()
-    front = reached
     for _ in range(most):
-        front = front.join(edges, "id").select("start", F.col("parent").alias("id")).distinct().join(reached, ["start", "id"], "left_anti")
-        reached = reached.unionByName(front)
+        reached = reached.join(steps, "id").select("start", F.col("parent").alias("id")).distinct()
     order = Window.partitionBy("start").orderBy("id", "parent")
     return reached.join(edges, "id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2 * most).select("start", "id", "parent")
 
@@ -66,3 +67,30 @@ def owner_chain(facts: DataFrame, start: DataFrame, most: int = 10) -> DataFrame
 def grouping_statements(statements: DataFrame) -> DataFrame:
     """Ownership statements (predicate, object) of a register."""
     return statements.filter(F.col("predicate").isin("subsidiary_of", "has_subsidiary"))
+
+
+_COMPANY = "struct<name: string, company_number: string, jurisdiction_code: string, opencorporates_url: string>"
+COMPANIES = f"results struct<companies: array<struct<company: {_COMPANY}>>, company: {_COMPANY}>"
+GROUPINGS = "results struct<corporate_groupings: array<struct<corporate_grouping: struct<name: string, wikipedia_id: string>>>>"
+STATEMENTS = "results struct<statements: array<struct<statement: struct<predicate: string, subject: string, object: string>>>>"
+
+
+def register_companies(answers: DataFrame, jurisdiction: str | None = None) -> DataFrame:
+    """answers (query, results) of company searches -> (query, position, company...); jurisdiction: only companies of this code."""
+    rows = answers.select("query", F.posexplode("results.companies").alias("position", "c")).select("query", "position", "c.company.*")
+    return rows if jurisdiction is None else rows.filter(F.col("jurisdiction_code") == jurisdiction)
+
+
+def register_company(answers: DataFrame) -> DataFrame:
+    """answers (query, results) of lookups by number -> (query, company...); what was not found has no row."""
+    return answers.filter("results.company is not null").select("query", "results.company.*")
+
+
+def register_grouping(answers: DataFrame) -> DataFrame:
+    """answers (query, results) of grouping searches -> (query, name, wikipedia_id): the first grouping found."""
+    return answers.select("query", F.get("results.corporate_groupings", F.lit(0))["corporate_grouping"].alias("g")).filter("g is not null").select("query", "g.name", "g.wikipedia_id")
+
+
+def register_statements(answers: DataFrame) -> DataFrame:
+    """answers (query, results) -> (query, predicate, subject, object): statements of ownership."""
+    return grouping_statements(answers.select("query", F.explode("results.statements.statement").alias("s")).select("query", "s.*"))

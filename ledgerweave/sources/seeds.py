@@ -186,26 +186,26 @@ Acer
 """
 
 
-def _cells(text: str) -> list[list[str]]:
+def rows(text: str) -> list[list[str]]:
     return [line.split("|") for line in text.strip().splitlines()]
 
 
 def issues(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_cells(ISSUES), "name string, description string")
+    return spark.createDataFrame(rows(ISSUES), "name string, description string")
 
 
 def scorecards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([row[:2] for row in _cells(SCORECARDS)], "org_name string, methodology_url string")
+    return spark.createDataFrame([row[:2] for row in rows(SCORECARDS)], "org_name string, methodology_url string")
 
 
 def covers(spark: SparkSession) -> DataFrame:
-    pairs = [(org, issue) for org, _, issues in _cells(SCORECARDS) for issue in issues.split()]
+    pairs = [(org, issue) for org, _, issues in rows(SCORECARDS) for issue in issues.split()]
     return spark.createDataFrame(pairs, "org_name string, issue_name string")
 
 
 def corporations(spark: SparkSession) -> DataFrame:
-    rows = [(name, ticker or None, rank, sector) for rank, (name, ticker, sector) in enumerate(_cells(CORPORATIONS), 1)]
-    return spark.createDataFrame(rows, "name string, ticker string, fortune100_rank int, sector string")
+    listed = [(name, ticker or None, rank, sector) for rank, (name, ticker, sector) in enumerate(rows(CORPORATIONS), 1)]
+    return spark.createDataFrame(listed, "name string, ticker string, fortune100_rank int, sector string")
 
 
 def brands(spark: SparkSession) -> DataFrame:

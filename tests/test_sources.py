@@ -99,4 +99,4 @@ def test_carried_state_over_ranges(spark):
 def test_carry_forward_state_reads_every_customer(spark, sf_dir):
     from ledgerweave.plans import catalogue
 
-    assert catalogue.QUERIES["carry_forward_state_all"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert catalogue.QUERIES["carry_forward_state"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
