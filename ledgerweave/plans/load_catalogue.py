@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import names
@@ -12,9 +12,9 @@ from ledgerweave.plans.projection import Domain
 from ledgerweave.plans.store import Store, work_dir
 from ledgerweave.sources import bulk, entities, scorecards
 
-i = F.col("s_suppkey")
-NO_TEXT = F.lit(None).cast("string")
-NAMES = F.array().cast("array<string>")
+
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _suppliers(d: Domain) -> DataFrame:
@@ -23,6 +23,7 @@ def _suppliers(d: Domain) -> DataFrame:
 
 def _known(d: Domain) -> DataFrame:
     """Corporations by supplier, with one alias."""
+    i = F.col("s_suppkey")
     return _suppliers(d).select(i.alias("id"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("alias "), i)).alias("aliases"))
 
 
@@ -37,6 +38,7 @@ def _flat(rows: DataFrame) -> DataFrame:
   CASE WHEN s_suppkey % 4 = 0 THEN 'new' WHEN s_suppkey % 3 = 0 THEN 'old' END AS aliases FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0""", domain=False)
 def load_brands(d: Domain) -> DataFrame:
     """Slugs are overwritten; aliases only if some come."""
+    i = F.col("s_suppkey")
     name = F.col("s_name").alias("name")
     old = _suppliers(d).filter(i % 3 == 0).select(name, F.concat(F.lit("old-"), i).alias("amazon_slug"), F.array(F.lit("old")).alias("aliases"))
     new = _suppliers(d).filter(i % 2 == 0).select(name, F.concat(F.lit("new-"), i).alias("amazon_slug"), F.when(i % 4 == 0, F.array(F.lit("new"))).alias("aliases"))
@@ -47,8 +49,9 @@ def load_brands(d: Domain) -> DataFrame:
   'alias ' || s_suppkey AS aliases FROM supplier""", domain=False)
 def load_corporations(d: Domain) -> DataFrame:
     """Tickers are overwritten even by null, an empty qid and the aliases are not."""
-    old = _suppliers(d).select(F.col("s_name").alias("name"), F.concat(F.lit("T"), i).alias("ticker"), *(NO_TEXT.alias(c) for c in ("cik", "jurisdiction", "oc_id")), F.concat(F.lit("Q"), i).alias("qid"), F.array(F.concat(F.lit("alias "), i)).alias("aliases"))
-    new = old.filter(F.substr("qid", F.lit(2)).cast("int") % 2 == 0).select("name", NO_TEXT.alias("ticker"), "cik", "jurisdiction", "oc_id", F.when(F.substr("qid", F.lit(2)).cast("int") % 4 == 0, F.concat(F.lit("QN"), F.substr("qid", F.lit(2)))).otherwise("").alias("qid"))
+    i = F.col("s_suppkey")
+    old = _suppliers(d).select(F.col("s_name").alias("name"), F.concat(F.lit("T"), i).alias("ticker"), *(_no_text().alias(c) for c in ("cik", "jurisdiction", "oc_id")), F.concat(F.lit("Q"), i).alias("qid"), F.array(F.concat(F.lit("alias "), i)).alias("aliases"))
+    new = old.filter(F.substr("qid", F.lit(2)).cast("int") % 2 == 0).select("name", _no_text().alias("ticker"), "cik", "jurisdiction", "oc_id", F.when(F.substr("qid", F.lit(2)).cast("int") % 4 == 0, F.concat(F.lit("QN"), F.substr("qid", F.lit(2)))).otherwise("").alias("qid"))
     return _flat(loads.corporations(old, new).select("name", "ticker", "qid", "aliases"))
 
 
@@ -56,6 +59,7 @@ def load_corporations(d: Domain) -> DataFrame:
   UNION SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey % 7 = 0""", domain=False)
 def load_subsidiaries(d: Domain) -> DataFrame:
     """Both ends by name or alias; those that name no corporation go, and what is there already stays once."""
+    i = F.col("s_suppkey")
     parent = F.floor(i / 2)
     pairs = _suppliers(d).select(
         F.when(i % 5 == 0, "nobody").when(i % 2 == 0, F.col("s_name")).otherwise(F.concat(F.lit("alias "), i)).alias("child"),
@@ -80,12 +84,13 @@ def load_candidates(d: Domain) -> DataFrame:
 def load_provisional(d: Domain) -> DataFrame:
     """One candidate for an id, as it was rated last; filed ones stay."""
     old = d.spark.createDataFrame([("real", "Real", None, None, "NY", None, False)], loads.CANDIDATE)
-    rows = d.table("customer").select(F.concat(F.lit("PROV_CA_"), "c_nationkey").alias("fec_id"), F.concat(F.lit("Name "), "c_custkey").alias("candidate_name"), F.lit("CA").alias("state"), NO_TEXT.alias("party"), F.col("c_custkey").alias("load_seq"))
+    rows = d.table("customer").select(F.concat(F.lit("PROV_CA_"), "c_nationkey").alias("fec_id"), F.concat(F.lit("Name "), "c_custkey").alias("candidate_name"), F.lit("CA").alias("state"), _no_text().alias("party"), F.col("c_custkey").alias("load_seq"))
     return loads.provisional_candidates(old, rows).select("candidate_id", "name", "state", "provisional")
 
 
 def _committees(d: Domain) -> DataFrame:
     """As filed: organisations with a sponsor, none, and 'NONE'."""
+    i = F.col("s_suppkey")
     return _suppliers(d).select(
         F.concat(F.lit("C"), i).alias("committee_id"), F.concat(F.lit("PAC of "), "s_name").alias("committee_name"), F.lit("Q").alias("type"),
         F.when(i % 4 == 0, "C").otherwise("L").alias("interest_group_category"), F.when(i % 3 == 0, "NONE").when(i % 3 == 1, F.concat("s_name", F.lit(" Inc."))).otherwise("").alias("connected_org_name"),
@@ -123,6 +128,7 @@ def pac_linkage(d: Domain) -> DataFrame:
 @query("""SELECT c_custkey AS candidate, s_suppkey AS committee, 'L' || c_custkey AS linkage, c_custkey % 3 <> 0 AS known FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 3 = 0 OR s_suppkey IS NOT NULL""", domain=False)
 def load_linkages(d: Domain) -> DataFrame:
     """Edges whose ends exist, and the rows of candidates that are not known (every third)."""
+    i = F.col("s_suppkey")
     key = F.col("c_custkey")
     rows = d.table("customer").select(key.cast("string").alias("cand_id"), key.cast("string").alias("cmte_id"), F.concat(F.lit("L"), key).alias("linkage_id"), F.lit("P").alias("cmte_dsgn"), F.lit("H").alias("cmte_tp"))
     people = d.table("customer").filter(key % 3 != 0).select(key.cast("string").alias("candidate_id"))
@@ -142,6 +148,7 @@ def load_persons(d: Domain) -> DataFrame:
 @query("SELECT s_suppkey AS contributor_id, s_suppkey AS corp FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey IN (SELECT c_custkey FROM customer)", domain=False)
 def load_executives(d: Domain) -> DataFrame:
     """By exact name only: an alias names no corporation here."""
+    i = F.col("s_suppkey")
     pairs = _suppliers(d).select(i.alias("contributor_id"), F.when(i % 2 == 0, F.col("s_name")).otherwise(F.concat(F.lit("alias "), i)).alias("corp"))
     people = d.table("customer").select(F.col("c_custkey").alias("contributor_id"))
     return loads.executives(d.spark.createDataFrame([], "contributor_id long, corp long"), pairs, people, _known(d))
@@ -212,6 +219,7 @@ def plain_csv(d: Domain) -> DataFrame:
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN make_date(2000 + CAST(s_suppkey % 20 AS INT), 1 + CAST(s_suppkey % 12 AS INT), 1 + CAST(s_suppkey % 28 AS INT)) END AS day FROM supplier", domain=False)
 def filed_days(d: Domain) -> DataFrame:
     """Dates as MMDDYYYY; what is none is null."""
+    i = F.col("s_suppkey")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     text = F.when(i % 2 == 0, F.concat(two(1 + i % 12), two(1 + i % 28), (2000 + i % 20).cast("string"))).otherwise("13452000")
     return _suppliers(d).select("s_suppkey", text.alias("text")).select("s_suppkey", bulk.day("text").alias("day"))
@@ -220,6 +228,7 @@ def filed_days(d: Domain) -> DataFrame:
 @query("SELECT s_suppkey, strip_accents(lower('Zoë Ñandú-Åström ' || s_name)) AS key, CASE s_suppkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'R' END AS party FROM supplier", domain=False)
 def printed_names(d: Domain) -> DataFrame:
     """Scorecard names without accents and doubled spaces, and the first letter of the party."""
+    i = F.col("s_suppkey")
     party = F.when(i % 3 == 0, "democrat").when(i % 3 == 1, " Rep").otherwise(" ")
     return _suppliers(d).select("s_suppkey", names.printed_name(F.concat(F.lit(" Zoë  Ñandú-Åström "), "s_name")).alias("key"), names.party_letter(party).alias("party"))
 
@@ -229,6 +238,7 @@ def printed_names(d: Domain) -> DataFrame:
 
 def _facts(d: Domain) -> DataFrame:
     """Supplier k is owned by supplier k // 3; every tenth has no name."""
+    i = F.col("s_suppkey")
     q = lambda c: F.concat(F.lit("Q"), c)
     return _suppliers(d).select(q(i).alias("id"), F.when(i % 10 != 0, F.col("s_name")).otherwise("").alias("name"), F.when(i > 0, q(F.floor(i / 3))).alias("parent"), F.lit("P").alias("parent_name"), F.concat(F.lit("T"), i).alias("ticker"))
 
@@ -239,6 +249,7 @@ _FACTS = """facts AS (SELECT 'Q' || s_suppkey AS id, CASE WHEN s_suppkey % 10 <>
 @query(f"WITH {_FACTS} SELECT s_suppkey AS query, k AS position, f.id, parent, ticker FROM facts f JOIN (SELECT unnest(range(7)) AS k) ON k < 5 WHERE (s_suppkey + k) % 2 = 0", domain=False)
 def business_hits(d: Domain) -> DataFrame:
     """Of seven search hits the first five are read; those that are businesses get their parent and ticker."""
+    i = F.col("s_suppkey")
     hit = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.struct(F.concat(F.lit("Q"), i).alias("id"), F.col("s_name").alias("label"), F.lit("").alias("description"), F.struct(F.when((i + k) % 2 == 0, "alias").otherwise("label").alias("type"), F.lit("en").alias("language"), F.lit("text").alias("text")).alias("match")))
     hits = entities.search_hits(_suppliers(d).select(i.alias("query"), hit.alias("search")))
     found = entities.business_hits(hits.filter("alias = 'text'"), _facts(d), _facts(d))
@@ -254,6 +265,7 @@ def owned_companies(d: Domain) -> DataFrame:
 @query(f"WITH {_FACTS} SELECT parent AS corporation, id, name FROM facts WHERE name <> '' AND s_suppkey % 2 = 1 AND parent IS NOT NULL", domain=False)
 def owned_brands(d: Domain) -> DataFrame:
     """Owned things that are no businesses (odd ones) are brands."""
+    i = F.col("s_suppkey")
     facts = _facts(d)
     return entities.discovered_brands(facts, _suppliers(d).filter(i % 2 == 0).select(F.concat(F.lit("Q"), i).alias("id")), facts.select(F.col("id").alias("qid")))
 
@@ -270,6 +282,7 @@ def owner_chains(d: Domain) -> DataFrame:
   UNION ALL SELECT s_suppkey, NULL, 'Group ' || s_suppkey, 'group' FROM supplier WHERE s_suppkey % 5 <> 0""", domain=False)
 def register_answers(d: Domain) -> DataFrame:
     """Ownership statements, companies by number and by search in one jurisdiction, and the first grouping, from a register's JSON."""
+    i = F.col("s_suppkey")
     company = F.to_json(F.struct(F.col("s_name").alias("name"), F.when(i % 4 == 0, "us_de").otherwise("gb").alias("jurisdiction_code")))
     statement = F.concat(F.lit('{"statement":{"predicate":"'), F.when(i % 2 == 0, "subsidiary_of").otherwise("officer_of"), F.lit('","subject":"'), "s_name", F.lit('"}}'))
     group = F.concat(F.lit('{"corporate_grouping":{"name":"Group '), i, F.lit('"}},{"corporate_grouping":{"name":"second"}}'))
@@ -282,5 +295,5 @@ def register_answers(d: Domain) -> DataFrame:
         (entities.register_grouping(answers("g", entities.GROUPINGS)), "group"),
     ]
     for rows, kind in rest:
-        statements = statements.unionAll(rows.select("query", NO_TEXT.alias("predicate"), F.col("name").alias("subject"), F.lit(kind).alias("kind")))
+        statements = statements.unionAll(rows.select("query", _no_text().alias("predicate"), F.col("name").alias("subject"), F.lit(kind).alias("kind")))
     return statements
