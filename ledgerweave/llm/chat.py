@@ -7,7 +7,8 @@ prefixes are removed by anti-join, and what is maximal is rendered.
 Turns are ordered by turn number, then role and text where a number repeats. Null roles and texts differ from empty
 ones when compared and are rendered as empty. Rows with a null conv_id belong to no conversation and are left out. Only
 DataFrame functions are used. Prefixes are made distinct before they are joined, so a conversation or first turn
-logged by a third of all conversations is one row there.
+logged by a third of all conversations is one row there. Repeated rows of a turn are turns of their own; texts of any
+length are rendered whole. Other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

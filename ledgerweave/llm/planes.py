@@ -10,7 +10,8 @@ zstandard frame with the doc ids, the tokens of each document, and for every blo
 of every plane, so that a reader seeks to the blocks of any id range.
 
 Nulls and empty texts hold the end id alone; a null doc_id sorts first; repeated doc_ids stay separate rows, in
-order of their text. Other columns are not read.
+order of their text. Texts of any length are encoded whole. Other columns are not read, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ MAGIC = b"LWPLANE1"
 BLOCK_IDS = 1 << 16
 #: Text bytes that one file is made from.
 FILE_TEXT_BYTES = 32 << 20
-NULL_ID = np.iinfo(np.int64).min
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -69,6 +69,7 @@ class PlaneWriter:
         self.left = np.zeros(0, np.uint32)
         self.blocks: list[np.ndarray] = []
         self.docs: list[np.ndarray] = []
+        self.nulls: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
         self.place = out.write(MAGIC) or len(MAGIC)
 
@@ -82,8 +83,10 @@ class PlaneWriter:
         row[1 : 1 + len(packed)] = [len(p) for p in packed]
         self.blocks.append(row)
 
-    def add(self, docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, nulls: np.ndarray | None = None) -> None:
+        """Documents with their numbers of ids and all their ids; nulls: which of the documents have no doc_id."""
         self.docs.append(docs)
+        self.nulls.append(np.zeros(len(docs), bool) if nulls is None else nulls)
         self.sizes.append(sizes)
         ids = np.concatenate([self.left, ids])
         full = len(ids) // self.block_ids * self.block_ids
@@ -95,7 +98,7 @@ class PlaneWriter:
         if len(self.left):
             self._block(self.left)
         index = io.BytesIO()
-        np.savez(index, kind=np.array(self.kind), block_ids=self.block_ids, docs=np.concatenate([np.zeros(0, np.int64), *self.docs]), sizes=np.concatenate([np.zeros(0, np.int64), *self.sizes]), blocks=np.array(self.blocks, np.int64).reshape(-1, 33))
+        np.savez(index, kind=np.array(self.kind), block_ids=self.block_ids, docs=np.concatenate([np.zeros(0, np.int64), *self.docs]), nulls=np.concatenate([np.zeros(0, bool), *self.nulls]), sizes=np.concatenate([np.zeros(0, np.int64), *self.sizes]), blocks=np.array(self.blocks, np.int64).reshape(-1, 33))
         packed = self.zip.compress(index.getvalue())
         self.out.write(packed)
         self.out.write(self.place.to_bytes(8, "little"))
@@ -115,7 +118,7 @@ class PlaneReader:
         file.seek(place)
         index = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(file.read(end - 16 - place))))
         self.kind, self.block_ids = str(index["kind"]), int(index["block_ids"])
-        self.docs, self.sizes, self.blocks = index["docs"], index["sizes"], index["blocks"]
+        self.docs, self.nulls, self.sizes, self.blocks = (index[k] for k in ("docs", "nulls", "sizes", "blocks"))
         self.places = len(MAGIC) + np.concatenate([[0], np.cumsum(self.blocks[:, 1:].sum(axis=1))])
 
     def block(self, k: int) -> np.ndarray:
@@ -132,10 +135,10 @@ class PlaneReader:
         got = np.concatenate([self.block(k) for k in range(first, (stop - 1) // self.block_ids + 1)])
         return got[start - first * self.block_ids : stop - first * self.block_ids]
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(doc_id, start, ids) of each document, one block in memory at a time besides the document."""
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(doc_id or None, start, ids) of each document, one block in memory at a time besides the document."""
         at, k, left, base = 0, 0, np.zeros(0, np.uint32), 0
-        for doc, n in zip(self.docs.tolist(), self.sizes.tolist(), strict=True):
+        for doc, null, n in zip(self.docs.tolist(), self.nulls.tolist(), self.sizes.tolist(), strict=True):
             parts = [left[at - base : at - base + n]]
             got = len(parts[0])
             while got < n:
@@ -144,7 +147,7 @@ class PlaneReader:
                 k += 1
                 parts.append(left[: n - got])
                 got += len(parts[-1])
-            yield doc, at, parts[0] if len(parts) == 1 else np.concatenate(parts)
+            yield None if null else doc, at, parts[0] if len(parts) == 1 else np.concatenate(parts)
             at += n
 
 
@@ -173,8 +176,9 @@ def write_planes(docs: DataFrame, path: str, vocabulary: str, end_id: int, kind:
         with fs.open_output_stream(mine) as out:
             writer = PlaneWriter(out, kind, block_ids)
             for batch, ids, at in encoded(batches, vocabulary, end_id):
-                numbers = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                writer.add(numbers, np.diff(at), ids)
+                numbers = batch.column("doc_id")
+                nulls = numbers.is_null().to_numpy(zero_copy_only=False)
+                writer.add(numbers.fill_null(0).to_numpy(zero_copy_only=False), np.diff(at), ids, nulls)
                 n, n_docs = n + len(ids), n_docs + batch.num_rows
             writer.close()
         fs.move(mine, name)
@@ -204,8 +208,7 @@ def read_planes(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(doc, base + at, len(ids), zlib.crc32(ids.tobytes())) for doc, at, ids in PlaneReader(file).documents()]
                 for i in range(0, len(rows), 20_000):
                     columns = list(zip(*rows[i : i + 20_000], strict=True))
-                    numbers = np.array(columns[0], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers, mask=numbers == NULL_ID), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("file", "base")
     return files.repartition(max(1, files.count()), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

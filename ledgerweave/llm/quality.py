@@ -8,7 +8,8 @@ computed exactly, block by block. The score is the mean label of the nearest, we
 
 Null and empty texts have no terms and score the share of label 1 in the sample, as do all texts when nothing is
 labelled (then 0.5). Rows with a null doc_id are scored, with a null held_out. Ids, labels, lang and source are no
-inputs of a score.
+inputs of a score. Texts of any length are scored whole; repeated rows, and rows with equal texts, get equal scores; a
+score of exactly 0.5 counts as label 1. Other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

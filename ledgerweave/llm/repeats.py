@@ -14,8 +14,9 @@ strings. Equal windows have equal anchors at equal places, so only windows whose
 4. An anchor with more bytes than a block holds sends its windows on as 128-bit hashes, which meet by hash: the
    exact way for what one task should not hold.
 
-Documents are UTF-8 bytes. Null texts are empty; rows with a null doc_id stay whole and are compared with nothing;
-doc_id is taken as unique, rows that repeat an id and its text get equal results. Other columns are not read.
+Documents are UTF-8 bytes. Null texts are empty (and stay null as text); rows with a null doc_id stay whole and are
+compared with nothing; doc_id is taken as unique, rows that repeat an id and its text get equal results. Other columns
+are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -342,7 +343,7 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             spans.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
             kept.append(raw[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string())], ["row", "n_bytes", "removed", "kept", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") if t.is_valid else None for k, t in zip(kept, batch.column("text"), strict=True)], pa.string())], ["row", "n_bytes", "removed", "kept", "kept_text"])
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:

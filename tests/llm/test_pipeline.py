@@ -3,6 +3,7 @@ import hashlib
 import corpus_pipeline
 from ledgerweave.llm import common, registry
 
+from .helpers import ODD, documents
 from .test_minhash import brute as near
 from .test_repeats import brute as repeated
 
@@ -34,6 +35,19 @@ def test_stages_on_a_small_table(spark, sf_dir):
             assert len(before) - len(kept) < 0.1 * len(before)
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf_dir):
+    odd = documents(spark, [*ODD, "null id", "null id"], [*range(len(ODD)), None, None])
+    for name, stage in corpus_pipeline.STAGES:
+        found, none = stage(spark, odd, sf_dir), stage(spark, documents(spark, []), sf_dir)
+        assert none.count() == 0
+        if name == "packing":
+            assert found.filter("doc_id is null").count() == 2 and found.select("doc_id").distinct().count() == len(ODD) + 1
+        else:
+            kept = found.collect()
+            assert found.columns == none.columns == odd.columns
+            assert sum(r["doc_id"] is None for r in kept) == 2 and {r["doc_id"] for r in kept if r["text"] is None} == {0}
+
+
 def test_queries_are_registered(spark, sf_dir):
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
 

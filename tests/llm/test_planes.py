@@ -51,3 +51,15 @@ def test_empty_table(spark):
     path = common.new_path(spark, "test-planes")
     planes.write_planes(documents(spark, []), path, "word_bpe_49k.json", 1)
     assert planes.read_planes(spark, path).count() == 0
+
+
+def test_null_least_and_repeated_ids(spark):
+    path, least = common.new_path(spark, "test-planes"), -(2**63)
+    texts, ids = ["b", "a", None, "c", "word " * 9, ""], [4, 4, least, None, None, 5]
+    planes.write_planes(documents(spark, texts, ids), path, "word_bpe_49k.json", 1, block_ids=4)
+    tokenizer, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for i, text in sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        x = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(x), zlib.crc32(x.tobytes())))
+        start += len(x)
+    assert [tuple(r) for r in planes.read_planes(spark, path).orderBy("start").collect()] == want

@@ -54,3 +54,11 @@ def test_no_labels_and_empty_table(spark):
     assert {r["score"] for r in quality.scored(docs, quality.train(docs, none)).collect()} == {0.5}
     empty = documents(spark, [])
     assert quality.scored(empty, quality.train(empty, none)).count() == 0
+
+
+def test_repeated_rows_and_clashing_labels(spark):
+    texts, labels = corpus(60, 2)
+    docs = documents(spark, [*texts, texts[0], texts[0]], [*range(len(texts)), 0, None])
+    marked = spark.createDataFrame([(k, y, "x", "y") for k, y in [*labels, labels[0]]], "doc_id long, quality int, text string, score string")
+    got = quality.scored(docs, quality.train(docs, marked)).collect()
+    assert len(got) == len(texts) + 2 and len({r["score"] for r in got if r["doc_id"] in (0, None)}) == 1

@@ -43,3 +43,18 @@ def test_learns_its_table_and_runs_no_python(spark, model):
 
 def test_empty_table(spark, model):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string"), model).count() == 0
+
+
+def test_grams_like_brute_force(spark):
+    texts = ["", "a", "ab", "abc", "a.b-c/é中😀x", "x\n$^y", "long/" * 40_000]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in frame.select("t", urls._grams(frame.t, 3, "h").alias("three"), urls._grams(frame.t, 4, "p").alias("four")).collect():
+        for size, mark, got in ((3, "h", r["three"]), (4, "p", r["four"])):
+            marked = f"^{r['t']}$"
+            assert got == [mark + marked[k : k + size] for k in range(len(marked) - size + 1)]
+
+
+def test_null_ids_and_repeated_rows(spark, model):
+    url = "http://casino-bets.example.net/win"
+    got = [tuple(r) for r in urls.judged(spark.createDataFrame([(None, url), (1, url), (1, url), (2, None)], "page_id long, url string"), model).collect()]
+    assert len(got) == 4 and len({r[1:] for r in got if r[0] != 2}) == 1
