@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and
 rereads it as the next stage's docs. All stages but the last return the columns of documents.
+
+Every stage takes nulls in any column, whole texts of any length, repeated rows, and other columns, whatever their names,
+which pass through unread. A row with a null doc_id can be dropped as toxic, but not as a duplicate or a leak, and nothing
+is cut from its text. A null text is never toxic, a duplicate or a leak. An empty table gives no rows.
 """
 
 from __future__ import annotations
