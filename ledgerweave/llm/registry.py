@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, minhash, mpeg, packing, periodic, planes, quality, repeats, sentences, toxicity, urls
+from . import chat, decontaminate, minhash, mpeg, packing, periodic, phrases, planes, quality, repeats, sentences, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -19,7 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_neighbours": quality.op8_quality_neighbours,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_chat_snapshots": chat.op10_chat_snapshots,
+    "op11_phrase_collocations": phrases.op11_phrase_collocations,
     "op12_sentencepiece": sentences.op12_sentencepiece,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op10_chat_snapshots": chat.OP10_SQL}
+ORACLES: dict[str, str] = {"op10_chat_snapshots": chat.OP10_SQL, "op11_phrase_collocations": phrases.OP11_SQL}
