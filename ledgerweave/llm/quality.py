@@ -1,5 +1,8 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
+A score is a function of the text to the last bit: term weights, axes and vectors are whole numbers (in float64), so
+scaled that all sums stay below 2^53 and are exact in any order; what is not a sum is one correctly rounded operation.
+
 Terms of a document are the shapes of its tokens (letter case, digits and marks, runs collapsed), its lower-cased
 word, and whether it repeats the token before, hashed to ``TERMS`` columns. Document frequencies are counted over all documents. The latent space is the
 truncated SVD of the weighted terms of a bounded sample of labelled documents; their vectors and labels are
@@ -7,13 +10,14 @@ broadcast (at most MOST_LABELLED, of DIMENSIONS numbers, whatever the input), an
 computed exactly, block by block. The score is the mean label of the nearest, weighted by similarity.
 
 Null and empty texts have no terms and score the share of label 1 in the sample, as do all texts when nothing is
-labelled (then 0.5). Rows with a null doc_id are scored, with a null held_out. Ids, labels, lang and source are no
+labelled (then 0.5). Of neighbours with equal cosines those that come first in the sample (by doc_id) vote. Rows with a null doc_id are scored, with a null held_out. Ids, labels, lang and source are no
 inputs of a score. Texts of any length are scored whole; repeated rows, and rows with equal texts, get equal scores; a
 score of exactly 0.5 counts as label 1. Other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +38,9 @@ MOST_LABELLED = {0: 2048, 1: 2048}
 #: Weight of a shape against a word, and columns that shapes have for themselves.
 SHAPE_WEIGHT, SHAPE_TERMS = 2.0, 1024
 
+#: Steps of 1 in logarithms of counts, in inverse document frequencies and in axes; length of vectors.
+COUNT_STEPS, IDF_STEPS, AXIS_STEPS, UNIT = 1 << 10, 1 << 7, 1 << 12, 1 << 20
+
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 65, 97, 97, 48
 
@@ -57,7 +64,18 @@ def terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     doc, term = terms(data, at)
     n = len(at) - 1
-    return np.bincount(doc * TERMS + term, minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
+    return np.bincount(doc * TERMS + term, minlength=n * TERMS).reshape(n, TERMS)
+
+
+_LOGARITHM = np.array([round(math.log1p(n) * COUNT_STEPS) for n in range(1 << 16)], float)
+
+
+def whole_weights(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Term weights as whole numbers below 2^29: a table gives the logarithms, so that they hang on nothing but the count."""
+    out = _LOGARITHM[np.minimum(count, len(_LOGARITHM) - 1).astype(np.int64)]
+    for at in zip(*np.nonzero(count >= len(_LOGARITHM)), strict=True):
+        out[at] = round(math.log1p(float(count[at])) * COUNT_STEPS)
+    return out * idf
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -87,9 +105,10 @@ class Neighbours:
     prior: float
 
     def latent(self, count: np.ndarray) -> np.ndarray:
-        x = np.log1p(count) * self.idf
-        x = x @ self.axes
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        """Whole-number vectors of length UNIT, or zeros."""
+        x = whole_weights(count, self.idf) @ self.axes  # below 2^29 * 64 * 2^12 = 2^47
+        x = np.rint(x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1) * UNIT)
+        return np.rint(x * UNIT / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1))
 
     def score(self, count: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
         out = np.full(len(count), self.prior)
@@ -100,27 +119,31 @@ class Neighbours:
         for i in range(0, len(filled), 256):
             rows = filled[i : i + 256]
             cosine = self.latent(count[rows]) @ self.vectors.T
-            near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4 + 1e-9
+            key = cosine.astype(np.int64) * len(self.labels) - np.arange(len(self.labels))  # no two are equal
+            near = np.argpartition(key, -k, axis=1)[:, -k:]
+            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) / (UNIT * UNIT)
+            weight = weight * weight
+            weight = np.rint(weight * weight * 2.0**40) + 1
             out[rows] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
 
 def fit(count: np.ndarray, labels: np.ndarray, frequency: np.ndarray, total: int, dimensions: int = DIMENSIONS) -> Neighbours:
     """Randomised SVD with power iterations of the sample's weighted terms."""
-    idf = np.log((1 + total) / (1 + frequency)).astype(np.float32) + 0.1
+    idf = np.log((1 + total) / (1 + frequency)) + 0.1
     idf[:SHAPE_TERMS] *= SHAPE_WEIGHT
     idf[0] *= SHAPE_WEIGHT  # repetition tells most about quality
+    idf = np.rint(idf * IDF_STEPS)
     if not len(labels):
-        return Neighbours(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    x = np.log1p(count) * idf
+        return Neighbours(idf, np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
+    x = whole_weights(count, idf).astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rank = min(dimensions, *x.shape)
     q = x.T @ np.random.default_rng(7).standard_normal((len(x), rank + 8)).astype(np.float32)
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, axes = np.linalg.svd(x @ q, full_matrices=False)
-    made = Neighbours(idf, (q @ axes[:rank].T).astype(np.float32), np.zeros((0, rank), np.float32), labels.astype(float), float(labels.mean()))
+    made = Neighbours(idf, np.rint((q @ axes[:rank].T).astype(float) * AXIS_STEPS), np.zeros((0, rank)), labels.astype(float), float(labels.mean()))
     made.vectors = made.latent(count)
     return made
 
@@ -131,13 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, mos
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in chunked(batches):
             count = counts(data, at)
-            sparse = [(np.flatnonzero(c).astype("<i2").tobytes(), c[c > 0].astype("<f4").tobytes()) for c in count]
+            sparse = [(np.flatnonzero(c).astype("<i2").tobytes(), c[c > 0].astype("<i8").tobytes()) for c in count]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array([s[k] for s in sparse], pa.binary()) for k in (0, 1))], ["doc_id", "label", "term", "n"])
 
     got = sample(docs, labels, "quality", parts, held, most).mapInArrow(rows, "doc_id long, label int, term binary, n binary").toArrow().sort_by("doc_id")
-    count = np.zeros((got.num_rows, TERMS), np.float32)
+    count = np.zeros((got.num_rows, TERMS), np.int32)
     for i, (term, n) in enumerate(zip(got.column("term").to_pylist(), got.column("n").to_pylist(), strict=True)):
-        count[i, np.frombuffer(term, "<i2")] = np.frombuffer(n, "<f4")
+        count[i, np.frombuffer(term, "<i2")] = np.frombuffer(n, "<i8")
     return fit(count, got.column("label").to_numpy(), frequency, total)
 
 
