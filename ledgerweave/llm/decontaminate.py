@@ -3,13 +3,14 @@
 A text becomes template tokens: runs of letters and digits, lower-cased for A-Z and Latin-1, with numbers, names (a capital and
 small letters, not at the start of a sentence) and units behind numbers replaced by typed placeholders whose values
 are kept as slots. Windows of WINDOW tokens with enough plain tokens in them are hashed; windows of documents are
-hash-joined with those of the benchmark items. A pair of document and item is reported if the windows of one
-alignment cover enough of the item and its slots are consistent: each value in the item always stands for one value
-in the document. So a question asked again with other numbers or names is found, and texts that share only a frame of
-function words with placeholders at random are not.
+hash-joined with those of the benchmark items. A pair of document and item is reported if consistent windows cover
+enough of the item: each value in the item always stands for one value in the document. So a question asked again with
+other numbers or names is found, and texts that share only a frame of function words with placeholders at random are not.
 
-By window (the query and the pipeline), only windows that replace such an inconsistent value are left out and the rest of
-the alignment counts; windows whose slots are equal always do. Otherwise the whole alignment is left out.
+Slots are checked over all alignments of a document and an item together, so a word put in or left out changes nothing:
+where an item's value stands for several, the windows that replace it are left out; windows whose slots are equal always
+count. A document may hold an item several times with other values: alignments that lie more than half an item apart
+are occurrences of their own, each is checked by itself too, and the largest number of windows holds.
 
 A match needs LEAST windows, or all of them where an item has fewer. An item with fewer than LEAST windows is also
 found by its whole token sequence, values in place of placeholders, so capitals and stops before it do not matter. An
@@ -20,7 +21,10 @@ is found in every text that has the word.
 The benchmark's distinct window hashes are sent to the tasks if they are at most MOST_SENT (8 bytes each); a larger
 benchmark meets the documents in a shuffled join instead, with the same result.
 
-Null and empty texts, and items without letters and digits, have no windows. Null ids are no documents or items. Repeated rows give one result.
+Null and empty texts, and items without letters and digits, have no windows. Null ids are no documents or items. Repeated
+rows give one result; rows that share an id count as one document or item that has the windows of all. Items with equal
+texts are each reported. Texts of any length are searched whole, CHUNK_BYTES or one text at a time. Other columns are
+not read, whatever their names; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -239,11 +243,20 @@ def _sought(whole: DataFrame, most_sent: int) -> Wholes:
     ]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, most_sent: int = MOST_SENT, by_window: bool = False) -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, reworded): documents that hold benchmark items; reworded: slots were replaced.
+def _consistent(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, reworded, is_exact): item places of the windows that replace no value that stands for several within the keys."""
+    slots = lines.select(*keys, F.explode(F.flatten("windows.slots")).alias("s"))
+    values = slots.groupBy(*keys, "s.item_slots").agg(F.min("s.doc_slots").alias("low"), F.max("s.doc_slots").alias("high"))
+    torn = values.filter("low <> high").groupBy(*keys).agg(F.collect_list("item_slots").alias("torn"))  # at most an item's values
+    other = lambda s: s["item_slots"] != s["doc_slots"]
+    clashes = lambda w: F.exists(w["slots"], lambda s: other(s) & F.array_contains("torn", s["item_slots"]))
+    rows = lines.join(torn, keys, "left").withColumn("torn", F.coalesce("torn", F.array().cast("array<long>"))).withColumn("windows", F.filter("windows", lambda w: ~clashes(w)))
+    places = F.collect_set(F.when(F.col("exact") == 0, F.col("windows.item_place")))
+    return rows.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(places))).cast("long").alias("n"), F.max(F.exists(F.flatten("windows.slots"), other)).alias("reworded"), F.max("exact").alias("is_exact"))
 
-    by_window: inconsistent slots cost the windows that replace them, not their whole alignment.
-    """
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least: int = LEAST, most_sent: int = MOST_SENT) -> DataFrame:
+    """(doc_id, item_id, n_windows, coverage, reworded): documents that hold benchmark items; reworded: slots were replaced."""
     whole = common.written(whole_items(benchmark, least), "whole-items")
     items = template_windows(benchmark, "item_id").withColumn("exact", F.lit(0))
     items = common.written(items.unionByName(whole.select(items.columns)), "items")
@@ -256,18 +269,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, le
     met = met.select("doc_id", "item_id", "exact", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda s: s["item_slots"] != 0).alias("slots"))
     # one alignment of a document and an item at a time; at most an item's windows in each group
     lines = met.groupBy("doc_id", "item_id", "exact", "shift").agg(F.collect_set(F.struct("item_place", "slots")).alias("windows"))
-    slots = F.array_distinct(F.flatten("windows.slots"))
-    lines = lines.withColumn("values", F.array_sort(F.transform(slots, lambda s: s["item_slots"])))
-    # item values that stand for more than one value
-    lines = lines.withColumn("torn", F.array_distinct(F.filter("values", lambda v, i: (i > 0) & (v == F.get("values", i - 1)))))
-    if by_window:
-        clashes = lambda w: F.exists(w["slots"], lambda s: (s["item_slots"] != s["doc_slots"]) & F.array_contains("torn", s["item_slots"]))
-        lines = lines.withColumn("windows", F.filter("windows", lambda w: ~clashes(w)))
-    else:
-        lines = lines.filter(F.size("torn") == 0)
-    lines = lines.withColumn("reworded", F.exists(F.flatten("windows.slots"), lambda s: s["item_slots"] != s["doc_slots"])).withColumn("places", F.col("windows.item_place"))
-    places = F.collect_set(F.when(F.col("exact") == 0, F.col("places")))
-    best = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(places))).cast("long").alias("n_windows"), F.max("exact").alias("exact"), F.max("reworded").alias("reworded"))
+    in_order = Window.partitionBy("doc_id", "item_id", "exact").orderBy("shift")
+    apart = F.col("shift") - F.lag("shift").over(in_order) > F.col("total") / 2
+    lines = lines.join(totals, "item_id").withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("occurrence", F.sum("apart").over(in_order))
+    lines = common.written(lines.select("doc_id", "item_id", "exact", "occurrence", "windows"), "alignments")
+    together, alone = (_consistent(lines, ["doc_id", "item_id", *more]) for more in ([], ["exact", "occurrence"]))
+    alone = alone.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", "reworded")).alias("one"))
+    best = together.join(alone, ["doc_id", "item_id"]).withColumn("best", F.when(F.col("one.n") > F.col("n"), F.col("one")).otherwise(F.struct("n", "reworded")))
+    best = best.select("doc_id", "item_id", "is_exact", F.col("best.n").alias("n_windows"), "best.reworded").withColumnRenamed("is_exact", "exact")
     found = best.join(totals, "item_id").withColumn("n_windows", F.when(F.col("exact") == 1, F.col("total")).otherwise(F.col("n_windows")))
     found = found.withColumn("coverage", F.col("n_windows") / F.col("total"))
     return found.filter((F.col("coverage") >= share) & (F.col("n_windows") >= F.least(F.lit(least), F.col("total")))).select("doc_id", "item_id", "n_windows", "coverage", "reworded")
@@ -275,4 +284,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, le
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of benchmark, as it is or with other numbers, names or units."""
-    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), by_window=True)
+    return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

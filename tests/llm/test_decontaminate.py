@@ -1,3 +1,6 @@
+import random
+import re
+
 from ledgerweave.llm import decontaminate
 
 from .helpers import ODD, documents
@@ -21,10 +24,79 @@ def test_verbatim_reworded_and_clean(spark):
 
 
 def test_inconsistent_slots_are_no_match(spark):
-    rows = decontaminate.contaminated(documents(spark, [UNSTEADY, OTHER]), table(spark)).collect()
+    """What is left without the windows that replace a value that stands for two: 16 of 25 windows."""
+    rows = decontaminate.contaminated(documents(spark, [UNSTEADY, OTHER]), table(spark), share=0.65).collect()
     assert [(r["doc_id"], r["item_id"]) for r in rows] == [(1, 7)]
 
 
+def test_a_word_between_changes_nothing(spark):
+    """Two alignments that give a value two meanings together leave what one alignment does."""
+    halves = ITEM.replace("12", "15", 1).replace("12", "99")
+    between = halves.replace("How many", "So how many")
+    twice = OTHER + " " + OTHER.replace("15", "16").replace("45", "46").replace("Alice", "Karen")
+    got = {r["doc_id"]: (r["n_windows"], r["reworded"]) for r in decontaminate.contaminated(documents(spark, [halves, between, twice, between + " " + halves]), table(spark)).collect()}
+    assert got[0][1] is False and got[1][1] is False and got[2] == (25, True)
+    assert 0 < got[0][0] - got[1][0] <= 6 and got[3] == got[0]  # the new word stands in up to six windows
+
+
+def brute_tokens(text):
+    """(template token, value or None) of an ASCII text."""
+    out, last = [], None
+    for m in re.finditer("[0-9A-Za-z]+", text):
+        word, start = m.group(), last is None or bool(re.search("[\n!.:?]", text[last : m.start()]))
+        behind = bool(out) and out[-1][0] == "<number>"
+        kind = "<number>" if word.isdigit() else "<unit>" if behind and word.lower() in decontaminate.UNITS else "<name>" if re.fullmatch("[A-Z][a-z]+", word) and not start else None
+        out.append((kind or word.lower(), word.lower() if kind else None))
+        last = m.end()
+    return out
+
+
+def brute_match(text, item):
+    """(n_windows, total, reworded) by the definition: every window of the text against every window of the item."""
+    windows = lambda t: [(i, tuple(w[0] for w in t[i : i + 6]), tuple(w[1] for w in t[i : i + 6])) for i in range(len(t) - 5) if sum(w[1] is None for w in t[i : i + 6]) >= 3]
+    mine, theirs = windows(brute_tokens(text)), windows(brute_tokens(item))
+    met = {(i - j, j, tuple((b, a) for a, b in zip(u, v, strict=True) if b)) for i, x, u in mine for j, y, v in theirs if x == y}
+
+    def count(rows):
+        stands = {}
+        for _, _, slots in rows:
+            for b, a in slots:
+                stands.setdefault(b, set()).add(a)
+        kept = [(j, slots) for _, j, slots in rows if not any(a != b and len(stands[b]) > 1 for b, a in slots)]
+        return len({j for j, _ in kept}), any(a != b for _, slots in kept for b, a in slots)
+
+    together = count(met)
+    shifts = sorted({r[0] for r in met})
+    number = {s: sum(b - a > len(theirs) / 2 for a, b in zip(shifts, shifts[1:], strict=False) if b <= s) for s in shifts}
+    alone = max((count([r for r in met if number[r[0]] == k]) for k in set(number.values())), default=(0, False))
+    return (*(alone if alone[0] > together[0] else together), len(theirs))
+
+
+def test_slots_like_brute_force(spark):
+    rng = random.Random(11)
+    items = [ITEM, "At noon Peter walks 3 miles to Oxford and 3 miles back, then he buys 40 g of tea. Does Peter need 7 hours for the 6 miles, or 40 minutes?"]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 2)):
+            words = rng.choice(items).split(" ")
+            for _ in range(rng.randint(0, 8)):
+                k = rng.randrange(len(words))
+                words[k] = rng.choice([words[k], "15", "99", "Alice", "miles", "so"]) if words[k].strip(".?,").isalnum() else words[k]
+            if rng.random() < 0.5:
+                words.insert(rng.randrange(len(words)), "indeed")
+            parts.append(" ".join(words))
+        texts.append(" and. ".join(parts))
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["reworded"]) for r in decontaminate.contaminated(documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            n, reworded, total = brute_match(text, item)
+            if n >= 3 and n / total >= decontaminate.SHARE:
+                want[d, i] = (n, reworded)
+    assert got == want and len({r for _, r in want.values()}) == 2 and len(want) > 40
+
+
 def test_windows_like_brute_force(spark):
     """Texts without slots: the windows are those of plain lower-cased words."""
     import re
