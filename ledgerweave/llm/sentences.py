@@ -31,16 +31,18 @@ from sentencepiece import SentencePieceProcessor
 from . import common
 from .common import flat, pieces
 
-#: Segments that a worker remembers, and the characters beyond which one is not remembered.
-REMEMBERED, LONG = 1 << 20, 64
+#: Segments that a worker remembers, and the characters beyond which one is not remembered; those up to which an agenda is a list.
+REMEMBERED, LONG, SHORT = 1 << 20, 64, 24
 #: What stands for a space in pieces.
 SPACE = "▁"
-_OTHER = 129  # classes of characters: ASCII, the space mark, all others
+_LATIN = 0x250  # classes of characters: those below, the space mark, all others
+_OTHER = _LATIN + 1
+_NEVER = float("inf")
 
 
 def _classes(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(code < 128, code, np.where(code == ord(SPACE), 128, _OTHER)).astype(np.uint8)
+    return np.where(code < _LATIN, code, np.where(code == ord(SPACE), _LATIN, _OTHER)).astype(np.uint16)
 
 
 class MergeVocabulary(dict):
@@ -52,7 +54,8 @@ class MergeVocabulary(dict):
         n = sp.vocab_size()
         if any(sp.is_unused(i) for i in range(n)):
             raise ValueError(f"{path} has unused pieces, which the agenda does not split again")
-        self.score = {sp.id_to_piece(i): (-sp.get_score(i), i) for i in range(n) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
+        self.ids = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
+        self.cost = {piece: -sp.get_score(i) for piece, i in self.ids.items()}
         bytes_ = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         if len(bytes_) < 256:  # without them the library makes one unknown id of a run of unknown symbols, across segments
             raise ValueError(f"{path} has no byte pieces")
@@ -63,22 +66,51 @@ class MergeVocabulary(dict):
         self.spaced = np.array([sp.id_to_piece(i).startswith(SPACE) for i in range(n)])
         self.silent = np.array([sp.is_control(i) for i in range(n)])
         self.prefixed = sp.normalize("a").startswith(SPACE)
-        self.joins = np.zeros((130, 130), bool)
-        self.joins[_OTHER], self.joins[:, _OTHER] = True, True
-        for piece in self.score:
+        self.joins = np.zeros((_OTHER + 1, _OTHER + 1), bool)
+        self.joins[_OTHER], self.joins[:, _OTHER] = True, True  # not looked at closely
+        for piece in self.ids:
             kind = _classes(piece)
             self.joins[kind[:-1], kind[1:]] = True
         self.new: list[str] = []
+        # a character that stands beside no other in any piece parts the segments that the library is asked about
+        joined = {c for piece in self.ids if len(piece) > 1 for c in piece}
+        alone = [c for c in "\n\t\r" + "".join(map(chr, range(1, 127))) if c not in joined and sp.normalize(f"a{c}a").endswith(f"a{c}a")]
+        self.border = alone[0] if alone else None
 
     def agenda(self, segment: str) -> list[int]:
-        """Ids of a segment: adjacent pairs are merged in the order of their score."""
-        score, symbols = self.score, list(segment)
+        """Ids of a segment: adjacent pairs are merged in the order of their score, equal ones from the left."""
+        symbols = self._by_list(segment) if len(segment) <= SHORT else self._by_heap(segment)
+        ids: list[int] = []
+        for symbol in symbols:
+            if symbol in self.ids:
+                ids.append(self.ids[symbol])
+            else:
+                ids.extend(self.byte_ids[b] for b in symbol.encode())
+        return ids
+
+    def _by_list(self, segment: str) -> list[str]:
+        """The agenda of a short segment: the pairs' costs (a high score is a low cost) in the order of their places."""
+        cost, symbols = self.cost.get, list(segment)
+        waiting = [cost(a + b, _NEVER) for a, b in zip(segment, segment[1:], strict=False)]
+        while waiting and (least := min(waiting)) is not _NEVER:
+            i = waiting.index(least)
+            del waiting[i]
+            symbols[i : i + 2] = (joined := symbols[i] + symbols[i + 1],)
+            if i:
+                waiting[i - 1] = cost(symbols[i - 1] + joined, _NEVER)
+            if i < len(waiting):
+                waiting[i] = cost(joined + symbols[i + 1], _NEVER)
+        return symbols
+
+    def _by_heap(self, segment: str) -> list[str]:
+        """The agenda of a long segment: a heap of cost, place and joined length; entries of changed symbols are passed over."""
+        cost, symbols = self.cost.get, list(segment)
         last = len(symbols) - 1
         after, before = list(range(1, last + 2)), list(range(-1, last))
-        waiting = [(*found, i, len(pair)) for i in range(last) if (found := score.get(pair := symbols[i] + symbols[i + 1]))]
+        waiting = [(found, i, 2) for i in range(last) if (found := cost(symbols[i] + symbols[i + 1])) is not None]
         heapq.heapify(waiting)
         while waiting:
-            _, _, i, size = heapq.heappop(waiting)
+            _, i, size = heapq.heappop(waiting)
             j = after[i]
             if j > last or not symbols[i] or len(symbols[i]) + len(symbols[j]) != size:
                 continue  # one of the two has been merged since
@@ -87,17 +119,11 @@ class MergeVocabulary(dict):
             after[i] = k = after[j]
             if k <= last:
                 before[k] = i
-                if found := score.get(pair := symbols[i] + symbols[k]):
-                    heapq.heappush(waiting, (*found, i, len(pair)))
-            if (h := before[i]) >= 0 and (found := score.get(pair := symbols[h] + symbols[i])):
-                heapq.heappush(waiting, (*found, h, len(pair)))
-        ids: list[int] = []
-        for symbol in filter(None, symbols):
-            if found := score.get(symbol):
-                ids.append(found[1])
-            else:
-                ids.extend(self.byte_ids[b] for b in symbol.encode())
-        return ids
+                if (found := cost(pair := symbols[i] + symbols[k])) is not None:
+                    heapq.heappush(waiting, (found, i, len(pair)))
+            if (h := before[i]) >= 0 and (found := cost(pair := symbols[h] + symbols[i])) is not None:
+                heapq.heappush(waiting, (found, h, len(pair)))
+        return [s for s in symbols if s]
 
     def __missing__(self, segment: str) -> bytes:
         out = array("i", self.agenda(segment)).tobytes()
@@ -107,15 +133,23 @@ class MergeVocabulary(dict):
         return out
 
     def check_segments(self) -> None:
-        """The library's own ids of the segments met since the last call."""
-        # where the normaliser puts a space in front, a segment's own first space is left to it
-        texts = [s[1:] if self.prefixed and s[0] == SPACE and len(s) > 1 else s for s in self.new]
-        texts = [t.replace(SPACE, " ") for t in texts]
-        for segment, text, whole, theirs in zip(self.new, texts, self.library.normalize(texts), self.library.encode(texts, num_threads=1), strict=True):
-            mine = np.frombuffer(self[segment], np.int32).tolist() if whole == segment and segment in self else self.agenda(whole)
-            if mine != theirs:
-                raise ValueError(f"segment {segment!r} has other ids in the library")
-        self.new.clear()
+        """The library's own ids of the segments met since the last call, many at once where the vocabulary has a border."""
+        new, self.new = self.new, []
+        if not new:
+            return
+        if self.border:
+            text = self.border + self.border.join(new)
+            whole = self.library.normalize(text.replace(SPACE, " "))
+            if whole.endswith(text):
+                between = array("i", self.agenda(self.border)).tobytes()
+                start = array("i", self.agenda(whole[: len(whole) - len(text)])).tobytes()
+                mine = b"".join([start, *(part for s in new for part in (between, self[s]))])
+                self.new = []
+                if mine == np.array(self.library.encode(text.replace(SPACE, " ")), np.int32).tobytes():
+                    return
+        for text in (s.replace(SPACE, " ") for s in new):
+            if self.agenda(self.library.normalize(text)) != self.library.encode(text):
+                raise ValueError(f"{text!r} has other ids in the library")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts."""

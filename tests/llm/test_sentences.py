@@ -49,7 +49,9 @@ def test_decodes_any_ids(ids):
 def test_agenda_is_the_definition():
     rng = random.Random(3)
     for text in ("the nation's  hesitation", "aaaaaaaaaaaaa", "".join(rng.choice("etaoinsh ") for _ in range(300))):
-        assert sentences.vocabulary(MODEL).agenda(LIBRARY.normalize(text)) == brute_merge(text) == LIBRARY.encode(text)
+        mine = sentences.vocabulary(MODEL)
+        assert mine.agenda(LIBRARY.normalize(text)) == brute_merge(text) == LIBRARY.encode(text)
+        assert mine._by_list(LIBRARY.normalize(text)) == mine._by_heap(LIBRARY.normalize(text))
 
 
 def test_rows(spark):
@@ -74,8 +76,8 @@ def test_query(spark, sf_dir):
 
 def test_a_difference_stops_the_job():
     mine = sentences.MergeVocabulary(public_tokenizers.path(MODEL))
-    del mine.score["▁the"]
-    mine.encode(["the then"])
+    del mine.cost["▁the"]
+    mine.encode(["so the then"])
     with pytest.raises(ValueError, match="other ids"):
         mine.check_segments()
 
@@ -85,3 +87,13 @@ def test_segments_are_forgotten(monkeypatch):
     mine = sentences.MergeVocabulary(public_tokenizers.path(MODEL))
     for text in ("one two three four", "four five six", "one"):
         assert mine.encode([text])[0].tolist() == LIBRARY.encode(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(TEXT, max_size=6))
+def test_segments_are_checked_together(texts):
+    mine = sentences.vocabulary(MODEL)
+    mine.clear()
+    mine.encode(texts)
+    mine.check_segments()
+    assert mine.border and not mine.new
