@@ -2,35 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.names import company_key, filed_name, fold_accents, other_filed_names, printed_name, provisional_id, qid
-from ledgerweave.functions.similarity import THRESHOLD, block_ratio, lengths_allow, letter_counts, letters_allow
+from ledgerweave.functions.similarity import THRESHOLD, block_ratio, letter_counts, most_matched, placed_grams
 from ledgerweave.operators.filters import has_sponsor
 
 
+#: Characters of the runs that find a first partner, how many of a key's rarest runs are looked up, and names that such a run may be in.
+SEED_GRAM, SEEDS, SEED_NAMES = 4, 4, 256
+#: Places that stand together in the index of two-character runs.
+PLACES = 8
+
+
+def _features(keys: DataFrame, key: str, tag: str) -> DataFrame:
+    return keys.withColumns({f"{tag}_size": F.length(key), f"{tag}_letters": letter_counts(F.col(key)), f"{tag}_pairs": F.transform(placed_grams(F.col(key), 2), lambda g: g["gram"])})
+
+
+def _bound(low: str = "q", high: str = "k") -> Column:
+    """The greatest ratio that the pair can have."""
+    most = most_matched(f"{low}_letters", f"{high}_letters", f"{low}_pairs", f"{high}_pairs", F.col(f"{low}_size"), F.col(f"{high}_size"))
+    total = F.col(f"{low}_size") + F.col(f"{high}_size")
+    return F.when(total == 0, 1.0).otherwise(2.0 * most / total)
+
+
+def _rarest(keys: DataFrame, size: int, frequency: DataFrame) -> DataFrame:
+    """(q, grams): a key's runs with the number of names that have them, the rarest first."""
+    grams = keys.select("q", F.explode(placed_grams(F.col("q"), size)).alias("g")).select("q", "g.gram", "g.place").join(frequency, "gram", "left")
+    return grams.groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram", "place"))).alias("grams"))
+
+
+def first_partners(keys: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """keys (q, features), known (k, name, position, features) -> (q, score, position, name): for each key the partner
+    with the greatest bound among names that share one of its rarest runs, if it reaches the threshold.
+
+    This only decides how much is compared afterwards, never what is found: any partner's score is a floor of the best.
+    """
+    runs = known.select("k", F.explode(F.array_distinct(F.transform(placed_grams(F.col("k"), SEED_GRAM), lambda g: g["gram"]))).alias("gram"))
+    rare = _rarest(keys, SEED_GRAM, runs.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
+    rare = rare.select("q", F.explode(F.slice(F.filter("grams", lambda g: (g["names"] > 0) & (g["names"] <= SEED_NAMES)), 1, SEEDS)).alias("g")).select("q", "g.gram")
+    pairs = rare.join(runs, "gram").select("q", "k").distinct().join(keys, "q").join(known, "k")
+    best = pairs.groupBy("q").agg(F.min_by(F.struct("k", "name", "position"), F.struct(-_bound(), "position")).alias("p"))
+    scored = best.select("q", "p.k", "p.name", "p.position").withColumn("score", block_ratio("q", "k"))
+    return scored.filter(F.col("score") >= threshold).select("q", "score", "position", "name")
+
+
+def rival_pairs(keys: DataFrame, known: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """(q, k, name, position): every pair that may beat the key's first partner, by score or, at its score, by position.
+
+    With a floor f and m >= f (|q| + |k|) / 2 matched characters, at least 3 m - |q| - |k| - 1 two-character runs of q are
+    matched, in k at places that differ by at most the unmatched |q| + |k| - 2 m. So of q's runs, rarest first, one of
+    all but that many, and one, is in k nearby: these are looked up in an index of runs by place. A key for which this
+    asks for no run at all meets the names whose length can reach its floor.
+    """
+    floored = keys.join(first.select("q", F.col("score").alias("floor"), F.col("position").alias("held")), "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float(threshold))))
+    n, floor, tiny = F.col("q_size"), F.col("floor"), 1e-9
+    low, high = F.ceil(n * floor / (2 - floor) - tiny).cast("int"), F.floor(n * (2 - floor) / floor + tiny).cast("int")
+    floored = floored.withColumns({"low": low, "high": high, "runs": F.ceil((n + low) * (1.5 * floor - 1) - 1 - tiny).cast("int"), "off": F.floor((n + high) * (1 - floor) + tiny).cast("int")})
+
+    placed = known.select("k", F.col("k_size").alias("size"), F.explode(placed_grams(F.col("k"), 2)).alias("g")).select("k", "size", "g.gram", "g.place")
+    rare = _rarest(keys, 2, placed.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
+    sought = floored.filter("runs >= 1").join(rare, "q").select("q", "low", "high", "off", F.explode(F.slice("grams", 1, F.greatest(F.lit(1), n - F.col("runs")))).alias("g")).filter("g.names > 0")
+    sought = sought.select("q", "low", "high", "off", "g.gram", F.col("g.place").alias("at")).withColumn("band", F.explode(F.sequence(F.floor((F.col("at") - F.col("off")) / PLACES), F.floor((F.col("at") + F.col("off")) / PLACES))))
+    near = sought.join(placed.withColumn("band", F.floor(F.col("place") / PLACES)), ["gram", "band"]).filter((F.abs(F.col("at") - F.col("place")) <= F.col("off")) & F.col("size").between(F.col("low"), F.col("high")))
+    lengths = floored.filter("runs < 1").select("q", F.explode(F.sequence("low", F.greatest("low", "high"))).alias("size"))
+    pairs = near.select("q", "k").distinct().unionByName(lengths.join(known.select("k", F.col("k_size").alias("size")), "size").select("q", "k"))
+    met = pairs.join(floored.drop("low", "high", "runs", "off"), "q").join(known, "k").withColumn("bound", _bound())
+    may = (F.col("bound") > floor) | (F.col("bound") == floor) & (F.col("held").isNull() | (F.col("position") < F.col("held")))
+    return met.filter(may).select("q", "k", "name", "position")
+
+
 def similar_companies(queries: DataFrame, names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """queries (query), names (name, position) -> (query, name, score): the most similar name, the earliest of equals.
 
-    Both sides are reduced to distinct keys. Equal keys meet in a hash join and need no more. For the rest, the ratio's
-    upper bound by length makes the join one on length buckets: for each query length, the lengths that can still reach
-    the threshold are listed. Of pairs of such lengths only those with enough common letters are compared, a bound that
-    holds for every pair, so none is lost.
+    Both sides are reduced to distinct keys. Equal keys meet in a hash join and need no more. Each other key is first
+    compared with one promising name; its score rules out, by exact bounds in Spark's own expressions, nearly all
+    others, and only what is left is compared. No pair that could win is left out, whatever the names are.
     """
+    if not 2 / 3 <= threshold <= 1:
+        raise ValueError("bounds hold for thresholds from 2/3 to 1")
     asked = queries.select("query", company_key(F.col("query")).alias("q")).distinct()
     known = names.select("name", "position", company_key(F.col("name")).alias("k"))
-    first = known.groupBy("k").agg(F.min_by("name", "position").alias("name"), F.min("position").alias("position"))
+    known = known.groupBy("k").agg(F.min_by("name", "position").alias("name"), F.min("position").alias("position"))
     keys = asked.select("q").distinct()
-    same = keys.join(first, keys["q"] == first["k"]).select("q", "name", F.lit(1.0).alias("score"))
-    open_keys = keys.join(same, "q", "left_anti")
-    n = F.length("q")
-    low, high = F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int")
-    reach = open_keys.withColumn("q_letters", letter_counts(F.col("q"))).withColumn("length", F.explode(F.sequence(low, F.greatest(low, high))))
-    pairs = reach.join(first.withColumns({"length": F.length("k"), "k_letters": letter_counts(F.col("k"))}), "length")
-    pairs = pairs.filter(lengths_allow(F.col("q"), F.col("k"), threshold) & letters_allow("q_letters", "k_letters", n, F.length("k"), threshold))
-    scored = pairs.select("q", "name", "position", block_ratio("q", "k").alias("score")).filter(F.col("score") >= threshold)
-    best = scored.groupBy("q").agg(F.min_by("name", F.struct(-F.col("score"), "position")).alias("name"), F.max("score").alias("score"))
+    same = keys.join(known, keys["q"] == known["k"]).select("q", "name", F.lit(1.0).alias("score"))
+    open_keys, known = _features(keys.join(same, "q", "left_anti"), "q", "q"), _features(known, "k", "k")
+    first = first_partners(open_keys, known, threshold)
+    rivals = rival_pairs(open_keys, known, first, threshold).withColumn("score", block_ratio("q", "k")).filter(F.col("score") >= threshold)
+    found = first.unionByName(rivals.select("q", "score", "position", "name"))
+    best = found.groupBy("q").agg(F.min_by("name", F.struct(-F.col("score"), "position")).alias("name"), F.max("score").alias("score"))
     return asked.join(same.unionByName(best), "q").select("query", "name", "score")
 
 

@@ -451,6 +451,14 @@ def similarity_join(d: Domain) -> DataFrame:
     return resolve.similar_companies(asked, d.table("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("position")))
 
 
+@query()
+def misspelt_parts(d: Domain) -> DataFrame:
+    """Every part's name without one of its characters, against all names: ratios below 1, ties by the smaller key."""
+    name, i = F.col("p_name"), F.col("p_partkey") % F.length("p_name")
+    asked = d.table("part").select(F.concat(F.substring(name, F.lit(1), i.cast("int")), F.substring(name, (i + 2).cast("int"), F.length(name))).alias("query"))
+    return resolve.similar_companies(asked, d.table("part").groupBy("p_name").agg(F.min("p_partkey").alias("position")).withColumnRenamed("p_name", "name"))
+
+
 def _hits(d: Domain) -> DataFrame:
     """Five hits for a brand; labels and aliases are the brand with a suffix, or share no character with it."""
     i = F.col("s_suppkey")
