@@ -8,6 +8,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.plans.scratch import work_dir, written
+
 #: Hops of a trail for scores and money trails, and for the graph view.
 SCORE_HOPS, VIEW_HOPS = 10, 5
 _ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
@@ -97,3 +99,123 @@ def trail_counts(roots: DataFrame, edges: DataFrame, hops: int = SCORE_HOPS) ->
 def acyclic_trail_counts(roots: DataFrame, edges: DataFrame, hops: int = SCORE_HOPS) -> DataFrame:
     """The same for graphs with many diamonds, where trails are too many to list: composed counts if no walk returns, else listed."""
     return composed_counts(roots, edges, hops) if never_returns(edges, hops) else trail_counts(roots, edges, hops)
+
+
+# --- counts on graphs with cycles -----------------------------------------------------------------------------------
+
+
+def _core(edges: DataFrame, path: str) -> DataFrame:
+    """Edges between corporations that are both owned and owners of others, again and again: nothing is left without a cycle."""
+    number, left = 0, edges.count()
+    while left:
+        owners, owned = edges.select(F.col("child").alias("parent")).distinct(), edges.select(F.col("parent").alias("child")).distinct()
+        kept = written(edges.join(owners, "parent", "left_semi").join(owned, "child", "left_semi").select("child", "parent"), f"{path}/core{number}")
+        number, before, left = number + 1, left, kept.count()
+        edges = kept
+        if left == before:
+            break
+    return edges
+
+
+def components(edges: DataFrame, path: str | None = None) -> DataFrame:
+    """(corp, component) of the corporations on cycles: strongly connected components by forward-backward colouring.
+
+    What lies on no path between cycles is trimmed first. Then every corporation takes the greatest number or name that
+    leads to it, as its colour; those that keep their own are roots, and what leads to a root within its colour is its
+    component. Components go, and the rest is trimmed and coloured again. Each round is a join and an aggregation over
+    edge tables; rounds follow the longest way through the cycles, not the number of trails.
+    """
+    spark = edges.sparkSession
+    path = path or work_dir(spark, "components")
+    core, found, number = _core(edges.select("child", "parent").distinct(), f"{path}/0"), [], 0
+    while not core.isEmpty():
+        number += 1
+        nodes = core.select(F.explode(F.array("child", "parent")).alias("corp")).distinct()
+        colour, turn, open_ = nodes.withColumn("colour", F.col("corp")), 0, True
+        while open_:
+            came = core.join(colour.select(F.col("corp").alias("child"), "colour"), "child").select(F.col("parent").alias("corp"), "colour", F.lit(False).alias("own"))
+            both = colour.select("corp", "colour", F.lit(True).alias("own")).unionByName(came)
+            new = both.groupBy("corp").agg(F.max("colour").alias("colour"), F.max(F.when(F.col("own"), F.col("colour"))).alias("before"))
+            new = written(new, f"{path}/{number}/colour{turn}")
+            colour, turn, open_ = new.select("corp", "colour"), turn + 1, not new.filter("colour <> before").isEmpty()
+        ends = core.join(colour.select(F.col("corp").alias("child"), "colour"), "child").join(colour.select(F.col("corp").alias("parent"), F.col("colour").alias("above")), "parent").filter("colour = above").select("child", "parent")
+        ends = written(ends, f"{path}/{number}/within")
+        member, turn, size = colour.filter("corp = colour"), 0, -1
+        while (n := member.count()) != size:
+            back = ends.join(member.select(F.col("corp").alias("parent"), "colour"), "parent").select(F.col("child").alias("corp"), "colour")
+            member, size, turn = written(member.unionByName(back).distinct(), f"{path}/{number}/member{turn}"), n, turn + 1
+        found.append(member.select("corp", F.col("colour").alias("component")))
+        gone = member.select("corp")
+        core = core.join(gone.withColumnRenamed("corp", "child"), "child", "left_anti").join(gone.withColumnRenamed("corp", "parent"), "parent", "left_anti")
+        core = _core(written(core.select("child", "parent"), f"{path}/{number}/rest"), f"{path}/{number}")
+    kind = edges.schema["child"].dataType.simpleString()
+    all_ = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"corp {kind}, component {kind}")
+    # a component of one corporation has no cycle but an edge to itself
+    sizes = all_.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    loops = edges.filter("child = parent").select(F.col("child").alias("corp")).distinct().withColumn("loop", F.lit(True))
+    return all_.join(sizes, "component").join(loops, "corp", "left").filter("n > 1 or loop").select("corp", "component")
+
+
+def labelled(edges: DataFrame, path: str | None = None) -> DataFrame:
+    """(child, parent, inner): inner edges join corporations of one component. To be stored with the edges, once for each load."""
+    edges = edges.select("child", "parent").distinct()
+    parts = components(edges, path)
+    below, above = (parts.select(F.col("corp").alias(end), F.col("component").alias(f"{end}_part")) for end in ("child", "parent"))
+    return edges.join(below, "child", "left").join(above, "parent", "left").select("child", "parent", F.coalesce(F.col("child_part") == F.col("parent_part"), F.lit(False)).alias("inner"))
+
+
+#: Hops that one job walks before the counts are written.
+STRIDE = 4
+
+
+def counted_trails(roots: DataFrame, graph: DataFrame, hops: int = SCORE_HOPS) -> DataFrame:
+    """roots (brand, corp), graph (child, parent, inner) -> (brand, corp, trails), right with cycles and without listing trails.
+
+    A trail is a chain of visits to components, joined by edges between them. Only an inner edge can be walked twice,
+    and only within one visit, so visits are counted apart: trails inside components are listed, by where they enter,
+    and everything else is one count for each brand, corporation and hop, however many trails lead there.
+    """
+    spark, path = roots.sparkSession, work_dir(roots.sparkSession, "trails")
+    outer, inner = graph.filter("not inner").select("child", "parent"), graph.filter("inner").select("child", "parent")
+    cyclic = not inner.isEmpty()
+    start = roots.select("brand", "corp").distinct().withColumn("n", F.lit(1).cast("long"))
+    if cyclic:
+        entries = inner.select(F.explode(F.array("child", "parent")).alias("corp")).distinct()
+        visits = trails(entries.select(F.col("corp").alias("brand"), "corp"), inner, hops).groupBy(F.col("brand").alias("entry"), "corp", F.col("depth").alias("length")).agg(F.count(F.lit(1)).alias("ways"))
+        visits = written(visits, f"{path}/visits")
+
+    def moved(at: DataFrame) -> DataFrame:
+        return at.join(outer, F.col("corp") == F.col("child")).groupBy("brand", F.col("parent").alias("corp")).agg(F.sum("n").alias("n"))
+
+    arrived, hop = written(start, f"{path}/arrived/hop=0"), 0
+    while hop < hops:
+        if not cyclic:
+            steps = []
+            for _ in range(min(STRIDE, hops - hop)):
+                arrived, hop = moved(arrived), hop + 1
+                steps.append(arrived.withColumn("hop", F.lit(hop)))
+            reduce(DataFrame.unionByName, steps).write.mode("append").partitionBy("hop").parquet(f"{path}/arrived")
+        else:
+            arrived = moved(_staying(spark, path, arrived.schema, visits, hop))
+            hop += 1
+            arrived.write.parquet(f"{path}/arrived/hop={hop}")
+        arrived = spark.read.schema(f"{_ddl(start)}, hop int").parquet(f"{path}/arrived").filter(F.col("hop") == hop).drop("hop")
+        if not cyclic and arrived.isEmpty():
+            break
+    if not cyclic:
+        rows = spark.read.schema(f"{_ddl(start)}, hop int").parquet(f"{path}/arrived")
+    else:
+        rows = reduce(DataFrame.unionByName, (_staying(spark, path, start.schema, visits, h) for h in range(hops + 1)))
+    return rows.groupBy("brand", "corp").agg(F.sum("n").alias("trails"))
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
+def _staying(spark, path: str, schema, visits: DataFrame, hop: int) -> DataFrame:
+    """(brand, corp, n): trails of exactly hop edges, by where they stand: arrived earlier and gone on within the component, or just arrived."""
+    arrived = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema.fields)}, hop int").parquet(f"{path}/arrived").filter(F.col("hop") <= hop)
+    within = arrived.withColumnRenamed("corp", "entry").join(visits, "entry").filter(F.col("hop") + F.col("length") == hop).select("brand", "corp", (F.col("n") * F.col("ways")).alias("n"))
+    alone = arrived.filter(F.col("hop") == hop).join(visits.select(F.col("entry").alias("corp")).distinct(), "corp", "left_anti").select("brand", "corp", "n")
+    return within.unionByName(alone).groupBy("brand", "corp").agg(F.sum("n").alias("n"))

@@ -8,14 +8,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerweave.operators import traverse
 from ledgerweave.operators.filters import supported
 from ledgerweave.operators.upserts import last_write
+from ledgerweave.plans.scratch import removed, work_dir, written
 
 #: Cycles that scores are computed for.
 CYCLES = (1996, 1998)
 KEY = ("committee", "candidate", "tran")
 
 
+_GRAPHS: dict[tuple[str, str], str] = {}
+
+
 @dataclass
 class Domain:
     spark: SparkSession
@@ -37,6 +42,17 @@ class Domain:
         edges = edges.join(self.corporations.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent")
         return edges.persist()  # stands for the stored edge table; walks read it at every hop. One cache for a session and folder
 
+    @cached_property
+    def graph(self) -> DataFrame:
+        """The stored ownership edges with their inner mark, labelled once for an application and folder."""
+        key = self.spark.sparkContext.applicationId, self.sf_dir
+        if key not in _GRAPHS:
+            path = work_dir(self.spark, "ownership")
+            written(traverse.labelled(self.subsidiaries, f"{path}/steps"), f"{path}/edges")
+            removed(self.spark, f"{path}/steps")
+            _GRAPHS[key] = f"{path}/edges"
+        return self.spark.read.schema("child bigint, parent bigint, inner boolean").parquet(_GRAPHS[key])
+
     @cached_property
     def owned_by(self) -> DataFrame:
         return self.table("part").select(F.col("p_brand").alias("brand")).distinct().withColumn("corp", F.substr("brand", F.lit(7)).cast("long") % 10)

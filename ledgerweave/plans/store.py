@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.upserts import scores_written
+from ledgerweave.plans.scratch import work_dir  # noqa: F401  its users find it here too
 
 SCORE = "brand_name string, issue_name string, scorecard_org string, score double, dollars double, candidates long, confidence string, cycles array<int>, computed_at timestamp"
 CYCLE_LOAD = "cycle int, loaded_at timestamp"
 RESOLUTION = "brand string, id string, source int"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; only a local session may have none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerweave-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/graph-{uuid.uuid4().hex}"
-
-
 class Store:
     """Tables below root, a folder that driver and executors share. A snapshot is there once Spark has committed it."""
 
