@@ -72,32 +72,37 @@ def test_equals_brute_force(spark, budget, block, least, top):
 
 def test_counts_of_all_levels(spark):
     rows = corpus(1)
-    nodes, totals = phrases.phrase_counts(table(spark, rows), 2, budget=20, block=64)
-    got = {(r["lang"], *r["phrase"].split(" ")): r["n"] for r in nodes.collect()}
+    nodes, frequent, totals = phrases.phrase_counts(table(spark, rows), 2, budget=20, block=64)
+    words = {r["id"]: (r["lang"], r["word"]) for r in frequent.collect()}
+    got = {(words[r["ids"][0]][0], *(words[i][1] for i in r["ids"])): r["n"] for r in nodes.collect()}
     expected = {key: n for key, n in brute_counts(rows).items() if n >= 2}
     assert got == expected and nodes.count() == len(expected)
     assert {r["lang"]: r["n"] for r in totals.collect()} == {lang: sum(n for key, n in brute_counts(rows).items() if key[0] == lang and len(key) == 2) for lang in {key[0] for key in brute_counts(rows)}}
+    assert sorted(words) == list(range(1, len(words) + 1))
 
 
 def test_groups_keep_to_the_budget(spark):
     rows = corpus(4, 200)
     blocks = common.written(phrases.word_blocks(table(spark, rows), 500), "test")
-    counts = phrases.word_counts(blocks)
-    plan = phrases.Plan(phrases.Filter(counts, 2), 1 << 12)
-    plan.add(counts, 50, F.col("n"))
-    while plan.split[-1]:
-        plan.add(phrases.prefix_counts(blocks, plan), 50, F.col("n"))
-    weight = Counter()
-    for (lang, *words), n in brute_counts(rows).items():
-        if len(words) == 1 and (lang, words[0]) not in plan.split[0]:
-            weight[int(plan.group[0][phrases._checksum(lang, words[0]) % plan.buckets])] += n
-    assert len(plan.split) > 1 and plan.groups > 10 and max(weight.values()) <= 50
+    live, frequent = phrases.frequent_words(blocks, 2)
+    frequent = common.written(frequent, "test")
+    coded = common.written(phrases.coded_blocks(blocks, live, frequent), "test")
+    plan = phrases.Plan(1 << 12)
+    plan.add(frequent.select(F.col("id").alias("p0"), "n"), 50)
+    while plan.split[-1].shape[1]:
+        plan.add(phrases.prefix_counts(coded, plan), 50)
+    weight, split = Counter(), set(plan.split[0][0].tolist())
+    for r in frequent.collect():
+        if r["id"] not in split:
+            weight[int(plan.group[0][r["id"] % plan.buckets])] += r["n"]
+    assert split and len(plan.split) > 2 and plan.groups > 10 and max(weight.values()) <= 50
 
 
-def test_a_filter_that_lets_all_words_through_changes_nothing(spark, monkeypatch):
-    rows = corpus(9)
-    monkeypatch.setattr(phrases.Filter, "passes", lambda self, sums: sums >= 0)
-    assert found(phrases.collocations(table(spark, rows), 100, 3, budget=30)) == brute(rows, 100, 3)
+def test_planes_round_trip():
+    import numpy as np
+
+    for values in (np.zeros(0, np.int64), np.array([0, 1, 2**31 - 1, 2**32 - 1]), np.arange(1000) * 77):
+        assert phrases._unpacked(phrases._packed(values)).tolist() == values.tolist()
 
 
 def test_odd_rows(spark):
@@ -107,8 +112,9 @@ def test_odd_rows(spark):
 
 
 def test_large_counts_stay_exact(spark, monkeypatch):
-    nodes = spark.createDataFrame([("en", "a b", 2, 6 * 10**12), ("en", "a", 1, 9 * 10**18), ("en", "b", 1, 9 * 10**18 - 1)], "lang string, phrase string, size int, n long")
-    monkeypatch.setattr(phrases, "phrase_counts", lambda *a: (nodes, spark.createDataFrame([("en", 9 * 10**18)], "lang string, n long")))
+    nodes = spark.createDataFrame([([1, 2], 6 * 10**12), ([1], 9 * 10**18), ([2], 9 * 10**18 - 1)], "ids array<int>, n long")
+    words = spark.createDataFrame([(1, "en", "a", 1), (2, "en", "b", 1)], "id int, lang string, word string, n long")
+    monkeypatch.setattr(phrases, "phrase_counts", lambda *a: (nodes, words, spark.createDataFrame([("en", 9 * 10**18)], "lang string, n long")))
     assert found(phrases.collocations(nodes, 5)) == [("en", 1, "a b", 6 * 10**12, 9 * 10**18, 9 * 10**18 - 1, 9 * 10**18, 2000000 * 6 * 10**12 // (18 * 10**18 - 1))]
 
 
