@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.names import score_class
@@ -24,10 +24,34 @@ def search_scores(scores: DataFrame, part: str, issues: Sequence[str] | None = N
     return rows.orderBy("brand_name", "issue_name", "scorecard_org")
 
 
+def leading_gifts(gifts: DataFrame, giver: str, count: int = TRAIL_ROWS) -> DataFrame:
+    """Each corporation's count first gifts in a trail's order (amount, giver, candidate), with all that tie with the last.
+
+    Spark limits the groups before it shuffles them, so at most count rows a corporation and task are sent.
+    """
+    order = Window.partitionBy("corp").orderBy(F.desc_nulls_first("amount"), giver, "candidate")
+    return gifts.withColumn("_rank", F.rank().over(order)).filter(F.col("_rank") <= count).drop("_rank")
+
+
+def _above_threshold(rows: DataFrame, count: int) -> DataFrame:
+    """Rows whose amount is among the count first amounts, unknown ones first; all rows where there are fewer."""
+    least = rows.select("amount").orderBy(F.desc_nulls_first("amount")).limit(count).agg(F.count(F.lit(1)).alias("_all"), F.min("amount").alias("_least"))  # one row
+    known = F.col("_least").isNotNull() & (F.col("amount") >= F.col("_least"))
+    return rows.join(F.broadcast(least), (F.col("_all") < count) | F.col("amount").isNull() | known).drop("_all", "_least")
+
+
 def money_trail(trails: DataFrame, gifts: DataFrame, rates: DataFrame, covers: DataFrame, giver: str, issues: Sequence[str] | None = None) -> DataFrame:
-    """trails (brand, corp), gifts (corp, giver, candidate, amount, tran): the greatest amounts, unknown ones first, in a total order."""
-    rows = in_list(trails.join(gifts, "corp").join(rates, "candidate").join(covers, "org"), "issue", issues)
-    rows = rows.select("brand", "corp", giver, "candidate", "amount", "tran", "score", "org", "issue")
+    """trails (brand, corp), gifts (corp, giver, candidate, amount, tran): the greatest amounts, unknown ones first, in a total order.
+
+    A rank join: every gift to a candidate who is rated on an asked issue gives a row or more, so only each
+    corporation's leading gifts can be shown, and of these only amounts down to the last one that is shown if each gives
+    one row. Trails, ratings and issues are joined to what is left.
+    """
+    covers = in_list(covers, "issue", issues)
+    shown = rates.join(covers.select("org").distinct(), "org", "left_semi")
+    rated = gifts.join(shown.select("candidate").distinct(), "candidate", "left_semi").join(trails.select("corp").distinct(), "corp", "left_semi")
+    leading = _above_threshold(trails.join(leading_gifts(rated, giver), "corp"), TRAIL_ROWS)
+    rows = leading.join(shown, "candidate").join(covers, "org").select("brand", "corp", giver, "candidate", "amount", "tran", "score", "org", "issue")
     return rows.orderBy(F.desc_nulls_first("amount"), "brand", "corp", giver, "candidate", "org", "issue", "tran").limit(TRAIL_ROWS)
 
 

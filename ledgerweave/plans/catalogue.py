@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerweave.functions import names
 from ledgerweave.operators import dedupe, filters, resolve, scoring, serve, traverse, upserts
 from ledgerweave.plans.projection import CYCLES, KEY, Domain, sql
-from ledgerweave.plans.store import RESOLUTION, Store, work_dir
+from ledgerweave.plans.store import RESOLUTION, SCORE, Store, work_dir
 from ledgerweave.sources import bulk, scorecards, seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,7 @@ def query(oracle: str | None = None, domain: bool = True):
 
 
 def _scores(d: Domain) -> DataFrame:
-    counts = traverse.trail_counts(d.owned_by, d.subsidiaries)
+    counts = traverse.counted_trails(d.owned_by, d.graph)
     return scoring.factored_scores(counts, d.pacs, d.cycle_contributions, d.rates, d.covers)
 
 
@@ -62,7 +62,7 @@ def brand_scores_naive(d: Domain) -> DataFrame:
 def brand_scores_zero_dollar(d: Domain) -> DataFrame:
     """Every brand, with every amount nothing: the plain mean over paths."""
     nothing = d.cycle_contributions.withColumn("amount", F.lit(0).cast("decimal(18,2)"))
-    return scoring.factored_scores(traverse.trail_counts(d.owned_by, d.subsidiaries), d.pacs, nothing, d.rates, d.covers)
+    return scoring.factored_scores(traverse.counted_trails(d.owned_by, d.graph), d.pacs, nothing, d.rates, d.covers)
 
 
 @query("""SELECT committee, month, CAST(dollars AS DOUBLE) AS dollars, candidates,
@@ -85,7 +85,7 @@ def ancestors_5hop(d: Domain) -> DataFrame:
 
 @query("SELECT brand, corp, m AS trails FROM trail_counts")
 def trail_multiplicity(d: Domain) -> DataFrame:
-    return traverse.acyclic_trail_counts(d.owned_by, d.subsidiaries)
+    return traverse.counted_trails(d.owned_by, d.graph)
 
 
 _SERVED: dict[tuple[str, str], str] = {}
@@ -93,13 +93,16 @@ _SERVED: dict[tuple[str, str], str] = {}
 
 def _run_scores(d: Domain) -> DataFrame:
     """Computes and stores the scores of every brand; later lookups of this application read what is stored."""
-    store = Store(d.spark, _SERVED.setdefault((d.spark.sparkContext.applicationId, d.sf_dir), work_dir(d.spark)))
-    return store.write_scores(_scores(d), d.owned_by.select(F.col("brand").alias("name")), CYCLES)
+    key = d.spark.sparkContext.applicationId, d.sf_dir
+    store = Store(d.spark, _SERVED.get(key) or work_dir(d.spark))
+    rows = store.write_scores(_scores(d), d.owned_by.select(F.col("brand").alias("name")), CYCLES)
+    _SERVED[key] = store.root  # only what is written is served
+    return rows
 
 
 def _stored_scores(d: Domain) -> DataFrame:
     root = _SERVED.get((d.spark.sparkContext.applicationId, d.sf_dir))
-    rows = Store(d.spark, root).scores() if root else _run_scores(d)
+    rows = Store(d.spark, root).need("brand_score", SCORE) if root else _run_scores(d)
     return rows.drop("cycles", "computed_at")
 
 

@@ -12,6 +12,7 @@ from ledgerweave.operators import traverse
 from ledgerweave.operators.filters import supported
 from ledgerweave.operators.upserts import last_write
 from ledgerweave.plans.scratch import removed, work_dir, written
+from ledgerweave.plans.store import Store
 
 #: Cycles that scores are computed for.
 CYCLES = (1996, 1998)
@@ -19,6 +20,7 @@ KEY = ("committee", "candidate", "tran")
 
 
 _GRAPHS: dict[tuple[str, str], str] = {}
+_LOADED: dict[tuple[str, str], str] = {}
 
 
 @dataclass
@@ -79,8 +81,15 @@ class Domain:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        """Supporting contributions, each as last amended."""
-        return last_write(supported(self.contribution_rows), KEY, [F.desc("l_shipdate"), F.desc("amount"), F.desc("l_partkey")])
+        """Supporting contributions, each as last amended: the stored table, loaded once for an application and folder."""
+        key = self.spark.sparkContext.applicationId, self.sf_dir
+        columns = "committee bigint, candidate bigint, tran string, amount decimal(18,2), cycle int, transaction_type string, l_shipdate date, l_partkey bigint"
+        if key not in _LOADED:
+            rows = last_write(supported(self.contribution_rows), KEY, [F.desc("l_shipdate"), F.desc("amount"), F.desc("l_partkey")])
+            store = Store(self.spark, work_dir(self.spark))
+            store.merge("contributed_to", rows.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in columns.split(", ")))), KEY, buckets=4)
+            _LOADED[key] = store.root
+        return Store(self.spark, _LOADED[key]).need("contributed_to", columns)
 
     @cached_property
     def cycle_contributions(self) -> DataFrame:

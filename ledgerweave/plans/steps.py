@@ -29,8 +29,8 @@ FACTS = "id string, name string, parent string, parent_name string, ticker strin
 HITS = "brand string, source int, position long, label string, alias string, id string, ticker string, jurisdiction string, oc_id string"
 
 
-def _corporations(store: Store) -> DataFrame:
-    return store.read("corporation", loads.CORPORATION).withColumn("id", F.col("name"))
+def _corporations(store: Store, needed: bool = False) -> DataFrame:
+    return (store.need if needed else store.read)("corporation", loads.CORPORATION).withColumn("id", F.col("name"))
 
 
 def run_schema(store: Store) -> None:
@@ -120,11 +120,11 @@ def run_fec(store: Store, folder: str, cycles: Sequence[int] = CYCLES, force: bo
         groups = store.write("committee", loads.committees(store.read("committee", loads.COMMITTEE), bulk.committees(spark, path("cm"))))
         reconcile(store)
         people = store.read("candidate", loads.CANDIDATE)
-        gifts = supported(bulk.contributions(spark, path("pas2"), cycle)).withColumn("row", F.monotonically_increasing_id())
+        gifts = supported(bulk.contributions(spark, path("pas2"), cycle)).withColumn("row", F.monotonically_increasing_id())  # grows with the place in one file, whatever its splits
         gifts = gifts.select(F.col("committee_id").alias("committee"), F.col("candidate_id").alias("candidate"), F.col("transaction_id").alias("tran"), F.col("transaction_amount").alias("amount"), F.col("transaction_date").alias("date"), "cycle", "row")
         key = ("committee", "candidate", "tran")
         gifts = upserts.with_endpoints(upserts.last_write(gifts, key, [F.desc("row")]), groups.select(F.col("committee_id").alias("committee")), "committee", people.select(F.col("candidate_id").alias("candidate")), "candidate")
-        store.write("contributed_to", upserts.with_keyed_edges(store.read("contributed_to", CONTRIBUTED), gifts.drop("row"), key))
+        store.merge("contributed_to", gifts.drop("row"), key)
         linked, _ = loads.linkages(store.read("authorized", loads.LINKAGE), bulk.linkages(spark, path("ccl")), people, groups)
         store.write("authorized", linked)
         store.mark_cycle(cycle)
@@ -152,7 +152,7 @@ def reconcile(store: Store) -> None:
 
 def run_pac_linkage(store: Store) -> None:
     """Committees' organisations to corporations, from what is stored."""
-    known, stored = _corporations(store), store.read("committee", loads.COMMITTEE)
+    known, stored = _corporations(store, True), store.need("committee", loads.COMMITTEE)
     order = known.select("name", "aliases", F.struct("name").alias("position"))
     found = resolve.pac_sponsors(loads.stored_pacs(stored), upserts.ordered_names(order))
     store.write("operates_pac", loads.pacs(store.read("operates_pac", OPERATES_PAC), found.select(F.col("name").alias("corp"), "committee"), known, stored))
@@ -160,22 +160,24 @@ def run_pac_linkage(store: Store) -> None:
 
 def run_scorecards(store: Store, raw: DataFrame) -> None:
     """raw: rows of scorecards.RATING. Unknown people become provisional candidates; names used join the aliases."""
-    people = store.read("candidate", loads.CANDIDATE)
+    people = store.need("candidate", loads.CANDIDATE)
     index = resolve.candidate_index(people.select(F.col("candidate_id").alias("fec_id"), "name", "state"))
     asked = store.write("rating", raw.withColumn("rating_id", F.monotonically_increasing_id()))
     found = store.write("rated", asked.join(resolve.resolved_ratings(asked, index), "rating_id"))
     people = store.write("candidate", loads.provisional_candidates(people, found.filter("provisional").withColumnRenamed("rating_id", "load_seq")))
     new = found.select(F.col("org_name").alias("org"), F.col("fec_id").alias("candidate"), "score", "year", F.col("rating_id").alias("load_seq"))
-    ends = upserts.with_endpoints(new, store.read("scorecard", "org_name string").select(F.col("org_name").alias("org")), "org", people.select(F.col("candidate_id").alias("candidate")), "candidate")
+    ends = upserts.with_endpoints(new, store.need("scorecard", "org_name string").select(F.col("org_name").alias("org")), "org", people.select(F.col("candidate_id").alias("candidate")), "candidate")
     store.write("rates", loads.ratings(store.read("rates", RATES), ends))
     store.write("candidate", upserts.with_rated_names(people, found.select(F.col("fec_id").alias("candidate_id"), "candidate_name"), "candidate_id").select(people.columns))
 
 
 def run_scores(store: Store, cycles: Sequence[int] = CYCLES, export: str | None = None) -> DataFrame:
-    counts = traverse.trail_counts(store.read("owned_by", OWNED_BY), store.read("subsidiary_of", SUBSIDIARY_OF))
-    gifts = store.read("contributed_to", CONTRIBUTED).filter(F.col("cycle").isin(*cycles))
-    covers = store.read("covers", "org_name string, issue_name string").select(F.col("org_name").alias("org"), F.col("issue_name").alias("issue"))
-    computed = scoring.factored_scores(counts, store.read("operates_pac", OPERATES_PAC), gifts, store.read("rates", RATES).drop("year"), covers)
+    """Needs what the steps before have written; ownership edges get their mark of cycles here, once for a run."""
+    edges = store.write("ownership", traverse.labelled(store.need("subsidiary_of", SUBSIDIARY_OF)))
+    counts = traverse.counted_trails(store.need("owned_by", OWNED_BY), edges)
+    gifts = store.need("contributed_to", CONTRIBUTED).filter(F.col("cycle").isin(*cycles))
+    covers = store.need("covers", "org_name string, issue_name string").select(F.col("org_name").alias("org"), F.col("issue_name").alias("issue"))
+    computed = scoring.factored_scores(counts, store.need("operates_pac", OPERATES_PAC), gifts, store.need("rates", RATES).drop("year"), covers)
     stored = store.write_scores(computed, store.read("brand", loads.BRAND), cycles)
     if export:
         exports.export_scores(stored, export)

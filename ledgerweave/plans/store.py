@@ -1,22 +1,40 @@
-"""The stored graph: one folder of numbered Parquet snapshots for each table, read and replaced as a whole."""
+"""The stored graph: for each table, immutable folders of Parquet files and a chain of numbered snapshots of them.
+
+A snapshot is a small file that names the folders which make up the table. It is put in place by one rename that fails
+where the number is taken, so readers see a whole table or the one before, and of two writers one is told to start
+again. Tables with many rows are partitioned by cycle and by a bucket of their key: a load reads the keys of the buckets
+it touches and writes only partitions whose rows change. Folders stay until clean() is called.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.upserts import scores_written
-from ledgerweave.plans.scratch import work_dir  # noqa: F401  its users find it here too
+from ledgerweave.plans.scratch import removed, work_dir, written
 
 SCORE = "brand_name string, issue_name string, scorecard_org string, score double, dollars double, candidates long, confidence string, cycles array<int>, computed_at timestamp"
 CYCLE_LOAD = "cycle int, loaded_at timestamp"
 RESOLUTION = "brand string, id string, source int"
+#: Buckets of a partitioned table's key, in each cycle.
+BUCKETS = 16
+
+
+class MissingTable(LookupError):
+    """A step needs a table that no step has written."""
+
+
+class SnapshotTaken(RuntimeError):
+    """Another writer has made the next snapshot; what was computed from the last one has to be computed again."""
 
 
 class Store:
-    """Tables below root, a folder that driver and executors share. A snapshot is there once Spark has committed it."""
+    """Tables below root, a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -25,25 +43,116 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(text)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _listed(self, pattern: str) -> list[str]:
+        path, files = self._path(pattern)
+        return sorted(f.getPath().toString() for f in files.globStatus(path) or [])
+
     def versions(self, name: str) -> list[str]:
-        path, files = self._path(f"{self.root}/{name}/v*/_SUCCESS")
-        return sorted(f.getPath().getParent().toString() for f in files.globStatus(path) or [])
+        return self._listed(f"{self.root}/{name}/v*")
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        """The newest snapshot; an empty table where there is none."""
+    def _snapshot(self, name: str) -> tuple[int, dict]:
+        """(number, content) of the newest snapshot; (-1, no folders) where there is none."""
         found = self.versions(name)
-        return self.spark.read.schema(schema).parquet(found[-1]) if found else self.spark.createDataFrame([], schema)
+        if not found:
+            return -1, {"folders": [], "buckets": None}
+        text = "".join(r["value"] for r in self.spark.read.text(found[-1], wholetext=True).collect())  # one small file
+        return int(found[-1].rpartition("/v")[2]), json.loads(text)
+
+    def _claim(self, name: str, number: int, content: dict) -> None:
+        """Makes content the snapshot of that number, or fails if there is one."""
+        draft, files = self._path(f"{self.root}/{name}/_draft-{uuid.uuid4().hex}")
+        out = files.create(draft, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        target, _ = self._path(f"{self.root}/{name}/v{number:08d}")
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, target, options)  # never onto a file that is there
+        except Exception as e:
+            files.delete(draft, False)
+            if files.exists(target):
+                raise SnapshotTaken(f"{name} already has snapshot {number}") from e
+            raise
+
+    def _folders(self, name: str, folders: Sequence[str], schema: str) -> DataFrame:
+        base = f"{self.root}/{name}/data"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{base}/{f}" for f in folders))
 
-    def write(self, name: str, rows: DataFrame, keep: int = 2) -> DataFrame:
-        """The next snapshot, which may be computed from the last one; older ones than keep go."""
+    def read(self, name: str, schema: str) -> DataFrame:
+        """The newest snapshot; an empty table where there is none."""
+        _, content = self._snapshot(name)
+        wanted = self.spark.createDataFrame([], schema)
+        return self._folders(name, content["folders"], schema).select(wanted.columns) if content["folders"] else wanted
+
+    def need(self, name: str, schema: str) -> DataFrame:
+        """The newest snapshot of a table that an earlier step must have written."""
+        if not self.versions(name):
+            raise MissingTable(f"{name} was never written; run the step that loads it first")
+        return self.read(name, schema)
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        """The next snapshot, which may be computed from the last one, as a whole."""
+        number, _ = self._snapshot(name)
+        folder = f"load={uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}/data/{folder}")
+        self._claim(name, number + 1, {"folders": [folder], "buckets": None})
+        return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}/data/{folder}")
+
+    def merge(self, name: str, rows: DataFrame, key: Sequence[str], by: str = "cycle", buckets: int = BUCKETS) -> DataFrame:
+        """The next snapshot with rows in place of those of the same key, whatever cycle they were in.
+
+        Partitions are by ``by`` and a bucket of the key. Written are the partitions of rows, and of other cycles those
+        that lose a key; all others are taken over as they are. rows must have one row for each key.
+        """
+        number, content = self._snapshot(name)
+        if content["folders"] and content["buckets"] != buckets:
+            raise ValueError(f"{name} is stored with {content['buckets']} buckets")
+        scratch = work_dir(self.spark, "incoming")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        fresh = written(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), scratch)
+        place = lambda df: {(r[by], r["bucket"]) for r in df.select(by, "bucket").distinct().collect()}  # noqa: E731  at most cycles x buckets
+        touched, merged = place(fresh), fresh
+        old = {f: self._place(f, by) for f in content["folders"]}
+        beside = [f for f, at in old.items() if at[1] in {b for _, b in touched}]
+        if beside:
+            current = self._folders(name, beside, f"{schema}, bucket int").select(fresh.columns)
+            touched |= place(current.join(fresh.select(*key), list(key), "left_semi"))
+            rewritten = [f for f in beside if old[f] in {(str(c), b) for c, b in touched}]
+            if rewritten:
+                current = self._folders(name, rewritten, f"{schema}, bucket int").select(fresh.columns)
+                merged = current.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh)
+        folder = f"load={uuid.uuid4().hex}"
+        base = f"{self.root}/{name}/data"
+        merged.repartition(by, "bucket").write.partitionBy(by, "bucket").parquet(f"{base}/{folder}")
+        new = [f[f.index(folder) :] for f in self._listed(f"{base}/{folder}/{by}=*/bucket=*")]
+        kept = [f for f, at in old.items() if at not in {(str(c), b) for c, b in touched}]
+        self._claim(name, number + 1, {"folders": [*kept, *new], "buckets": buckets})
+        removed(self.spark, scratch)
+        return self.read(name, schema)
+
+    @staticmethod
+    def _place(folder: str, by: str) -> tuple[str, int]:
+        parts = dict(p.split("=", 1) for p in folder.split("/"))
+        return parts[by], int(parts["bucket"])
+
+    def clean(self, name: str, keep: int = 2) -> None:
+        """Removes snapshots but the newest, and folders that none of these names. Call it when nothing reads older ones."""
         found = self.versions(name)
-        number = int(found[-1].rpartition("/v")[2]) + 1 if found else 0
-        target = f"{self.root}/{name}/v{number:08d}"
-        rows.write.mode("overwrite").parquet(target)
-        for old in found[: max(0, len(found) + 1 - keep)]:
-            path, files = self._path(old)
-            files.delete(path, True)
-        return self.spark.read.schema(rows.schema).parquet(target)
+        for old in found[: max(0, len(found) - keep)]:
+            removed(self.spark, old)
+        texts = [r["value"] for v in found[-keep:] for r in self.spark.read.text(v, wholetext=True).collect()]
+        named = {f for t in texts for f in json.loads(t)["folders"]}
+        loads = {f.split("/")[0] for f in named}
+        for path in self._listed(f"{self.root}/{name}/data/load=*"):
+            load = path.rpartition("/")[2]
+            if load not in loads:
+                removed(self.spark, path)
+            elif load not in named:
+                for part in self._listed(f"{path}/*=*/bucket=*"):
+                    if part[part.index(load) :] not in named:
+                        removed(self.spark, part)
 
     # --- cycles that are loaded -------------------------------------------------------------------------------------
 
