@@ -12,6 +12,7 @@ from ledgerweave.operators import dedupe, filters, resolve, scoring, serve, trav
 from ledgerweave.plans.projection import CYCLES, KEY, Domain, sql
 from ledgerweave.plans.store import RESOLUTION, SCORE, Store, work_dir
 from ledgerweave.sources import bulk, scorecards, seeds
+from ledgerweave.streaming import contributions as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -228,6 +229,17 @@ def amendment_last_write(d: Domain) -> DataFrame:
     return rows.select("committee", "candidate", "tran", F.col("amount").cast("double").alias("amount"), "cycle", "transaction_type")
 
 
+@query("SELECT committee, candidate, tran, CAST(amount AS DOUBLE) AS amount, \"cycle\" FROM contributions")
+def streamed_contributions(d: Domain) -> DataFrame:
+    """Every filed contribution in three sets of files, each merged by a query that starts where the last one stopped."""
+    root = work_dir(d.spark, "stream")
+    rows = d.contribution_rows
+    for k in range(3):
+        rows.filter(F.pmod(F.xxhash64("tran", "l_partkey"), F.lit(3)) == k).write.mode("append").parquet(f"{root}/in")
+        table = stream.merge_available(d.spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", rows.schema, KEY, ("l_shipdate", "amount", "l_partkey"))
+    return table.select("committee", "candidate", "tran", F.col("amount").cast("double").alias("amount"), "cycle")
+
+
 @query("""WITH o AS (SELECT s_name AS name, 'T' || s_suppkey AS ticker, 'Q' || s_suppkey AS qid FROM supplier WHERE s_suppkey % 3 <> 0),
   n AS (SELECT s_name AS name, CASE WHEN s_suppkey % 4 <> 0 THEN 'N' || s_suppkey END AS ticker, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'QN' || s_suppkey END AS qid FROM supplier WHERE s_suppkey % 2 = 0)
   SELECT coalesce(n.name, o.name) AS name, CASE WHEN n.name IS NOT NULL THEN n.ticker ELSE o.ticker END AS ticker, coalesce(nullif(n.qid, ''), o.qid) AS qid FROM o FULL JOIN n ON o.name = n.name""", domain=False)

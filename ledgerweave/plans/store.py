@@ -23,6 +23,7 @@ CYCLE_LOAD = "cycle int, loaded_at timestamp"
 RESOLUTION = "brand string, id string, source int"
 #: Buckets of a partitioned table's key, in each cycle.
 BUCKETS = 16
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # Spark's name of a null partition
 
 
 class MissingTable(LookupError):
@@ -112,14 +113,14 @@ class Store:
         scratch = work_dir(self.spark, "incoming")
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
         fresh = written(rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), scratch)
-        place = lambda df: {(r[by], r["bucket"]) for r in df.select(by, "bucket").distinct().collect()}  # noqa: E731  at most cycles x buckets
+        place = lambda df: {(_NO_VALUE if r[by] is None else str(r[by]), r["bucket"]) for r in df.select(by, "bucket").distinct().collect()}  # noqa: E731  at most cycles x buckets
         touched, merged = place(fresh), fresh
         old = {f: self._place(f, by) for f in content["folders"]}
         beside = [f for f, at in old.items() if at[1] in {b for _, b in touched}]
         if beside:
             current = self._folders(name, beside, f"{schema}, bucket int").select(fresh.columns)
             touched |= place(current.join(fresh.select(*key), list(key), "left_semi"))
-            rewritten = [f for f in beside if old[f] in {(str(c), b) for c, b in touched}]
+            rewritten = [f for f in beside if old[f] in touched]
             if rewritten:
                 current = self._folders(name, rewritten, f"{schema}, bucket int").select(fresh.columns)
                 merged = current.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh)
@@ -127,7 +128,7 @@ class Store:
         base = f"{self.root}/{name}/data"
         merged.repartition(by, "bucket").write.partitionBy(by, "bucket").parquet(f"{base}/{folder}")
         new = [f[f.index(folder) :] for f in self._listed(f"{base}/{folder}/{by}=*/bucket=*")]
-        kept = [f for f, at in old.items() if at not in {(str(c), b) for c, b in touched}]
+        kept = [f for f, at in old.items() if at not in touched]
         self._claim(name, number + 1, {"folders": [*kept, *new], "buckets": buckets})
         removed(self.spark, scratch)
         return self.read(name, schema)

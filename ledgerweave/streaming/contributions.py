@@ -1,38 +1,105 @@
-"""Contributions as a file stream: each micro-batch is merged into a table of last writes."""
+"""Contributions as a file stream: the state of each key decides what is an amendment, and only amendments reach the table.
+
+Files come in any order. Each gift's key holds one state: the order of its last write and how often it was amended. A
+write that is older than that is late and dropped without a look at the table; one that is newer is passed on, and each
+micro-batch merges what was passed on into a table partitioned by cycle and key bucket, in which it writes only the
+partitions that change. A micro-batch that runs again after a failure merges the same rows and changes nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerweave.operators.filters import supported
-from ledgerweave.operators.upserts import last_write
+from ledgerweave.plans.store import Store
 
 KEY = ("committee_id", "candidate_id", "transaction_id")
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LastWrite(StatefulProcessor):
+    """For each key the newest row by the order columns; yields it when it is newer than all before, with its number of writes.
+
+    A write without a place in the order counts as older than any with one; of equal places the first that came stays.
+    """
+
+    def __init__(self, schema: StructType, order: Sequence[str]):
+        self.columns, self.order = schema.fieldNames(), tuple(order)
+        self.held = StructType([*(StructField(c, schema[c].dataType) for c in order), StructField("writes", LongType())])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last_write", self.held)
 
+    def _place(self, row: Any) -> tuple:
+        values = [row[c] for c in self.order]
+        return tuple((v is not None, v) if v is not None else (False,) for v in values)
 
-def contributions_stream(spark: SparkSession, source: str, schema: StructType) -> DataFrame:
-    """New Parquet files of supporting contributions."""
-    return supported(spark.readStream.schema(schema).parquet(source))
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        known = dict(zip(self.held.fieldNames(), self.state.get(), strict=True)) if self.state.exists() else None
+        best, place, writes = None, self._place(known) if known else None, known["writes"] if known else 0
+        for row in rows:
+            writes += 1
+            mine = self._place(row)
+            if place is None or mine > place:
+                best, place = row, mine
+        self.state.update((*(best[c] if best is not None else known[c] for c in self.order), writes))
+        if best is not None:
+            yield Row(**{c: best[c] for c in self.columns}, writes=writes)
 
+    def close(self) -> None:
+        pass
 
-def merge_available(spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType) -> DataFrame:
-    """Merges all files that are there and not merged yet; returns the table.
 
-    The table is kept as numbered snapshots. A micro-batch writes the snapshot of its own number from the one before,
-    so a batch that runs again writes the same snapshot. load_seq orders writes.
+@contextmanager
+def _state_on_disk(spark: SparkSession):
+    """Stateful processors keep their state in RocksDB; the setting is read when a query starts and given back after."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+
+
+def contributions_stream(spark: SparkSession, source: str, schema: StructType, files: int | None = None) -> DataFrame:
+    """New Parquet files of supporting contributions, at most ``files`` of them in a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return supported((reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source))
+
+
+def amendments(stream: DataFrame, key: Sequence[str] = KEY, order: Sequence[str] = ("load_seq",)) -> DataFrame:
+    """The stream's rows that are newer than all before of their key, one for each key and micro-batch, with ``writes``."""
+    schema = StructType([*stream.schema.fields, StructField("writes", LongType())])
+    return stream.groupBy(*key).transformWithState(LastWrite(stream.schema, order), schema, "Update", "None")
+
+
+def merge_available(
+    spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType, key: Sequence[str] = KEY, order: Sequence[str] = ("load_seq",), by: str = "cycle", files: int | None = None, buckets: int = 4
+) -> DataFrame:
+    """Merges all files that are there and not merged yet; returns the table, a Store's ``contribution`` below target.
+
+    Called again with the same checkpoint it goes on where it stopped, with the state it had.
     """
+    store = Store(spark, target)
+    stored = StructType([*schema.fields, StructField("writes", LongType())])
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.fields)
+    whole = by not in schema.fieldNames()  # then all rows are of one cycle
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = spark.read.schema(schema).parquet(f"{target}/v{number - 1:08d}").unionByName(batch)
-        last_write(rows, KEY, [F.desc("load_seq")]).write.mode("overwrite").parquet(f"{target}/v{number:08d}")
-
-    query = contributions_stream(spark, source, schema).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v*")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    names = sorted(f.getPath().toString() for f in found)
-    return spark.read.schema(schema).parquet(names[-1]) if names else spark.createDataFrame([], schema)
+        rows = batch.withColumn(by, F.lit(0)) if whole else batch
+        if not batch.isEmpty():
+            store.merge("contribution", rows, key, by, buckets)
+
+    with _state_on_disk(spark):
+        rows = amendments(contributions_stream(spark, source, schema, files), key, order)
+        query = rows.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return store.read("contribution", ddl)

@@ -80,6 +80,21 @@ def test_stream_merges_amendments(spark, tmp_path):
     assert run() == run() == [("1", 5.0), ("3", 3.0)]
 
 
+def test_late_and_unordered_writes(spark, tmp_path):
+    """State outlives restarts: a write that is older than one of an earlier run is dropped; small batches, one snapshot each."""
+    schema = spark.createDataFrame([], "committee_id string, candidate_id string, transaction_id string, transaction_type string, amount double, cycle int, load_seq long").schema
+    add = lambda *rows: spark.createDataFrame([("c", "p", t, "24K", a, c, s) for t, a, c, s in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: sorted((r["transaction_id"], r["amount"], r["cycle"], r["writes"]) for r in stream.merge_available(spark, str(tmp_path / "in"), f"file://{tmp_path}/out", str(tmp_path / "cp"), schema, files=1).collect())
+    add(("1", 1.0, 2022, 5), ("1", 9.0, 2022, 4), ("2", 2.0, 2022, None))
+    add(("3", 3.0, 2022, 1))
+    assert run() == [("1", 1.0, 2022, 2), ("2", 2.0, 2022, 1), ("3", 3.0, 2022, 1)]
+    add(("1", 7.0, 2024, 3), ("2", 4.0, 2024, 0))
+    assert run() == run() == [("1", 1.0, 2022, 2), ("2", 4.0, 2024, 2), ("3", 3.0, 2022, 1)]
+    add(("1", 8.0, 2024, 6), ("1", 8.5, 2024, 6), ("3", 3.5, 2022, 0))
+    assert run() == [("1", 8.0, 2024, 5), ("2", 4.0, 2024, 2), ("3", 3.0, 2022, 1)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "x").rpartition(".")[2] != "RocksDBStateStoreProvider"
+
+
 def test_carried_state_over_ranges(spark):
     """Every range width gives what one walk over the lines gives; no window runs over all rows."""
     marks = {-7: "Texas", 2: "House", 5: "Ohio", 9: "no state", 31: "Senate", 47: "New York", 90: "Iowa"}

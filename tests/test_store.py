@@ -41,6 +41,13 @@ def test_a_load_writes_no_file_of_another_cycle(spark, tmp_path):
     assert not any("cycle=2022" in f for f in folders(store)) and folders(store) != last
 
 
+def test_a_null_cycle_is_a_partition(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.merge("gift", gifts(spark, ("C", "H", "t", "1", None), ("D", "H", "t", "1", 2024)), KEY)
+    store.merge("gift", gifts(spark, ("C", "H", "t", "2", 2024), ("D", "H", "t", "2", None)), KEY)
+    assert sorted(map(str, map(tuple, store.need("gift", GIFT).collect()))) == sorted(map(str, [("C", "H", "t", "2", 2024), ("D", "H", "t", "2", None)]))
+
+
 def test_merge_like_a_dictionary(spark, tmp_path):
     import random
 
