@@ -146,6 +146,25 @@ def candidate_index(candidates: DataFrame, fold=fold_accents) -> DataFrame:
     return main.unionAll(more).distinct()
 
 
+def _beginnings(key: Column, proper: bool) -> Column:
+    """The beginnings of a name, the empty one too; proper: without the whole name."""
+    return F.transform(F.sequence(F.lit(0), F.length(key) - int(proper)), lambda n: F.substring(key, 1, n))
+
+
+def alike_given(asked: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
+    """asked (keys, given), people (keys, given), distinct -> (keys, given, near, one): how many of the people's names begin
+    the asked one or begin with it, and the first of them.
+
+    Beginnings make both an equality: a name meets its own beginnings among the people, and one row for each beginning of
+    the people's names, counted before. So no list of a last name's people is made, and no two of them meet.
+    """
+    longer = people.select(*keys, "given", F.explode(_beginnings(F.col("given"), True)).alias("begins")).groupBy(*keys, "begins").agg(F.count(F.lit(1)).alias("n"), F.min("given").alias("one"))
+    longer = asked.join(longer.withColumnRenamed("begins", "given"), [*keys, "given"]).select(*keys, "given", "n", "one")
+    shorter = asked.filter(F.length("given") > 0).select(*keys, "given", F.explode(_beginnings(F.col("given"), True)).alias("one"))
+    shorter = shorter.unionByName(asked.select(*keys, "given", F.col("given").alias("one"))).join(people.withColumnRenamed("given", "one"), [*keys, "one"]).select(*keys, "given", F.lit(1).alias("n"), "one")
+    return longer.unionByName(shorter).groupBy(*keys, "given").agg(F.sum("n").alias("near"), F.min("one").alias("one"))
+
+
 def resolved_ratings(ratings: DataFrame, index: DataFrame, fold=fold_accents, parties: DataFrame | None = None) -> DataFrame:
     """ratings (rating_id, candidate_name, state) -> (rating_id, fec_id, provisional, outcome).
 
@@ -159,22 +178,25 @@ def resolved_ratings(ratings: DataFrame, index: DataFrame, fold=fold_accents, pa
     party = F.substr("party", F.lit(1), F.lit(1)) if parties is not None else F.lit(None).cast("string")
     index = index.join(parties.select("fec_id", party.alias("party")), "fec_id", "left") if parties is not None else index.withColumn("party", party)
     asked = ratings.select(party.alias("party"), "rating_id", "candidate_name", F.upper(F.coalesce("state", F.lit(""))).alias("state"), printed_name(F.col("candidate_name"), fold).alias("key"))
-    exact = index.groupBy(F.col("name_key").alias("key"), "state").agg(F.collect_set("fec_id").alias("ids"))
+    exact = index.groupBy(F.col("name_key").alias("key"), "state").agg(F.countDistinct("fec_id").alias("ids"), F.min("fec_id").alias("fec_id"))
     asked = asked.join(exact, ["key", "state"], "left")
-    hit = asked.filter("size(ids) = 1").select("rating_id", F.col("ids")[0].alias("fec_id"), F.lit(False).alias("provisional"), F.lit("exact").alias("outcome"))
-    parts = F.split("name_key", " ")
+    hit = asked.filter("ids = 1").select("rating_id", "fec_id", F.lit(False).alias("provisional"), F.lit("exact").alias("outcome"))
+
+    parts, words, place = F.split("name_key", " "), F.split("key", " "), ["last", "state"]
     by_last = index.filter(F.size(parts) == 2).select(parts[1].alias("last"), parts[0].alias("given"), "state", "fec_id", "party")
-    names = by_last.groupBy("last", "state", "given").agg(F.collect_set("fec_id").alias("name_ids"), F.collect_set("party").alias("parties"))
-    names = names.groupBy("last", "state").agg(F.collect_list(F.struct("given", "name_ids", "parties")).alias("names"))
-    words = F.split("key", " ")
-    rest = asked.filter("ids is null").drop("ids").withColumns({"last": F.element_at(words, -1), "given": F.regexp_replace("key", " [^ ]+$", "")}).join(names, ["last", "state"], "left")
-    near = F.filter("names", lambda x: F.startswith(x["given"], F.col("given")) | F.startswith(F.col("given"), x["given"]))
-    rest = rest.withColumns({"n": F.coalesce(F.size("names"), F.lit(0)), "near": near})
+    people = by_last.select(*place, "given").distinct()
+    rest = asked.filter("ids is null").drop("ids", "fec_id").withColumns({"last": F.element_at(words, -1), "given": F.regexp_replace("key", " [^ ]+$", "")})
+    rest = rest.join(people.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min("given").alias("only")), place, "left")
+    rest = rest.join(alike_given(rest.filter("n > 1").select(*place, "given").distinct(), people, place), [*place, "given"], "left")
     if parties is not None:
-        same = F.filter("near", lambda x: F.array_contains(x["parties"], F.col("party")))
-        rest = rest.withColumn("near", F.when((F.size("near") > 1) & (F.size(same) > 0), same).otherwise(F.col("near")))
-    taken = F.when(F.col("n") == 1, F.col("names")[0]["name_ids"]).when((F.col("n") > 1) & (F.size("near") == 1), F.get(F.col("near"), F.lit(0))["name_ids"])
-    rest = rest.withColumns({"taken": taken, "new": (F.col("names").isNull()) | ((F.col("n") > 1) & (F.size("near") == 0))})
-    by_name = rest.filter("taken is not null").select("rating_id", F.explode(F.array_sort("taken")).alias("fec_id"), F.lit(False).alias("provisional"), F.lit("last_name").alias("outcome"))
-    made = rest.filter("new").select("rating_id", provisional_id(F.col("candidate_name"), F.col("state")).alias("fec_id"), F.lit(True).alias("provisional"), F.lit("provisional").alias("outcome"))
+        keyed = [*place, "party"]
+        same = alike_given(rest.filter("near > 1 and party is not null").select(*keyed, "given").distinct(), by_last.filter("party is not null").select(*keyed, "given").distinct(), keyed)
+        rest = rest.join(same.select(*keyed, "given", F.col("near").alias("same"), F.col("one").alias("same_one")), [*keyed, "given"], "left")
+        preferred = (F.col("near") > 1) & (F.col("same") > 0)
+        rest = rest.withColumns({"one": F.when(preferred, F.col("same_one")).otherwise(F.col("one")), "near": F.when(preferred, F.col("same")).otherwise(F.col("near"))})
+    taken = rest.withColumn("taken", F.when(F.col("n") == 1, F.col("only")).when(F.col("near") == 1, F.col("one"))).filter("taken is not null")
+    ids = by_last.select(*place, F.col("given").alias("taken"), "fec_id").distinct()
+    by_name = taken.join(ids, [*place, "taken"]).select("rating_id", "fec_id", F.lit(False).alias("provisional"), F.lit("last_name").alias("outcome"))
+    new = rest.filter(F.col("n").isNull() | ((F.col("n") > 1) & F.col("near").isNull()))
+    made = new.select("rating_id", provisional_id(F.col("candidate_name"), F.col("state")).alias("fec_id"), F.lit(True).alias("provisional"), F.lit("provisional").alias("outcome"))
     return hit.unionByName(by_name).unionByName(made)

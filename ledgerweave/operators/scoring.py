@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MONEY = "decimal(38,2)"
+MONEY, POINTS = "decimal(38,2)", "decimal(12,6)"
 
 
 def confidence(dollars: Column, candidates: Column) -> Column:
@@ -13,13 +13,17 @@ def confidence(dollars: Column, candidates: Column) -> Column:
 
 
 def _scores(parts: DataFrame) -> DataFrame:
-    """parts: brand, issue, org, candidate, score, dollars, n (paths), one row for each candidate or path."""
-    rated = F.col("score").isNotNull()
+    """parts: brand, issue, org, candidate, score, dollars, n (paths), one row for each candidate or path.
+
+    Sums are exact: dollars to the cent, scores to a millionth, as decimals, so a score hangs on no order of rows.
+    """
+    value = F.col("score").try_cast(POINTS)
+    rated = value.isNotNull()
     grouped = parts.groupBy("brand", "issue", "org").agg(
         F.sum(F.when(rated, F.col("dollars"))).alias("rated_dollars"),
-        F.sum(F.when(rated, F.col("dollars").cast("double") * F.col("score"))).alias("weighted"),
+        F.sum(F.when(rated, F.col("dollars").cast("decimal(24,2)") * value)).cast("double").alias("weighted"),
         F.sum(F.when(rated, F.col("n"))).alias("rated_n"),
-        F.sum(F.when(rated, F.col("n") * F.col("score"))).alias("plain"),
+        F.sum(F.when(rated, F.col("n").cast("decimal(20,0)") * value)).cast("double").alias("plain"),
         F.sum("dollars").alias("dollars"),
         F.countDistinct("candidate").alias("candidates"),
     )

@@ -52,6 +52,30 @@ def test_decision_table(spark):
     ]
 
 
+def test_names_that_begin_one_another(spark):
+    """Against pairs by startswith: no name, one, several, the empty name, states apart; with and without parties."""
+    import random
+
+    rng = random.Random(6)
+    given = ["", "a", "al", "alan", "alana", "b", "be", "ben", "benny ann", "z"]
+    people = {(rng.choice("xy"), rng.choice(["NY", "CA"]), rng.choice(given[1:])) for _ in range(22)}
+    asked = [(last, state, g) for last in "xyz" for state in ("NY", "CA") for g in given]
+    columns = "last string, state string, given string"
+    got = {(r["last"], r["state"], r["given"]): (r["near"], r["one"]) for r in resolve.alike_given(spark.createDataFrame(asked, columns), spark.createDataFrame(sorted(people), columns), ["last", "state"]).collect()}
+    want = {}
+    for last, state, g in asked:
+        near = sorted(x for k, s, x in people if (k, s) == (last, state) and (x.startswith(g) or g.startswith(x)))
+        if near:
+            want[last, state, g] = (len(near), near[0])
+    assert got == want
+    index = spark.createDataFrame([("ann lee", "NY", "1"), ("anna lee", "NY", "2"), ("bo lee", "NY", "3")], "name_key string, state string, fec_id string")
+    parties = spark.createDataFrame([("1", "DEM"), ("2", "REP"), ("3", "REP")], "fec_id string, party string")
+    ratings = spark.createDataFrame([(1, "An Lee", "NY", "Rep"), (2, "An Lee", "NY", "Ind"), (3, "An Lee", "NY", None)], "rating_id int, candidate_name string, state string, party string")
+    assert [(r["rating_id"], r["fec_id"]) for r in resolve.resolved_ratings(ratings, index, parties=parties).collect()] == [(1, "2")]
+    assert resolve.resolved_ratings(ratings, index).count() == 0
+    assert "collect_list" not in resolve.resolved_ratings(ratings, index)._jdf.queryExecution().toString()
+
+
 def test_merges(spark):
     corporations = spark.createDataFrame([(1, "B", "Q1", ["b"]), (2, "A", "Q1", None), (3, "C", "Q1", ["A", "c"]), (4, "D", None, None), (5, "E", "", None)], "id long, name string, qid string, aliases array<string>")
     edges = spark.createDataFrame([(4, 3), (3, 1), (4, 4), (5, 3), (5, 2)], "child long, parent long")

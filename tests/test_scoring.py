@@ -111,6 +111,37 @@ def test_export(spark, tmp_path):
     assert out["brands"]["b"]["i"]["o"] == {"score": 1.5, "dollars": 2.0, "candidates": 3, "confidence": "low"} and set(out["brands"]) == {"b", 'q"'}
 
 
+def test_export_of_many_parts(spark, tmp_path):
+    """Brands in order, whatever the parts; a second export replaces the first; nothing else stays beside it."""
+    rows = [(f"b{k:03d}é\\", "i", "o", float(k), 1.0, 1, "low") for k in range(200)]
+    scores = frame(spark, rows, "brand_name string, issue_name string, scorecard_org string, score double, dollars double, candidates long, confidence string").repartition(7)
+    for _ in range(2):
+        assert export_scores(scores, f"file://{tmp_path}/scores.json") == 200
+    out = json.loads((tmp_path / "scores.json").read_text(encoding="utf-8"))
+    assert list(out["brands"]) == [r[0] for r in rows] and out["brands"]["b007é\\"]["i"]["o"]["score"] == 7.0
+    assert {p.name for p in tmp_path.iterdir()} <= {"scores.json", ".scores.json.crc"}
+    assert export_scores(scores.limit(0), tmp_path / "none.json") == 0 and json.loads((tmp_path / "none.json").read_text())["brands"] == {}
+
+
+def test_scores_hang_on_no_order(spark):
+    """Amounts and scores that a sum of doubles rounds by their order: the same bits for 1, 4 and 200 partitions."""
+    rng = random.Random(3)
+    rows = [("b", "i", "o", k, round(rng.uniform(0, 100), 3), f"{rng.uniform(-1, 1) * 10 ** rng.randint(0, 12):.2f}", 1) for k in range(3000)]
+    parts = frame(spark, rows, "brand string, issue string, org string, candidate int, score double, amount string, n int").withColumn("dollars", scoring.money())
+    got = set()
+    for n in (1, 4, 200):
+        for _ in range(2):
+            rng.shuffle(rows)
+            shuffled = frame(spark, rows, "brand string, issue string, org string, candidate int, score double, amount string, n int").withColumn("dollars", scoring.money()).repartition(n)
+            got |= {tuple(r) for r in scoring._scores(shuffled).collect()}
+    assert len(got | {tuple(r) for r in scoring._scores(parts).collect()}) == 1
+    from fractions import Fraction
+
+    dollars = [Fraction(r[5]) for r in rows]
+    mean = sum(d * Fraction(str(r[4])) for d, r in zip(dollars, rows, strict=True)) / sum(dollars)
+    assert abs(next(iter(got))[3] - float(mean)) <= 0.05 + 1e-9
+
+
 def test_whole_ownership_table_is_scored(spark, sf_dir):
     from ledgerweave.plans import catalogue
 
