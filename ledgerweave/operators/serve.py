@@ -24,6 +24,12 @@ def search_scores(scores: DataFrame, part: str, issues: Sequence[str] | None = N
     return rows.orderBy("brand_name", "issue_name", "scorecard_org")
 
 
+def search_named(scores: DataFrame, named: DataFrame, issues: Sequence[str] | None = None, orgs: Sequence[str] | None = None) -> DataFrame:
+    """The same for brands (name) that an index has found."""
+    rows = in_list(in_list(scores.join(named.select(F.col("name").alias("brand_name")), "brand_name", "left_semi"), "issue_name", issues), "scorecard_org", orgs)
+    return rows.orderBy("brand_name", "issue_name", "scorecard_org")
+
+
 def leading_gifts(gifts: DataFrame, giver: str, count: int = TRAIL_ROWS) -> DataFrame:
     """Each corporation's count first gifts in a trail's order (amount, giver, candidate), with all that tie with the last.
 

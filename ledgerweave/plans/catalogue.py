@@ -172,6 +172,23 @@ def score_search(d: Domain) -> DataFrame:
     return serve.search_scores(_stored_scores(d), "#1", orgs=["ASIA"])
 
 
+@query("SELECT * FROM brand_scores WHERE contains(lower(brand_name), 'nd#2') AND issue_name IN ('BUILDING', 'MACHINERY')")
+def score_search_indexed(d: Domain) -> DataFrame:
+    """A search by the stored index of brand names."""
+    scores, store = _stored_scores(d), Store(d.spark, work_dir(d.spark))
+    store.write_name_index("brand_name_index", d.owned_by.select(F.col("brand").alias("name")))
+    return serve.search_named(scores, store.named("brand_name_index", "ND#2"), ["BUILDING", "MACHINERY"])
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ed b') OR contains(lower(p_name), 'almond')", domain=False)
+def part_search_indexed(d: Domain) -> DataFrame:
+    """Names that hold either of two texts, by posting lists."""
+    parts, store = d.table("part").select("p_partkey", "p_name"), Store(d.spark, work_dir(d.spark))
+    store.write_name_index("part_index", parts.select(F.col("p_name").alias("name")))
+    found = store.named("part_index", "ed b").union(store.named("part_index", "ALMOND")).distinct()
+    return parts.join(found.select(F.col("name").alias("p_name")), "p_name", "left_semi").select("p_partkey", "p_name")
+
+
 @query("""SELECT brand_name, issue_name, scorecard_org, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'mid' ELSE 'low' END AS score_class
   FROM (SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY abs(score - 50) DESC, issue_name, scorecard_org) AS n FROM brand_scores) WHERE n = 1""")
 def headline_issue(d: Domain) -> DataFrame:
@@ -559,7 +576,9 @@ def pipe_parse(d: Domain) -> DataFrame:
 def json_ratings(d: Domain) -> DataFrame:
     i = F.col("c_custkey") % 3
     rating = F.struct(F.col("c_name").alias("candidate_name"), F.lit(" CA").alias("state"), F.when(i == 0, "A").when(i == 1, "n/v").otherwise(F.col("c_nationkey").cast("string")).alias("score"))
-    files = d.table("customer").groupBy("c_mktsegment").agg(F.collect_list(rating).alias("ratings")).select(F.lit(None).cast("int").alias("year"), F.lit("labor").alias("issue"), "ratings")
+    # a file for each segment and slice of customers, so that none grows with a segment
+    slice_ = F.floor(F.col("c_custkey") / 1000).alias("slice")
+    files = d.table("customer").groupBy("c_mktsegment", slice_).agg(F.collect_list(rating).alias("ratings")).select(F.lit(None).cast("int").alias("year"), F.lit("labor").alias("issue"), "ratings")
     return scorecards.json_ratings(files, "Org", 1998, "environment").withColumn("party", F.col("party"))
 
 

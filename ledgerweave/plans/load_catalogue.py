@@ -200,6 +200,53 @@ def read_bulk_file(d: Domain) -> DataFrame:
     return bulk.read_bulk(d.spark, folder, ["p_partkey", "p_name", "p_brand"])
 
 
+def _filed_lines(d: Domain, rows: DataFrame, columns: list[str], **cells: Column) -> str:
+    """rows as a pipe-delimited file with these columns; those without a cell are empty."""
+    folder = work_dir(d.spark)
+    rows.select(F.concat_ws("|", *(F.coalesce(cells.get(c, F.lit("")).cast("string"), F.lit("")) for c in columns)).alias("value")).write.text(folder)
+    return folder
+
+
+@query("SELECT 'C' || s_suppkey AS committee_id, s_name AS committee_name, CASE WHEN s_suppkey % 2 = 0 THEN 'C' ELSE '' END AS interest_group_category, 'Org ' || s_suppkey AS connected_org_name FROM supplier", domain=False)
+def committee_file(d: Domain) -> DataFrame:
+    """A committee master file, written and read."""
+    i = F.col("s_suppkey")
+    path = _filed_lines(d, _suppliers(d), bulk.COMMITTEES, committee_id=F.concat(F.lit("C"), i), committee_name=F.col("s_name"), interest_group_category=F.when(i % 2 == 0, "C"), connected_org_name=F.concat(F.lit("Org "), i))
+    return bulk.committees(d.spark, path).select("committee_id", "committee_name", "interest_group_category", "connected_org_name")
+
+
+@query("SELECT 'H' || c_custkey AS candidate_id, upper(c_name) AS candidate_name, CASE WHEN c_custkey % 2 = 0 THEN 'DEM' ELSE 'REP' END AS party, 'CA' AS office_state, '' AS zip FROM customer", domain=False)
+def candidate_file(d: Domain) -> DataFrame:
+    """A candidate master file, written and read."""
+    i = F.col("c_custkey")
+    path = _filed_lines(d, d.table("customer"), bulk.CANDIDATES, candidate_id=F.concat(F.lit("H"), i), candidate_name=F.upper("c_name"), party=F.when(i % 2 == 0, "DEM").otherwise("REP"), office_state=F.lit("CA"))
+    return bulk.candidates(d.spark, path).select("candidate_id", "candidate_name", "party", "office_state", "zip")
+
+
+@query("SELECT 'C' || committee AS committee_id, 'H' || candidate AS candidate_id, tran AS transaction_id, transaction_type, CAST(amount AS DOUBLE) AS amount, 1998 AS \"cycle\", strftime(l_shipdate, '%m%d%Y') AS transaction_date, CAST(l_shipdate AS DATE) AS date FROM contribution_rows")
+def contribution_file(d: Domain) -> DataFrame:
+    """A file of all filed contributions, written and read; the date is parsed beside its text."""
+    rows = d.contribution_rows
+    path = _filed_lines(d, rows, bulk.CONTRIBUTIONS, committee_id=F.concat(F.lit("C"), "committee"), candidate_id=F.concat(F.lit("H"), "candidate"), transaction_id=F.col("tran"), transaction_type=F.col("transaction_type"), transaction_amount=F.col("amount"), transaction_date=F.date_format("l_shipdate", "MMddyyyy"))
+    return bulk.contributions(d.spark, path, 1998).select("committee_id", "candidate_id", "transaction_id", "transaction_type", F.col("transaction_amount").cast("double").alias("amount"), "cycle", "transaction_date", "date")
+
+
+@query("SELECT 'H' || c_custkey AS cand_id, 'C' || c_nationkey AS cmte_id, 'P' AS cmte_dsgn, 'L' || c_custkey AS linkage_id FROM customer", domain=False)
+def linkage_file(d: Domain) -> DataFrame:
+    """A file of candidates' committees, written and read."""
+    path = _filed_lines(d, d.table("customer"), bulk.LINKAGES, cand_id=F.concat(F.lit("H"), "c_custkey"), cmte_id=F.concat(F.lit("C"), "c_nationkey"), cmte_dsgn=F.lit("P"), linkage_id=F.concat(F.lit("L"), "c_custkey"))
+    return bulk.linkages(d.spark, path).select("cand_id", "cmte_id", "cmte_dsgn", "linkage_id")
+
+
+@query("""SELECT name, min(place) AS place, CAST(arg_min(spot, place * 10 + spot) AS INT) AS spot FROM (
+  SELECT s_name AS name, s_suppkey AS place, 0 AS spot FROM supplier UNION ALL SELECT 'alias ' || (s_suppkey // 3), s_suppkey, 1 FROM supplier) GROUP BY name""", domain=False)
+def first_named(d: Domain) -> DataFrame:
+    """Names and aliases of all corporations, each once, with where it first stands."""
+    i = F.col("s_suppkey")
+    rows = _suppliers(d).select(i.alias("position"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("alias "), F.floor(i / 3))).alias("aliases"))
+    return upserts.ordered_names(rows).select("name", F.col("position.position").alias("place"), F.col("position.at").alias("spot"))
+
+
 @query("SELECT 'Org' AS org_name, 1998 AS year, 'labor' AS issue, 'F' || c_custkey || ' L' AS candidate_name, CASE WHEN c_custkey % 2 = 0 THEN 'CA' ELSE 'NY' END AS state, CAST(c_nationkey AS DOUBLE) AS score, CASE WHEN c_custkey % 2 = 0 THEN 'D' ELSE 'R' END AS party FROM customer WHERE c_custkey % 5 <> 0", domain=False)
 def sectioned_csv(d: Domain) -> DataFrame:
     """Each customer is a section: a chamber, a state, and a member, of whom every fifth has no score."""
@@ -256,6 +303,19 @@ def business_hits(d: Domain) -> DataFrame:
     return found.select("query", F.col("position").cast("long").alias("position"), "id", "parent", "ticker")
 
 
+@query(f"""WITH {_FACTS} SELECT s_suppkey AS query, k AS position, f.id, name AS label, CASE WHEN (s_suppkey + k) % 3 = 0 THEN 'alias ' || s_suppkey || '-' || k END AS alias, parent, ticker
+  FROM facts f JOIN (SELECT unnest(range(7)) AS k) ON k < 5 WHERE s_suppkey % 4 <> 1""", domain=False)
+def business_hit_aliases(d: Domain) -> DataFrame:
+    """A hit keeps the alias that matched through its join with the register by id; three of four suppliers are businesses."""
+    i = F.col("s_suppkey")
+    match = lambda k: F.struct(F.when((i + k) % 3 == 0, "alias").otherwise("label").alias("type"), F.lit("en").alias("language"), F.concat(F.lit("alias "), i, F.lit("-"), k).alias("text"))
+    hit = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.struct(F.concat(F.lit("Q"), i).alias("id"), F.when(i % 10 != 0, F.col("s_name")).otherwise("").alias("label"), F.lit("").alias("description"), match(k).alias("match")))
+    hits = entities.search_hits(_suppliers(d).select(i.alias("query"), hit.alias("search")))
+    businesses = _facts(d).filter(F.substring("id", F.lit(2), F.lit(20)).cast("long") % 4 != 1)
+    found = entities.business_hits(hits, businesses, _facts(d))
+    return found.select("query", F.col("position").cast("long").alias("position"), "id", "label", "alias", "parent", "ticker")
+
+
 @query(f"WITH {_FACTS} SELECT parent AS corporation, id, name FROM facts WHERE name <> '' AND parent IN ('Q1', 'Q2', 'Q3')", domain=False)
 def owned_companies(d: Domain) -> DataFrame:
     owners = d.spark.createDataFrame([("Q1",), ("Q2",), ("Q3",)], "qid string")

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerweave.operators import filters
 from ledgerweave.operators.upserts import scores_written
 from ledgerweave.plans.scratch import removed, work_dir, written
 
@@ -93,11 +94,11 @@ class Store:
             raise MissingTable(f"{name} was never written; run the step that loads it first")
         return self.read(name, schema)
 
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """The next snapshot, which may be computed from the last one, as a whole."""
+    def write(self, name: str, rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """The next snapshot, which may be computed from the last one, as a whole; by: columns that become folders."""
         number, _ = self._snapshot(name)
         folder = f"load={uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}/data/{folder}")
+        rows.write.partitionBy(*by).parquet(f"{self.root}/{name}/data/{folder}")
         self._claim(name, number + 1, {"folders": [folder], "buckets": None})
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}/data/{folder}")
 
@@ -182,3 +183,14 @@ class Store:
     def scores(self) -> DataFrame:
         """Stored scores; a filter on brand_name reaches the files, whose rows are in its order."""
         return self.read("brand_score", SCORE)
+
+    # --- names by what is in them ----------------------------------------------------------------------------------
+
+    def write_name_index(self, name: str, names: DataFrame) -> DataFrame:
+        """Posting lists of the names' three-character runs, in folders by bucket, sorted, so that a search reads few files."""
+        rows = filters.name_postings(names).repartition("bucket").sortWithinPartitions("gram", "name")
+        return self.write(name, rows, by=("bucket",))
+
+    def named(self, name: str, part: str) -> DataFrame | None:
+        """(name) of the indexed names that hold part, without regard to case; None where part is too short for the index."""
+        return filters.names_with(self.need(name, filters.POSTING), part)

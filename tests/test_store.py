@@ -116,3 +116,27 @@ def test_rank_join_is_the_whole_join(spark):
                 assert leading.groupBy("corp").count().agg(F.max("count")).first()[0] == limit
             finally:
                 serve.TRAIL_ROWS = old
+
+
+def test_index_reads_only_its_posting_lists(spark, tmp_path):
+    """Against a scan, for any text; the plan's files are those of the text's runs."""
+    import zlib
+
+    from ledgerweave.operators import filters
+
+    words = ["Älmond Red", "almond", "red blue", "REDBLUE", "", None, "ab", "a%b_c", "blue red blue", "ed", "x" * 50, "İstanbul"]
+    names = spark.createDataFrame([(w,) for w in words], "name string")
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.write_name_index("index", names)
+    for part in ("red", "ED B", "lmo", "%b_", "xxxx", "blue", "nothing", "ÄLM", "red blue red", "i̇st"):
+        got = store.named("index", part)
+        assert {r["name"] for r in got.collect()} == {r["name"] for r in filters.name_contains(names, "name", part).distinct().collect()}, part
+    assert store.named("index", "ed") is None and store.named("index", "") is None
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = store.named("index", "red")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [isnotnull(bucket" in plan and f" = {zlib.crc32(b'red') % filters.POSTING_BUCKETS})" in plan and "EqualTo(gram,red)" in plan
+    read = {int(r["bucket"]) for r in store.need("index", filters.POSTING).filter("gram = 'red'").select("bucket").distinct().collect()}
+    assert read == {zlib.crc32(b"red") % filters.POSTING_BUCKETS}
