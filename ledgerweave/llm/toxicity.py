@@ -141,8 +141,16 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, mos
                 columns[1].append((sentence[cut[i] : cut[i + 1]] - first[i]).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "label", "feature", "sentence"])
 
-    rows = sample(docs, labels, "toxic", parts, held, most).mapInArrow(bags, "doc_id long, label int, feature binary, sentence binary").toArrow().sort_by("doc_id")
-    return fit([(y, np.frombuffer(f, "<i4"), np.frombuffer(s, "<i4")) for y, f, s in zip(*(rows.column(c).to_pylist() for c in ("label", "feature", "sentence")), strict=True)])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["label"], r["feature"], r["sentence"]) for b in batches for r in b.to_pylist())
+        model = fit([(y, np.frombuffer(f, "<i4"), np.frombuffer(s, "<i4")) for _, y, f, s in rows])
+        constant = pa.array([model.constant], pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), constant], ["weights", "bias", "constant"])
+
+    rows = sample(docs, labels, "toxic", parts, held, most).mapInArrow(bags, "doc_id long, label int, feature binary, sentence binary")
+    # the sample is bounded, so one task holds it; the driver gets the model alone
+    got = rows.repartition(1).mapInArrow(learn, "weights binary, bias double, constant double").first()
+    return fit([]) if got is None else NoisyOr(np.frombuffer(got["weights"], float), got["bias"], got["constant"])
 
 
 def scored(docs: DataFrame, model: NoisyOr) -> DataFrame:
