@@ -12,8 +12,8 @@ from ledgerweave.operators.filters import has_sponsor
 
 #: Characters of the runs that find a first partner, how many of a key's rarest runs are looked up, and names that such a run may be in.
 SEED_GRAM, SEEDS, SEED_NAMES = 4, 4, 256
-#: Places that stand together in the index of two-character runs.
-PLACES = 8
+#: Places that stand together in the index of two-character runs, and runs that a name must share there at most.
+PLACES, SHARED = 8, 3
 
 
 def _features(keys: DataFrame, key: str, tag: str) -> DataFrame:
@@ -53,7 +53,8 @@ def rival_pairs(keys: DataFrame, known: DataFrame, first: DataFrame, threshold:
 
     With a floor f and m >= f (|q| + |k|) / 2 matched characters, at least 3 m - |q| - |k| - 1 two-character runs of q are
     matched, in k at places that differ by at most the unmatched |q| + |k| - 2 m. So of q's runs, rarest first, one of
-    all but that many, and one, is in k nearby: these are looked up in an index of runs by place. A key for which this
+    all but that many, and one, is in k nearby, two of one more, and so on up to SHARED: these are looked up in an index
+    of runs by place, and names with fewer of them go. A key for which this
     asks for no run at all meets the names whose length can reach its floor.
     """
     floored = keys.join(first.select("q", F.col("score").alias("floor"), F.col("position").alias("held")), "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float(threshold))))
@@ -63,12 +64,14 @@ def rival_pairs(keys: DataFrame, known: DataFrame, first: DataFrame, threshold:
 
     placed = known.select("k", F.col("k_size").alias("size"), F.explode(placed_grams(F.col("k"), 2)).alias("g")).select("k", "size", "g.gram", "g.place")
     rare = _rarest(keys, 2, placed.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
-    sought = floored.filter("runs >= 1").join(rare, "q").select("q", "low", "high", "off", F.explode(F.slice("grams", 1, F.greatest(F.lit(1), n - F.col("runs")))).alias("g")).filter("g.names > 0")
-    sought = sought.select("q", "low", "high", "off", "g.gram", F.col("g.place").alias("at")).withColumn("band", F.explode(F.sequence(F.floor((F.col("at") - F.col("off")) / PLACES), F.floor((F.col("at") + F.col("off")) / PLACES))))
+    floored = floored.withColumn("shared", F.least("runs", F.lit(SHARED)))
+    sought = floored.filter("runs >= 1").join(rare, "q").select("q", "low", "high", "off", "shared", F.explode(F.slice("grams", 1, F.greatest(F.lit(1), n - 1 - F.col("runs") + F.col("shared")))).alias("g")).filter("g.names > 0")
+    sought = sought.select("q", "low", "high", "off", "shared", "g.gram", F.col("g.place").alias("at")).withColumn("band", F.explode(F.sequence(F.floor((F.col("at") - F.col("off")) / PLACES), F.floor((F.col("at") + F.col("off")) / PLACES))))
     near = sought.join(placed.withColumn("band", F.floor(F.col("place") / PLACES)), ["gram", "band"]).filter((F.abs(F.col("at") - F.col("place")) <= F.col("off")) & F.col("size").between(F.col("low"), F.col("high")))
     lengths = floored.filter("runs < 1").select("q", F.explode(F.sequence("low", F.greatest("low", "high"))).alias("size"))
-    pairs = near.select("q", "k").distinct().unionByName(lengths.join(known.select("k", F.col("k_size").alias("size")), "size").select("q", "k"))
-    met = pairs.join(floored.drop("low", "high", "runs", "off"), "q").join(known, "k").withColumn("bound", _bound())
+    near = near.groupBy("q", "k", "shared").agg(F.countDistinct("at").alias("found")).filter("found >= shared")
+    pairs = near.select("q", "k").unionByName(lengths.join(known.select("k", F.col("k_size").alias("size")), "size").select("q", "k"))
+    met = pairs.join(floored.drop("low", "high", "runs", "off", "shared"), "q").join(known, "k").withColumn("bound", _bound())
     may = (F.col("bound") > floor) | (F.col("bound") == floor) & (F.col("held").isNull() | (F.col("position") < F.col("held")))
     return met.filter(may).select("q", "k", "name", "position")
 

@@ -12,27 +12,32 @@ def confidence(dollars: Column, candidates: Column) -> Column:
     return F.when((dollars > 100_000) & (candidates >= 5), "high").when((dollars > 10_000) | (candidates >= 2), "medium").otherwise("low")
 
 
+def _metrics(sums: DataFrame) -> DataFrame:
+    """sums: brand, issue, org, rated_dollars and dollars in cents, weighted (cents times points), rated_n, plain, candidates."""
+    mean = F.when(F.col("rated_dollars") == 0, F.col("plain").cast("double") / F.col("rated_n")).otherwise(F.try_divide(F.col("weighted").cast("double"), F.col("rated_dollars").cast("double")))
+    dollars = (F.col("dollars").cast("decimal(36,2)") / 100).cast(MONEY)
+    tier = F.when(F.col("dollars") == 0, "low").otherwise(confidence(dollars, F.col("candidates")))
+    return sums.filter("rated_n > 0").select(
+        F.col("brand").alias("brand_name"), F.col("issue").alias("issue_name"), F.col("org").alias("scorecard_org"),
+        F.round(mean, 1).alias("score"), dollars.cast("double").alias("dollars"), "candidates", tier.alias("confidence"),
+    )
+
+
 def _scores(parts: DataFrame) -> DataFrame:
     """parts: brand, issue, org, candidate, score, dollars, n (paths), one row for each candidate or path.
 
-    Sums are exact: dollars to the cent, scores to a millionth, as decimals, so a score hangs on no order of rows.
+    Sums are exact: dollars in whole cents, scores in millionths, as decimals, so a score hangs on no order of rows.
     """
-    value = F.col("score").try_cast(POINTS)
+    value, cents = F.col("score").try_cast(POINTS), (F.col("dollars") * 100).cast("decimal(25,0)")
     rated = value.isNotNull()
-    grouped = parts.groupBy("brand", "issue", "org").agg(
-        F.sum(F.when(rated, F.col("dollars"))).alias("rated_dollars"),
-        F.sum(F.when(rated, F.col("dollars").cast("decimal(24,2)") * value)).cast("double").alias("weighted"),
+    return _metrics(parts.groupBy("brand", "issue", "org").agg(
+        F.sum(F.when(rated, cents)).alias("rated_dollars"),
+        F.sum(F.when(rated, cents * value)).alias("weighted"),
         F.sum(F.when(rated, F.col("n"))).alias("rated_n"),
-        F.sum(F.when(rated, F.col("n").cast("decimal(20,0)") * value)).cast("double").alias("plain"),
-        F.sum("dollars").alias("dollars"),
+        F.sum(F.when(rated, F.col("n").cast("decimal(20,0)") * value)).alias("plain"),
+        F.sum(cents).alias("dollars"),
         F.countDistinct("candidate").alias("candidates"),
-    )
-    mean = F.when(F.col("rated_dollars") == 0, F.col("plain") / F.col("rated_n")).otherwise(F.try_divide("weighted", F.col("rated_dollars").cast("double")))
-    tier = F.when(F.col("dollars") == 0, "low").otherwise(confidence(F.col("dollars"), F.col("candidates")))
-    return grouped.filter("rated_n > 0").select(
-        F.col("brand").alias("brand_name"), F.col("issue").alias("issue_name"), F.col("org").alias("scorecard_org"),
-        F.round(mean, 1).alias("score"), F.col("dollars").cast("double").alias("dollars"), "candidates", tier.alias("confidence"),
-    )
+    ))
 
 
 def money(column: str = "amount") -> Column:
@@ -47,19 +52,29 @@ def naive_scores(trails: DataFrame, pacs: DataFrame, contributions: DataFrame, r
 
 
 def factored_scores(counts: DataFrame, pacs: DataFrame, contributions: DataFrame, rates: DataFrame, covers: DataFrame) -> DataFrame:
-    """The same result with both ends summed before they meet.
+    """The same result with every end summed before it meets another.
 
-    counts (brand, corp, trails) stands for the trails, and contributions are summed for each committee and candidate,
-    then for each brand and candidate, so that ratings and issues join one row for each of these. n counts paths, for
-    the plain mean where dollars cancel.
+    counts (brand, corp, trails) stands for the trails. Contributions are summed for each committee and candidate, then
+    for each brand and candidate; ratings are summed for each candidate and scorecard, so that a brand, scorecard and
+    candidate are one row and candidates are counted without a second shuffle; issues join the sums of a brand and
+    scorecard. Dollars are whole cents in a long (a sum beyond 9e16 dollars is an error, not a wrong one). n counts
+    paths, for the plain mean where dollars cancel.
     """
-    sums = contributions.groupBy("committee", "candidate").agg(F.sum(money()).alias("amount"), F.count(F.lit(1)).alias("n"))
+    sums = contributions.groupBy("committee", "candidate").agg(F.sum((money() * 100).cast("long")).alias("cents"), F.count(F.lit(1)).alias("n"))
     by_brand = counts.join(pacs, "corp").groupBy("brand", "committee").agg(F.sum("trails").alias("trails"))
-    sums = sums.join(by_brand, "committee").groupBy("brand", "candidate").agg(
-        F.sum((F.col("amount") * F.col("trails")).cast(MONEY)).alias("dollars"), F.sum(F.col("n") * F.col("trails")).alias("n")
+    sums = sums.join(by_brand, "committee").groupBy("brand", "candidate").agg(F.sum(F.col("cents") * F.col("trails")).alias("cents"), F.sum(F.col("n") * F.col("trails")).alias("n"))
+    value = F.col("score").try_cast(POINTS)
+    rated = rates.groupBy("candidate", "org").agg(F.count(F.lit(1)).alias("ratings"), F.count(value).alias("rated"), F.coalesce(F.sum(value), F.lit(0)).cast("decimal(18,6)").alias("points"))
+    cents, n, points = F.col("cents"), F.col("n"), F.col("points")
+    by_org = sums.join(rated, "candidate").groupBy("brand", "org").agg(
+        F.sum(F.when(F.col("rated") > 0, cents * F.col("rated"))).alias("rated_dollars"),
+        F.sum(cents.cast("decimal(19,0)") * points).alias("weighted"),
+        F.sum(n * F.col("rated")).alias("rated_n"),
+        F.sum(n.cast("decimal(19,0)") * points).alias("plain"),
+        F.sum(cents * F.col("ratings")).alias("dollars"),
+        F.count(F.lit(1)).alias("candidates"),
     )
-    rated = sums.join(rates, "candidate").join(covers, "org")
-    return _scores(rated.select("brand", "issue", "org", "candidate", "score", "dollars", "n"))
+    return _metrics(by_org.join(covers.select("org", "issue").distinct(), "org"))
 
 
 def payload(scores: DataFrame, *keys: str) -> DataFrame:

@@ -165,7 +165,7 @@ def labelled(edges: DataFrame, path: str | None = None) -> DataFrame:
 
 
 #: Hops that one job walks before the counts are written.
-STRIDE = 4
+STRIDE = 5
 
 
 def counted_trails(roots: DataFrame, graph: DataFrame, hops: int = SCORE_HOPS) -> DataFrame:
@@ -200,7 +200,7 @@ def counted_trails(roots: DataFrame, graph: DataFrame, hops: int = SCORE_HOPS) -
             hop += 1
             arrived.write.parquet(f"{path}/arrived/hop={hop}")
         arrived = spark.read.schema(f"{_ddl(start)}, hop int").parquet(f"{path}/arrived").filter(F.col("hop") == hop).drop("hop")
-        if not cyclic and arrived.isEmpty():
+        if not cyclic and hop < hops and arrived.isEmpty():
             break
     if not cyclic:
         rows = spark.read.schema(f"{_ddl(start)}, hop int").parquet(f"{path}/arrived")

@@ -68,7 +68,7 @@ def changed(rng, name):
     return " ".join(name.split())
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_search_like_nested_loops(spark, seed):
     """Ratios between 0 and 1, ties, short and long keys, keys without a partner."""
     rng = random.Random(seed)
