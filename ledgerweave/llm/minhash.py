@@ -150,6 +150,11 @@ def _open(members: DataFrame, part: DataFrame) -> DataFrame:
     return placed.join(several.select("key", "hub_part"), "key")
 
 
+def _stars(part: DataFrame) -> DataFrame:
+    """Known components as links (a, b), so that a later round begins with stars and not with all links again."""
+    return part.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def _tries(left: DataFrame, sign: DataFrame, turn: int, percent: int) -> DataFrame:
     """Up to TRIES pairs for each node: the likeliest of its open buckets' partners, one partner for a bucket and turn."""
     partner = left.groupBy("key").agg(F.min_by(F.struct("node", "n", "part"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("p"))
@@ -258,8 +263,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         some = written(confirmed(written(_tries(left, sign, turn, percent), "tries"), texts, size, percent), "tried")
         if some.isEmpty():
             break
-        links = links.unionAll(some)
-        part = written(connected_components(links), "parts")
+        part = written(connected_components(_stars(part).unionAll(some)), "parts")
         left = written(_open(left.drop("part", "hub_part"), part), "open")
 
     # exactly what is left: every pair of a bucket that no confirmed link joins yet
@@ -278,7 +282,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = rest.join(strong.withColumnsRenamed({"id": "a", "strong": "sa"}), "a", "left").join(strong.withColumnsRenamed({"id": "b", "strong": "sb"}), "b", "left")
     rest = written(rest.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "alike")
     more = written(confirmed(rest, texts, size, percent), "more")
-    component = part if more.isEmpty() else connected_components(links.unionAll(more))
+    component = part if more.isEmpty() else connected_components(_stars(part).unionAll(more))
 
     whole = groups.join(component.withColumnsRenamed({"id": "node"}), "node", "left").select("k0", "k1", "n", F.coalesce("component", "node").alias("component_id"))
     done = filled.select("doc_id", "n", "k0", "k1").join(whole, ["k0", "k1", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
