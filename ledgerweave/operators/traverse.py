@@ -20,6 +20,7 @@ def trails(roots: DataFrame, edges: DataFrame, hops: int = SCORE_HOPS) -> DataFr
 
     An edge may be walked once in a trail, so cycles end; two ways to one corporation are two rows. Repeated roots and
     repeated edges are taken once. Each level is one join with the edges, which AQE broadcasts when they are small.
+    The session's limit on the rows of a recursion is lifted for good, since it is read when the result is.
     """
     edges = edges.select("child", "parent").distinct()
     kind = edges.schema["child"].dataType.simpleString()  # corporations may be numbers or names

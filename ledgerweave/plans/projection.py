@@ -35,14 +35,12 @@ class Domain:
     def corporations(self) -> DataFrame:
         return self.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
 
-    @cached_property
-    def subsidiaries(self) -> DataFrame:
+    def _edges(self) -> DataFrame:
         """child -> parent: a binary tree upwards, with a third parent for every fourth corporation, so there are diamonds."""
         i = F.col("id")
         parents = F.explode(F.concat(F.array(2 * i + 1, 2 * i + 2), F.when(i % 4 == 0, F.array(2 * i + 3)).otherwise(F.array().cast("array<bigint>"))))
         edges = self.corporations.select(i.alias("child"), parents.alias("parent"))
-        edges = edges.join(self.corporations.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent")
-        return edges.persist()  # stands for the stored edge table; walks read it at every hop. One cache for a session and folder
+        return edges.join(self.corporations.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent")
 
     @cached_property
     def graph(self) -> DataFrame:
@@ -50,11 +48,15 @@ class Domain:
         key = self.spark.sparkContext.applicationId, self.sf_dir
         if key not in _GRAPHS:
             path = work_dir(self.spark, "ownership")
-            written(traverse.labelled(self.subsidiaries, f"{path}/steps"), f"{path}/edges")
+            written(traverse.labelled(written(self._edges(), f"{path}/steps/edges"), f"{path}/steps"), f"{path}/edges")
             removed(self.spark, f"{path}/steps")
             _GRAPHS[key] = f"{path}/edges"
         return self.spark.read.schema("child bigint, parent bigint, inner boolean").parquet(_GRAPHS[key])
 
+    @cached_property
+    def subsidiaries(self) -> DataFrame:
+        return self.graph.select("child", "parent")
+
     @cached_property
     def owned_by(self) -> DataFrame:
         return self.table("part").select(F.col("p_brand").alias("brand")).distinct().withColumn("corp", F.substr("brand", F.lit(7)).cast("long") % 10)
