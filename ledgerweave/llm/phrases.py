@@ -338,6 +338,7 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(common.table(spark, sf_dir, "documents"), 2000)
 
 
+#: The same for small tables, where tests compare the two: its lists make it too slow for whole ones, so it is no registered twin.
 OP11_SQL = f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\v\\f\\r]')) AS piece
