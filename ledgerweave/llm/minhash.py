@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import chunked, mix64, written
-from .components import connected_components
+from .components import component_stars
 from .words import shingles, words
 
 #: Bands, minima in a band; their product is the number of hash functions, 60 bits of signature in each of 4 longs.
@@ -130,14 +130,13 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 
 def _only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among ids (one column, distinct): broadcast up to MOST_SENT ids, else a shuffled semi-join."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, key, "left_semi")
+    """Rows whose key is among ids (one column): broadcast up to MOST_SENT ids, repeated ones included, else a shuffled semi-join."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids.distinct(), key, "left_semi")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts' shingle sets have the similarity, exactly. texts (id, t), one row for an id."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = _only(texts, wanted, "id")
+    """The pairs (a, b), a written table, whose whole texts' shingle sets have the similarity, exactly. texts (id, t), one row for an id."""
+    texts = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     found = pairs.join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b").join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a")
     return found.select("a", "b", "ta", "tb").mapInArrow(lambda b: _confirm(b, size, percent), "a long, b long")
 
@@ -150,9 +149,9 @@ def _open(members: DataFrame, part: DataFrame) -> DataFrame:
     return placed.join(several.select("key", "hub_part"), "key")
 
 
-def _stars(part: DataFrame) -> DataFrame:
-    """Known components as links (a, b), so that a later round begins with stars and not with all links again."""
-    return part.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+def _linked(part: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links (a, b): the known ones go in as stars and not with all links again."""
+    return component_stars(part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
 def _tries(left: DataFrame, sign: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -255,15 +254,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
     texts = _only(texts, shown, "id").groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     texts = written(texts, "texts", compression="zstd")
-    links = written(confirmed(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, size, percent), "links")
-    part = written(connected_components(links), "parts")
+    best = written(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), "best")
+    part = component_stars(confirmed(best, texts, size, percent))
 
     left = written(_open(members, part), "open")
     for turn in range(ROUNDS):
         some = written(confirmed(written(_tries(left, sign, turn, percent), "tries"), texts, size, percent), "tried")
         if some.isEmpty():
             break
-        part = written(connected_components(_stars(part).unionAll(some)), "parts")
+        part = _linked(part, some)
         left = written(_open(left.drop("part", "hub_part"), part), "open")
 
     # exactly what is left: every pair of a bucket that no confirmed link joins yet
@@ -282,7 +281,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = rest.join(strong.withColumnsRenamed({"id": "a", "strong": "sa"}), "a", "left").join(strong.withColumnsRenamed({"id": "b", "strong": "sb"}), "b", "left")
     rest = written(rest.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "alike")
     more = written(confirmed(rest, texts, size, percent), "more")
-    component = part if more.isEmpty() else connected_components(_stars(part).unionAll(more))
+    component = part if more.isEmpty() else _linked(part, more)
 
     whole = groups.join(component.withColumnsRenamed({"id": "node"}), "node", "left").select("k0", "k1", "n", F.coalesce("component", "node").alias("component_id"))
     done = filled.select("doc_id", "n", "k0", "k1").join(whole, ["k0", "k1", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -87,7 +87,9 @@ def test_null_ids_repeats_and_empty(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("tasks", [1, 12, 60])
+def test_components(spark, tasks):
+    """Links in one task, in a few, and about two in each task."""
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(100, rng.randrange(101, 160)) for _ in range(40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(7, 7)]
     root = {x: x for e in edges for x in e}
@@ -100,5 +102,5 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(tasks)).collect()}
     assert got == {x: find(x) for x in root if any(a != b and x in (a, b) for a, b in edges)}
