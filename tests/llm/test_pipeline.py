@@ -49,7 +49,7 @@ def test_stages_on_odd_and_empty_tables(spark, sf_dir):
 
 
 def test_queries_are_registered(spark, sf_dir):
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_op2_digest(spark, sf_dir):
