@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.names import company_key, filed_name, fold_accents, other_filed_names, printed_name, provisional_id, qid
 from ledgerweave.functions.similarity import THRESHOLD, block_ratio, letter_counts, most_matched, placed_grams
 from ledgerweave.operators.filters import has_sponsor
+from ledgerweave.plans.scratch import work_dir, written
 
 
-#: Characters of the runs that find a first partner, how many of a key's rarest runs are looked up, and names that such a run may be in.
-SEED_GRAM, SEEDS, SEED_NAMES = 4, 4, 256
+#: Characters of the runs that find a first partner (long ones stay rare among many names), how many of a key's rarest
+#: runs are looked up, and names that such a run may be in.
+SEED_GRAMS, SEEDS, SEED_NAMES = (4, 8), 4, 256
+#: Characters that each of a pair may lose to become equal, and length of a key, for partners to be found by equal remains.
+LOST, LOST_SIZE = 2, 40
 #: Places that stand together in the index of two-character runs, and runs that a name must share there at most.
 PLACES, SHARED = 8, 3
 
@@ -27,23 +34,47 @@ def _bound(low: str = "q", high: str = "k") -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * most / total)
 
 
-def _rarest(keys: DataFrame, size: int, frequency: DataFrame) -> DataFrame:
+def _rarest(keys: DataFrame, sizes: Sequence[int], frequency: DataFrame) -> DataFrame:
     """(q, grams): a key's runs with the number of names that have them, the rarest first."""
-    grams = keys.select("q", F.explode(placed_grams(F.col("q"), size)).alias("g")).select("q", "g.gram", "g.place").join(frequency, "gram", "left")
+    grams = keys.select("q", F.explode(F.concat(*(placed_grams(F.col("q"), size) for size in sizes))).alias("g")).select("q", "g.gram", "g.place").join(frequency, "gram", "left")
     return grams.groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram", "place"))).alias("grams"))
 
 
+def _remains(keys: DataFrame, key: str, size: str, count: int) -> DataFrame:
+    """keys with ``rest``: a hash of the key without count of its characters, for each way to take them."""
+    texts = F.array(key)
+    for _ in range(count):
+        cut = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+        texts = F.array_distinct(F.flatten(F.transform(texts, cut)))
+    return keys.filter(F.col(size) >= count).withColumn("rest", F.explode(texts)).withColumn("rest", F.xxhash64("rest"))
+
+
+def _one_off(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """(q, k) of the pairs of which one is the other without one of its characters."""
+    asked, named = (rows.filter(F.col(size) <= LOST_SIZE).select(key, size) for rows, key, size in ((keys, "q", "q_size"), (known, "k", "k_size")))
+    ways = ((0, 1), (1, 0))
+    return reduce(DataFrame.unionByName, (_remains(asked, "q", "q_size", a).join(_remains(named, "k", "k_size", b), "rest").select("q", "k") for a, b in ways)).distinct()
+
+
 def first_partners(keys: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """keys (q, features), known (k, name, position, features) -> (q, score, position, name): for each key the partner
-    with the greatest bound among names that share one of its rarest runs, if it reaches the threshold.
+    with the greatest bound and then the fewest edits among names that differ by one character, or else among those that share one of its rarest
+    runs, if it reaches the threshold.
 
     This only decides how much is compared afterwards, never what is found: any partner's score is a floor of the best.
     """
-    runs = known.select("k", F.explode(F.array_distinct(F.transform(placed_grams(F.col("k"), SEED_GRAM), lambda g: g["gram"]))).alias("gram"))
-    rare = _rarest(keys, SEED_GRAM, runs.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
+    spark = keys.sparkSession
+    close = written(_one_off(keys, known), f"{work_dir(spark, 'similar')}/close")
+    rest = keys.join(close, "q", "left_anti")
+    grams = lambda key: F.array_distinct(F.transform(F.concat(*(placed_grams(F.col(key), n) for n in SEED_GRAMS)), lambda g: g["gram"]))
+    sought = rest.select(F.explode(grams("q")).alias("gram")).distinct()
+    runs = known.select("k", F.explode(grams("k")).alias("gram")).join(sought, "gram", "left_semi")
+    rare = _rarest(rest, SEED_GRAMS, runs.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
     rare = rare.select("q", F.explode(F.slice(F.filter("grams", lambda g: (g["names"] > 0) & (g["names"] <= SEED_NAMES)), 1, SEEDS)).alias("g")).select("q", "g.gram")
-    pairs = rare.join(runs, "gram").select("q", "k").distinct().join(keys, "q").join(known, "k")
-    best = pairs.groupBy("q").agg(F.min_by(F.struct("k", "name", "position"), F.struct(-_bound(), "position")).alias("p"))
+    pairs = close.unionByName(rare.join(runs, "gram").select("q", "k").distinct()).join(keys, "q").join(known, "k")
+    # letters in another order have the same bound, not the same order
+    unlike = F.levenshtein("q", "k")
+    best = pairs.groupBy("q").agg(F.min_by(F.struct("k", "name", "position"), F.struct(-_bound(), unlike, "position")).alias("p"))
     scored = best.select("q", "p.k", "p.name", "p.position").withColumn("score", block_ratio("q", "k"))
     return scored.filter(F.col("score") >= threshold).select("q", "score", "position", "name")
 
@@ -51,7 +82,11 @@ def first_partners(keys: DataFrame, known: DataFrame, threshold: float) -> DataF
 def rival_pairs(keys: DataFrame, known: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     """(q, k, name, position): every pair that may beat the key's first partner, by score or, at its score, by position.
 
-    With a floor f and m >= f (|q| + |k|) / 2 matched characters, at least 3 m - |q| - |k| - 1 two-character runs of q are
+    A floor f asks for m >= f (|q| + |k|) / 2 matched characters, which stand in the same order in both. So q without
+    |q| - m of its characters is k without |k| - m, in some way: for each length of k for which both are at most LOST,
+    partners are found by these equal remains, and the work grows with the keys and not with their pairs.
+
+    For other lengths: with a floor f and m >= f (|q| + |k|) / 2 matched characters, at least 3 m - |q| - |k| - 1 two-character runs of q are
     matched, in k at places that differ by at most the unmatched |q| + |k| - 2 m. So of q's runs, rarest first, one of
     all but that many, and one, is in k nearby, two of one more, and so on up to SHARED: these are looked up in an index
     of runs by place, and names with fewer of them go. A key for which this
@@ -60,18 +95,34 @@ def rival_pairs(keys: DataFrame, known: DataFrame, first: DataFrame, threshold:
     floored = keys.join(first.select("q", F.col("score").alias("floor"), F.col("position").alias("held")), "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float(threshold))))
     n, floor, tiny = F.col("q_size"), F.col("floor"), 1e-9
     low, high = F.ceil(n * floor / (2 - floor) - tiny).cast("int"), F.floor(n * (2 - floor) / floor + tiny).cast("int")
-    floored = floored.withColumns({"low": low, "high": high, "runs": F.ceil((n + low) * (1.5 * floor - 1) - 1 - tiny).cast("int"), "off": F.floor((n + high) * (1 - floor) + tiny).cast("int")})
+    floored = floored.withColumns({"low": low, "high": high})
+
+    held = known.agg(F.collect_set("k_size").alias("held_sizes"))  # one row, no longer than the longest key
+    matched = F.ceil(floor * (n + F.col("size")) / 2 - tiny).cast("int")
+    lengths = floored.crossJoin(F.broadcast(held)).select("q", "q_size", "floor", F.explode(F.filter(F.sequence("low", F.greatest("low", "high")), lambda x: F.array_contains("held_sizes", x))).alias("size"))
+    lengths = lengths.withColumns({"lost": F.greatest(F.lit(0), n - matched), "left": F.greatest(F.lit(0), F.col("size") - matched)})
+    near = (F.col("lost") <= LOST) & (F.col("left") <= LOST) & (F.greatest("q_size", "size") <= LOST_SIZE)
+    asked = lengths.filter(near).select("q", "q_size", "size", "lost", "left")
+    wanted = asked.select("size", "left").distinct()
+    remains = reduce(DataFrame.unionByName, (_remains(asked.filter(F.col("lost") == c), "q", "q_size", c).select("q", "size", "left", "rest") for c in range(LOST + 1)))
+    named = known.select("k", F.col("k_size").alias("size"))
+    named = reduce(DataFrame.unionByName, (_remains(named.join(F.broadcast(wanted.filter(F.col("left") == c)), "size"), "k", "size", c).select("k", "size", "left", "rest") for c in range(LOST + 1)))
+    close = remains.join(named, ["size", "left", "rest"]).select("q", "k")
+
+    far = lengths.filter(~near).groupBy("q").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    low, high, every = F.col("low"), F.col("high"), floored.drop("low", "high")
+    floored = every.join(far, "q").withColumns({"runs": F.ceil((n + low) * (1.5 * floor - 1) - 1 - tiny).cast("int"), "off": F.floor((n + high) * (1 - floor) + tiny).cast("int")})
 
     placed = known.select("k", F.col("k_size").alias("size"), F.explode(placed_grams(F.col("k"), 2)).alias("g")).select("k", "size", "g.gram", "g.place")
-    rare = _rarest(keys, 2, placed.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
+    rare = _rarest(floored, (2,), placed.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
     floored = floored.withColumn("shared", F.least("runs", F.lit(SHARED)))
     sought = floored.filter("runs >= 1").join(rare, "q").select("q", "low", "high", "off", "shared", F.explode(F.slice("grams", 1, F.greatest(F.lit(1), n - 1 - F.col("runs") + F.col("shared")))).alias("g")).filter("g.names > 0")
     sought = sought.select("q", "low", "high", "off", "shared", "g.gram", F.col("g.place").alias("at")).withColumn("band", F.explode(F.sequence(F.floor((F.col("at") - F.col("off")) / PLACES), F.floor((F.col("at") + F.col("off")) / PLACES))))
-    near = sought.join(placed.withColumn("band", F.floor(F.col("place") / PLACES)), ["gram", "band"]).filter((F.abs(F.col("at") - F.col("place")) <= F.col("off")) & F.col("size").between(F.col("low"), F.col("high")))
+    shared = sought.join(placed.withColumn("band", F.floor(F.col("place") / PLACES)), ["gram", "band"]).filter((F.abs(F.col("at") - F.col("place")) <= F.col("off")) & F.col("size").between(F.col("low"), F.col("high")))
     lengths = floored.filter("runs < 1").select("q", F.explode(F.sequence("low", F.greatest("low", "high"))).alias("size"))
-    near = near.groupBy("q", "k", "shared").agg(F.countDistinct("at").alias("found")).filter("found >= shared")
-    pairs = near.select("q", "k").unionByName(lengths.join(known.select("k", F.col("k_size").alias("size")), "size").select("q", "k"))
-    met = pairs.join(floored.drop("low", "high", "runs", "off", "shared"), "q").join(known, "k").withColumn("bound", _bound())
+    shared = shared.groupBy("q", "k", "shared").agg(F.countDistinct("at").alias("found")).filter("found >= shared")
+    pairs = close.unionByName(shared.select("q", "k")).unionByName(lengths.join(known.select("k", F.col("k_size").alias("size")), "size").select("q", "k")).distinct()
+    met = pairs.join(every, "q").join(known, "k").withColumn("bound", _bound())
     may = (F.col("bound") > floor) | (F.col("bound") == floor) & (F.col("held").isNull() | (F.col("position") < F.col("held")))
     return met.filter(may).select("q", "k", "name", "position")
 
@@ -85,13 +136,15 @@ def similar_companies(queries: DataFrame, names: DataFrame, threshold: float = T
     """
     if not 2 / 3 <= threshold <= 1:
         raise ValueError("bounds hold for thresholds from 2/3 to 1")
-    asked = queries.select("query", company_key(F.col("query")).alias("q")).distinct()
+    path = work_dir(queries.sparkSession, "similar")
+    asked = written(queries.select("query").distinct().withColumn("q", company_key(F.col("query"))), f"{path}/asked")
     known = names.select("name", "position", company_key(F.col("name")).alias("k"))
     known = known.groupBy("k").agg(F.min_by("name", "position").alias("name"), F.min("position").alias("position"))
+    known = written(_features(known, "k", "k"), f"{path}/known")
     keys = asked.select("q").distinct()
     same = keys.join(known, keys["q"] == known["k"]).select("q", "name", F.lit(1.0).alias("score"))
-    open_keys, known = _features(keys.join(same, "q", "left_anti"), "q", "q"), _features(known, "k", "k")
-    first = first_partners(open_keys, known, threshold)
+    open_keys = written(_features(keys.join(same, "q", "left_anti"), "q", "q"), f"{path}/open")
+    first = written(first_partners(open_keys, known, threshold), f"{path}/first")
     rivals = rival_pairs(open_keys, known, first, threshold).withColumn("score", block_ratio("q", "k")).filter(F.col("score") >= threshold)
     found = first.unionByName(rivals.select("q", "score", "position", "name"))
     best = found.groupBy("q").agg(F.min_by("name", F.struct(-F.col("score"), "position")).alias("name"), F.max("score").alias("score"))

@@ -117,3 +117,13 @@ def test_misspelt_parts_like_nested_loops(spark, sf_dir):
             want[asked] = nested([asked.strip()], known).get(asked.strip())
     got = {r["query"]: (r["name"], r["score"]) for r in catalogue.QUERIES["misspelt_parts"](spark, sf_dir).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_numbered_names_meet_only_their_own(spark):
+    """Numbers in another order have the same letters: they are no first partners, and equal remains leave no other pair."""
+    named = spark.range(0, 400, 3).select(F.format_string("supplier%09d", "id").alias("k"), F.col("id").alias("position"))
+    keys = resolve._features(named.select(F.concat("k", F.lit(" x")).alias("q")), "q", "q")
+    known = resolve._features(named.withColumn("name", F.col("k")), "k", "k")
+    first = resolve.first_partners(keys, known, 0.7).localCheckpoint()
+    assert {round(r["score"], 6) for r in first.collect()} == {round(34 / 36, 6)} and first.count() == named.count()
+    assert resolve.rival_pairs(keys, known, first, 0.7).count() == 0
