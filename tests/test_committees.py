@@ -40,6 +40,14 @@ def test_contributions_of_some_are_those_of_all(spark, fresh):
     assert "Window" in plan and plan.count("hashpartitioning(l_orderkey") == plan.count("hashpartitioning(") == 2
 
 
+def test_tasks_follow_the_rows(spark, sf_dir, monkeypatch):
+    """Appended donations are counted in tasks of a bounded number of rows, whatever their bytes."""
+    monkeypatch.setattr(catalogue, "TASK_ROWS", 100)
+    n = projection.Domain(spark, sf_dir).donations.count()
+    rows = catalogue.QUERIES["append_donations"](spark, sf_dir)
+    assert rows.rdd.getNumPartitions() == 1 + 2 * n // 100 and {r["copies"] for r in rows.collect()} == {2}
+
+
 def test_no_path_is_shuffled(spark):
     trails = spark.createDataFrame([("b", 1, 0), ("b", 2, 1), ("b", 2, 1)], "brand string, corp long, depth int")
     pacs = spark.createDataFrame([(1, 1), (2, 2)], "corp long, committee long")
