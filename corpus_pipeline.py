@@ -20,29 +20,34 @@ from ledgerweave.llm import common, decontaminate, minhash, packing, repeats, to
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model does not reject."""
+    common.small_batches(spark)
     return toxicity.without_toxic(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group that five-word shingles with a similarity of 0.8 link."""
+    common.small_batches(spark)
     found = minhash.near_duplicates(docs, size=5, percent=80)
     return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without 100-byte strings that start earlier in the corpus; n_chars follows the text."""
+    common.small_batches(spark)
     rows = repeats.cleaned(docs)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    common.small_batches(spark)
     found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 1024 tokens."""
+    common.small_batches(spark)
     return packing.pack_documents(docs)
 
 

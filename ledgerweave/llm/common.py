@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into word or byte arrays at a time.
 CHUNK_BYTES = 1 << 20
+#: Bytes after which an Arrow batch of the pipeline goes to a Python worker (or its row, where one is longer).
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,17 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES; it stays so, as a stage is computed when its result is written.
+
+    Workers take texts CHUNK_BYTES at a time anyway, and batches of 10000 texts stay as memory of the executor and its workers.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key).lower()
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fold(column: str, parts: int):
     """crc32 of an id's decimal text, modulo parts; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))

@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = _only(texts, shown, "id").groupBy("id").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     texts = written(texts, "texts", compression="zstd")
     best = written(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), "best")
-    part = component_stars(confirmed(best, texts, size, percent))
+    # written, as a task that confirms and combines at once takes two Python workers, and an executor keeps them
+    part = component_stars(written(confirmed(best, texts, size, percent), "linked"))
 
     left = written(_open(members, part), "open")
     for turn in range(ROUNDS):

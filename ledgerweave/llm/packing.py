@@ -87,6 +87,11 @@ def best_fit_rounds(counts: dict[int, int], size: int) -> list[tuple[int, int, i
     return placed
 
 
+def _small(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """A table of whole numbers from the driver, sent as Arrow: a list would go through Python workers of its own."""
+    return spark.createDataFrame(pa.table(dict(zip(names, np.array(rows, np.int64).reshape(-1, len(names)).T, strict=True))))
+
+
 def pack(rows: DataFrame, size: int = SIZE, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """rows (with a length column) and, for each, its sequence_id and offset.
 
@@ -94,11 +99,11 @@ def pack(rows: DataFrame, size: int = SIZE, key: tuple[str, ...] = ("doc_id", "p
     """
     spark = rows.sparkSession
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
-    slices = spark.createDataFrame([(k, -(-n // SLICE_ROWS)) for k, n in counts.items()], "length long, slices long")
+    slices = _small(spark, [(k, -(-n // SLICE_ROWS)) for k, n in counts.items()], ["length", "slices"])
     sliced = rows.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(F.xxhash64(*key), F.col("slices")))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("rows")).withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    plan = spark.createDataFrame(best_fit_rounds(counts, size), "length long, low long, n long, first long, offset long")
+    plan = _small(spark, best_fit_rounds(counts, size), ["length", "low", "n", "first", "offset"])
     # of each slice the stretches that its ranks fall in: at most one for each slice and stretch, so a slice for SLICE_ROWS rows
     met = base.join(F.broadcast(plan), "length").filter((F.col("low") < F.col("base") + F.col("rows")) & (F.col("low") + F.col("n") > F.col("base")))
     met = met.groupBy("length", "slice", "base").agg(F.sort_array(F.collect_list(F.struct("low", "n", "first", "offset"))).alias("plan"))

@@ -1,5 +1,7 @@
 """Small document tables for the tests."""
 
+import re
+
 from pyspark.sql import functions as F
 
 #: A document table's columns and some that operators use themselves.
@@ -16,5 +18,19 @@ def rows(df, *columns):
     return [tuple(r) for r in df.select(*columns).orderBy(*columns).collect()]
 
 
+def python_workers(df):
+    """The most Python steps that stand in one stage of df: a task runs a worker for each at the same time."""
+    most, above = 0, []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        found = re.match(r"[ :+-]*(?:\*\(\d+\) )?(\w+)", line)
+        depth = found.start(1) if found else 0
+        while above and above[-1][0] >= depth:
+            above.pop()
+        n = 0 if found and "Exchange" in found[1] else (above[-1][1] if above else 0) + bool(found and found[1] == "MapInArrow")
+        above.append((depth, n))
+        most = max(most, n)
+    return most
+
+
 #: Nulls, empty and odd texts, ties, a repeated text and a long one.
 ODD = [None, "", " ", "\n\n", "a", "The same text, twice.", "The same text, twice.", "naïve café – ½ 中文   x", "x" * 5000, "word " * 3000, "it's 'quoted' don't", "a\tb  c\r\nd"]

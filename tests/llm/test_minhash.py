@@ -3,10 +3,10 @@ import re
 
 import pytest
 
-from ledgerweave.llm import minhash
+from ledgerweave.llm import components, minhash
 from ledgerweave.llm.components import connected_components
 
-from .helpers import ODD, documents
+from .helpers import ODD, documents, python_workers
 
 
 def brute(texts, ids, size, percent):
@@ -104,3 +104,18 @@ def test_components(spark, tasks):
         root[max(x, y)] = min(x, y)
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(tasks)).collect()}
     assert got == {x: find(x) for x in root if any(a != b and x in (a, b) for a, b in edges)}
+
+
+def test_a_task_runs_one_python_worker(spark, monkeypatch):
+    rng, workers = random.Random(8), []
+    for module in (minhash, components):
+
+        def noted(df, name, put=module.written, **options):
+            workers.append((name, python_workers(df)))
+            return put(df, name, **options)
+
+        monkeypatch.setattr(module, "written", noted)
+    base = [[rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(40)] for _ in range(3)]
+    texts = [edited(rng, words, k % 3) for words in base for k in range(6)]
+    minhash.near_duplicates(documents(spark, texts), size=2).count()
+    assert ("components", 1) in workers and {n for _, n in workers} == {0, 1}, workers

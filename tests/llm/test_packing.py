@@ -62,3 +62,8 @@ def test_repeated_rows_and_empty_table(spark):
     twice = packing.pack_documents(documents(spark, ["same"] * 5, [1, 1, 1, None, 2])).toPandas()
     assert len(twice) == 5 and sorted(twice.offset) == sorted(set(twice.offset))
     assert packing.pack_documents(documents(spark, [])).count() == 0
+
+
+def test_small_tables_need_no_python_workers(spark):
+    rows = packing.pack_documents(documents(spark, ["one two", "three"], clash=False))
+    assert "LocalTableScan" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "ExistingRDD" not in plan

@@ -58,3 +58,15 @@ def test_op2_digest(spark, sf_dir):
     for r in registry.QUERIES["op2_suffix_array_dedup"](spark, sf_dir).collect():
         n, gone, spans, kept = want[r["doc_id"]]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, gone, spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_stages_take_small_arrow_batches(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, documents(spark, ["some words of a text"], clash=False), sf_dir)
+        assert int(spark.conf.get(key)) == common.BATCH_BYTES
+    spark.conf.set(key, "1000b")
+    common.small_batches(spark)
+    assert spark.conf.get(key) == "1000b"
+    spark.conf.unset(key)
