@@ -65,3 +65,23 @@ def test_no_path_is_shuffled(spark):
     assert dealt == {"candidate", "brand"} and "hashpartitioning(brand" in plan
     assert not any("candidate" in x.split(")")[0] and "brand" in x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
     assert rows.filter(F.col("scorecard_org") == "p").isEmpty()
+
+
+def test_ratings_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """However many ratings a scan's task reads, tasks of a bounded number of them group them."""
+    monkeypatch.setattr(scoring, "TASK_RATINGS", 100)
+    counts = spark.createDataFrame([("b", 1, 1)], "brand string, corp long, trails long")
+    pacs = spark.createDataFrame([(1, 1)], "corp long, committee long")
+    gifts = spark.range(600).select(F.lit(1).cast("long").alias("committee"), F.col("id").alias("candidate"), F.lit(2.0).alias("amount"))
+    rates = spark.range(0, 1200, 1, 1).select(F.lit("o").alias("org"), F.floor(F.col("id") / 2).alias("candidate"), (F.col("id") % 2 * 100).cast("double").alias("score"))
+    covers = spark.createDataFrame([("o", "i")], "org string, issue string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = scoring.factored_scores(counts, pacs, gifts, rates, covers)
+        assert [tuple(r) for r in rows.drop("confidence").collect()] == [("b", "i", "o", 50.0, 2400.0, 600)]
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("Final Plan")[-1].split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x.split(")")[0].split(", ") for x in plan.split("hashpartitioning(")[1:]]
+    assert [d[1] for d in dealt if d[0].startswith("candidate")] == ["13", "13"]  # what a brand gave, and ratings
+    assert not any("org#" in c for d in dealt for c in d if d[0].startswith("candidate"))
