@@ -34,9 +34,14 @@ def _bound(low: str = "q", high: str = "k") -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * most / total)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Exploded rows as a side of a join: Spark takes them to be as many as they were before, and would send them whole."""
+    return rows.hint("merge")
+
+
 def _rarest(keys: DataFrame, sizes: Sequence[int], frequency: DataFrame) -> DataFrame:
     """(q, grams): a key's runs with the number of names that have them, the rarest first."""
-    grams = keys.select("q", F.explode(F.concat(*(placed_grams(F.col("q"), size) for size in sizes))).alias("g")).select("q", "g.gram", "g.place").join(frequency, "gram", "left")
+    grams = keys.select("q", F.explode(F.concat(*(placed_grams(F.col("q"), size) for size in sizes))).alias("g")).select("q", "g.gram", "g.place").join(_dealt(frequency), "gram", "left")
     return grams.groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram", "place"))).alias("grams"))
 
 
@@ -53,7 +58,7 @@ def _one_off(keys: DataFrame, known: DataFrame) -> DataFrame:
     """(q, k) of the pairs of which one is the other without one of its characters."""
     asked, named = (rows.filter(F.col(size) <= LOST_SIZE).select(key, size) for rows, key, size in ((keys, "q", "q_size"), (known, "k", "k_size")))
     ways = ((0, 1), (1, 0))
-    return reduce(DataFrame.unionByName, (_remains(asked, "q", "q_size", a).join(_remains(named, "k", "k_size", b), "rest").select("q", "k") for a, b in ways)).distinct()
+    return reduce(DataFrame.unionByName, (_remains(asked, "q", "q_size", a).join(_dealt(_remains(named, "k", "k_size", b)), "rest").select("q", "k") for a, b in ways)).distinct()
 
 
 def first_partners(keys: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
@@ -68,10 +73,10 @@ def first_partners(keys: DataFrame, known: DataFrame, threshold: float) -> DataF
     rest = keys.join(close, "q", "left_anti")
     grams = lambda key: F.array_distinct(F.transform(F.concat(*(placed_grams(F.col(key), n) for n in SEED_GRAMS)), lambda g: g["gram"]))
     sought = rest.select(F.explode(grams("q")).alias("gram")).distinct()
-    runs = known.select("k", F.explode(grams("k")).alias("gram")).join(sought, "gram", "left_semi")
+    runs = known.select("k", F.explode(grams("k")).alias("gram")).join(_dealt(sought), "gram", "left_semi")
     rare = _rarest(rest, SEED_GRAMS, runs.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
     rare = rare.select("q", F.explode(F.slice(F.filter("grams", lambda g: (g["names"] > 0) & (g["names"] <= SEED_NAMES)), 1, SEEDS)).alias("g")).select("q", "g.gram")
-    pairs = close.unionByName(rare.join(runs, "gram").select("q", "k").distinct()).join(keys, "q").join(known, "k")
+    pairs = close.unionByName(rare.join(_dealt(runs), "gram").select("q", "k").distinct()).join(keys, "q").join(known, "k")
     # letters in another order have the same bound, not the same order
     unlike = F.levenshtein("q", "k")
     best = pairs.groupBy("q").agg(F.min_by(F.struct("k", "name", "position"), F.struct(-_bound(), unlike, "position")).alias("p"))
@@ -107,7 +112,7 @@ def rival_pairs(keys: DataFrame, known: DataFrame, first: DataFrame, threshold:
     remains = reduce(DataFrame.unionByName, (_remains(asked.filter(F.col("lost") == c), "q", "q_size", c).select("q", "size", "left", "rest") for c in range(LOST + 1)))
     named = known.select("k", F.col("k_size").alias("size"))
     named = reduce(DataFrame.unionByName, (_remains(named.join(F.broadcast(wanted.filter(F.col("left") == c)), "size"), "k", "size", c).select("k", "size", "left", "rest") for c in range(LOST + 1)))
-    close = remains.join(named, ["size", "left", "rest"]).select("q", "k")
+    close = remains.join(_dealt(named), ["size", "left", "rest"]).select("q", "k")
 
     far = lengths.filter(~near).groupBy("q").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     low, high, every = F.col("low"), F.col("high"), floored.drop("low", "high")
@@ -118,7 +123,7 @@ def rival_pairs(keys: DataFrame, known: DataFrame, first: DataFrame, threshold:
     floored = floored.withColumn("shared", F.least("runs", F.lit(SHARED)))
     sought = floored.filter("runs >= 1").join(rare, "q").select("q", "low", "high", "off", "shared", F.explode(F.slice("grams", 1, F.greatest(F.lit(1), n - 1 - F.col("runs") + F.col("shared")))).alias("g")).filter("g.names > 0")
     sought = sought.select("q", "low", "high", "off", "shared", "g.gram", F.col("g.place").alias("at")).withColumn("band", F.explode(F.sequence(F.floor((F.col("at") - F.col("off")) / PLACES), F.floor((F.col("at") + F.col("off")) / PLACES))))
-    shared = sought.join(placed.withColumn("band", F.floor(F.col("place") / PLACES)), ["gram", "band"]).filter((F.abs(F.col("at") - F.col("place")) <= F.col("off")) & F.col("size").between(F.col("low"), F.col("high")))
+    shared = sought.join(_dealt(placed.withColumn("band", F.floor(F.col("place") / PLACES))), ["gram", "band"]).filter((F.abs(F.col("at") - F.col("place")) <= F.col("off")) & F.col("size").between(F.col("low"), F.col("high")))
     lengths = floored.filter("runs < 1").select("q", F.explode(F.sequence("low", F.greatest("low", "high"))).alias("size"))
     shared = shared.groupBy("q", "k", "shared").agg(F.countDistinct("at").alias("found")).filter("found >= shared")
     pairs = close.unionByName(shared.select("q", "k")).unionByName(lengths.join(known.select("k", F.col("k_size").alias("size")), "size").select("q", "k")).distinct()

@@ -1,7 +1,9 @@
 """The batch matcher against the standard library's, and the bounded search against nested loops."""
 
 import random
+import re
 from difflib import SequenceMatcher
+from itertools import takewhile
 
 import pytest
 from hypothesis import given, settings
@@ -127,3 +129,22 @@ def test_numbered_names_meet_only_their_own(spark):
     first = resolve.first_partners(keys, known, 0.7).localCheckpoint()
     assert {round(r["score"], 6) for r in first.collect()} == {round(34 / 36, 6)} and first.count() == named.count()
     assert resolve.rival_pairs(keys, known, first, 0.7).count() == 0
+
+
+def test_exploded_rows_are_not_sent_whole(spark):
+    """Spark sizes exploded rows as what they came from; remains and runs of keys are many times that, and no join sends them."""
+    named = spark.range(0, 60, 3).select(F.format_string("supplier%09d", "id").alias("k"), F.col("id").alias("position"))
+    keys = resolve._features(named.select(F.concat("k", F.lit(" x")).alias("q")), "q", "q")
+    known = resolve._features(named.withColumn("name", F.col("k")), "k", "k")
+    first = resolve.first_partners(keys, known, 0.7)
+
+    def sent(rows):
+        """Operators below each broadcast, down to where rows are joined, grouped or put together."""
+        lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                yield from takewhile(lambda x: not re.search("Join|Aggregate|Union|CartesianProduct", x), lines[i + 1 :])
+
+    for rows in (resolve._one_off(keys, known), first, resolve.rival_pairs(keys, known, first, 0.7)):
+        assert "Generate explode" in rows._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in sent(rows) if re.search(r"Generate explode.*\[(rest|gram|g)#", x)]
